@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import url_filters
+from weftgraph.llm import decontamination, license_scan, secret_scan, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op7_decontamination": decontamination.op7_decontamination,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 
 ORACLE_SQL = {
     "op1_url_filters": url_filters.ORACLE,
+    "op7_decontamination": decontamination.ORACLE,
+    "op10_license_scan": license_scan.oracle(),
 }
