@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import decontamination, license_scan, secret_scan, url_filters
+from weftgraph.llm import decontamination, license_scan, packing, quality, secret_scan, simhash, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
+    "op2_packing": packing.op2_packing,
+    "op5_quality_rules": quality.op5_quality_rules,
+    "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_decontamination": decontamination.op7_decontamination,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_license_scan": license_scan.op10_license_scan,
@@ -13,6 +16,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op1_url_filters": url_filters.ORACLE,
+    "op5_quality_rules": quality.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
     "op10_license_scan": license_scan.oracle(),
 }
