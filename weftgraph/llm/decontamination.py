@@ -71,6 +71,19 @@ def leaks(
     share: float = SHARE,
 ) -> DataFrame:
     """``doc_id, item_id, n_shingles, n_found, containment``: a row for each document and item it holds."""
+    found = verified(docs, items, id_col, text_col, item_id_col, item_text_col, width, share)
+    out = found.groupBy("doc_id", "item_id").agg(F.max("q").cast("int").alias("n_shingles"), F.max("n").cast("int").alias("n_found"))
+    return out.withColumn("containment", F.round(F.col("n_found") / F.col("n_shingles"), 6))
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
+    """The rows of ``docs`` whose text holds no item; they are told by their text, so a null id is no refuge."""
+    leaky = verified(docs, items, "doc_id", "text", "item_id", "text", width, share).select(F.col("text_key").alias("__text_key")).distinct()
+    return docs.join(leaky, F.xxhash64(docs["text"]) == F.col("__text_key"), "left_anti")
+
+
+def verified(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, width: int, share: float) -> DataFrame:
+    """``doc_id, text_key, item_id, q, n``: candidates of the search that hold enough of the item's shingles."""
     prepared = prepare_items(items, item_id_col, item_text_col, width)
     need = F.ceil(F.lit(share) * F.col("q") - F.lit(1e-9)).cast("int")
     prepared = prepared.withColumn("need", need)
@@ -88,20 +101,19 @@ def leaks(
         one = mine.join(sketch.where(F.col("width") == w).select("h", "items"), "h").select("doc_id", "text_key", F.explode("items").alias("item_id"))
         found = one if found is None else found.unionByName(one)
     if found is None:
-        return text.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, n_shingles int, n_found int, containment double")
+        nothing = text.limit(0).select("doc_id", F.xxhash64("text").alias("text_key"))
+        return nothing.select("*", F.lit(None).cast("bigint").alias("item_id"), F.lit(0).alias("q"), F.lit(0).alias("n"))
     pairs = found.distinct().groupBy("doc_id", "text_key").agg(F.collect_set("item_id").alias("candidates"))
     held = text.withColumn("text_key", F.xxhash64("text")).join(
         pairs.withColumnsRenamed({"doc_id": "c_id", "text_key": "c_key"}),
         (F.col("text_key") == F.col("c_key")) & F.col("doc_id").eqNullSafe(F.col("c_id")),
     )
-    held = held.select("doc_id", "candidates", words_of(F.col("text")).alias("words"))
-    held = held.select("doc_id", "candidates", *(spelled(F.col("words"), w).alias(f"s{w}") for w in widths))
-    one = held.select("doc_id", *(f"s{w}" for w in widths), F.explode("candidates").alias("item_id"))
+    held = held.select("doc_id", "text_key", "candidates", words_of(F.col("text")).alias("words"))
+    held = held.select("doc_id", "text_key", "candidates", *(spelled(F.col("words"), w).alias(f"s{w}") for w in widths))
+    one = held.select("doc_id", "text_key", *(f"s{w}" for w in widths), F.explode("candidates").alias("item_id"))
     one = one.join(prepared.select("item_id", "width", "shingles", "q", "need"), "item_id")
     mine = F.coalesce(*(F.when(F.col("width") == w, F.col(f"s{w}")) for w in widths))
-    one = one.select("doc_id", "item_id", "q", "need", F.size(F.array_intersect("shingles", mine)).alias("n")).where("n >= need")
-    out = one.groupBy("doc_id", "item_id").agg(F.max("q").alias("n_shingles"), F.max("n").alias("n_found"))
-    return out.withColumn("containment", F.round(F.col("n_found") / F.col("n_shingles"), 6))
+    return one.select("doc_id", "text_key", "item_id", "q", "need", F.size(F.array_intersect("shingles", mine)).alias("n")).where("n >= need").drop("need")
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

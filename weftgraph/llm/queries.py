@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from weftgraph.llm import decontamination, language_id, license_scan, packing, quality, secret_scan, simhash, substring_dedup, url_filters
+from weftgraph.llm import decontamination, html_text, language_id, license_scan, packing, quality, secret_scan, simhash, substring_dedup, url_filters
 
 QUERIES = {
     "op1_url_filters": url_filters.op1_url_filters,
     "op2_packing": packing.op2_packing,
     "op3_language_id": language_id.op3_language_id,
+    "op4_html_extraction": html_text.op4_html_extraction,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_simhash_near_dedup": simhash.op6_simhash_near_dedup,
     "op7_decontamination": decontamination.op7_decontamination,
