@@ -147,7 +147,7 @@ def table_of(schema: str, columns: list[list]) -> pa.Table:
 
 def packed(g: int, bucket: np.ndarray, encoded, ids: np.ndarray | None) -> pa.Table:
     at = runs(bucket)
-    ends = np.append(at[1:], len(bucket))
+    ends = np.append(at[1:], len(bucket))[: len(at)]
     rows = [(int(bucket[a]), g, encoded(slice(a, b)), ids[a:b].astype("<i8").tobytes() if ids is not None else None) for a, b in zip(at, ends, strict=True)]
     return table_of(MESSAGE, [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 4)
 
