@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import array
 import os
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,11 +34,17 @@ from weftgraph.llm.common import utf8
 SEQUENCE = 4096
 GROUP_TOKENS = 2_000_000
 END_ID = 2
-#: New words are remembered up to this many; then a worker forgets all and starts again.
-WORD_MEMORY = 300_000
+#: Above this many words a worker forgets all and starts again.
+WORD_MEMORY = 1_000_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+#: Lower-case letters that neither normalisation nor the pattern of the tokenizer can split.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: Such letters and then marks, which are tokenised apart from them.
+STEM_AND_MARKS = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([.,!?;:#$%&*|]+)")
+
+
 class Words:
     """Token ids (little-endian, four bytes each) of texts, by white-space word."""
 
@@ -46,29 +53,60 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = bytearray(max(vocabulary.values()) + 1)
+        for token, number in vocabulary.items():
+            self.ends[number] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, new: set[bytes]) -> None:
-        if len(self.known) + len(new) > WORD_MEMORY:
-            self.known.clear()
-        words = list(new)
+    def encode_each(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             encoded = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             self.known.update((w, array.array("I", e.ids).tobytes()) for w, e in zip(part, encoded, strict=True))
 
+    def encode_joined(self, words: list[bytes]) -> None:
+        """Words of letters only: one call for many, whose tokens are told apart by the ends of words."""
+        for at in range(0, len(words), 1000):
+            part = words[at : at + 1000]
+            ids = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids
+            raw, ends = array.array("I", ids).tobytes(), self.ends
+            stops = [4 * (k + 1) for k, number in enumerate(ids) if ends[number]]
+            if len(stops) != len(part):
+                self.encode_each(part)
+                continue
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *stops], stops)), strict=True))
+
+    def learn(self, new: set[bytes]) -> None:
+        known, plain, others, marked = self.known, [], [], []
+        for w in new:
+            if w.isalpha():
+                plain.append(w)
+            elif m := STEM_AND_MARKS.fullmatch(w):
+                marked.append((w, *m.groups()))
+            else:
+                (plain if LETTERS.fullmatch(w) else others).append(w)
+        stems = {stem for _, stem, _ in marked}.difference(known, new)
+        self.encode_joined([*plain, *stems])
+        self.encode_each([*others, *{marks for *_, marks in marked}.difference(known, new)])
+        for w, stem, marks in marked:
+            known[w] = known[stem] + known[marks]
+
     def ids(self, texts: list[bytes]) -> list[bytes]:
+        if len(self.known) > WORD_MEMORY:
+            self.known.clear()
         # the tokenizer lower-cases too; special tokens are found before it does, so texts that may hold one stay
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        new = set().union(*split).difference(self.known)
+        get = self.known.get
+        found = [list(map(get, words)) for words in split]
+        gaps = [[k for k, ids in enumerate(row) if ids is None] if None in row else () for row in found]
+        new = {words[k] for words, row in zip(split, gaps, strict=True) for k in row}
         if new:
-            # the words in hand must all be known together, even if the memory has just been emptied
-            if len(self.known) + len(new) > WORD_MEMORY:
-                self.known.clear()
-                new = set().union(*split)
             self.learn(new)
-        of = self.known.__getitem__
-        return [b"".join(map(of, words)) for words in split]
+            for words, row, missing in zip(split, found, gaps, strict=True):
+                for k in missing:
+                    row[k] = self.known[words[k]]
+        return [b"".join(row) for row in found]
 
 
 WORKERS: dict[str, Words] = {}
