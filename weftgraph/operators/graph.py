@@ -1,10 +1,20 @@
-"""One-hop and bounded traversals."""
+"""Hops, bounded traversals and shortest paths, for many starts at once, level by level.
+
+A traversal carries ``start`` so that one run serves any number of starts. Levels are joins of the
+frontier with the edges; nodes seen before leave by an anti join. Traversals of more than three
+levels write each level to the checkpoint folder, which keeps plans short and survives lost executors.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.schema import EXIT_TYPES, STEP_TYPES
+from weftgraph.session import cut
+
+MAX_DEPTH, MAX_CALL_DEPTH, MAX_PATH_HOPS, SEGMENT_DEPTH, BRANCHES, FETCHED = 3, 5, 12, 15, 8, 50
+
 
 def above(floor: float) -> Column:
     """Confidence at or above the floor; none at all counts as certain."""
@@ -13,3 +23,197 @@ def above(floor: float) -> Column:
 
 def of_types(edges: DataFrame, types: list[str] | None) -> DataFrame:
     return edges.where(F.col("type").isin(*types)) if types else edges
+
+
+def hops(edges: DataFrame, types: list[str] | None = None, direction: str = "both") -> DataFrame:
+    """at, edge_type, neighbor, direction: every edge as it is met from an end; ``both`` lists out before in."""
+    if direction not in ("out", "in", "both"):
+        raise ValueError(f"direction must be out, in or both: {direction}")
+    wanted = of_types(edges, types)
+    extra = [F.col(c) for c in ("confidence", "resolution") if c in edges.columns]
+    out = wanted.select(F.col("src").alias("at"), F.col("type").alias("edge_type"), F.col("dst").alias("neighbor"), F.lit("out").alias("direction"), *extra)
+    back = wanted.select(F.col("dst").alias("at"), F.col("type").alias("edge_type"), F.col("src").alias("neighbor"), F.lit("in").alias("direction"), *extra)
+    return out if direction == "out" else back if direction == "in" else out.unionByName(back)
+
+
+def neighbors(edges: DataFrame, ids: DataFrame, types: list[str] | None = None, direction: str = "both", limit: int | None = None) -> DataFrame:
+    """id, edge_type, neighbor, direction for each id; with a limit, the first by (out before in, type, neighbor)."""
+    found = hops(edges, types, direction).withColumnRenamed("at", "id").join(ids.select("id").distinct(), "id", "left_semi").select("id", "edge_type", "neighbor", "direction")
+    if limit is None:
+        return found
+    order = Window.partitionBy("id").orderBy(F.col("direction") == "in", "edge_type", "neighbor")
+    return found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limit).drop("k")
+
+
+def reach(edges: DataFrame, starts: DataFrame, types: list[str] | None = None, direction: str = "out", depth: int = 1) -> DataFrame:
+    """start, node, level: every node within ``depth`` hops and its distance (the start at 0)."""
+    step = hops(edges, types, direction).select("at", "neighbor").distinct()
+    seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("level"))
+    front = seen
+    for level in range(1, depth + 1):
+        met = front.select("start", F.col("node").alias("at")).join(step, "at").select("start", F.col("neighbor").alias("node")).distinct()
+        front = met.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("level", F.lit(level))
+        if depth > 3:
+            front = cut(front)
+            if front.isEmpty():
+                break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def expand(edges: DataFrame, starts: DataFrame, types: list[str] | None = None, direction: str = "both", depth: int = 1, limit: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(hops, truncated): hops level by level within a total budget per start; hops into seen nodes are still listed.
+
+    hops: start, level, at, edge_type, neighbor, direction; truncated: start, truncated.
+    """
+    depth = max(1, min(MAX_DEPTH, depth))
+    level_of = reach(edges, starts, types, direction, depth - 1)
+    every = level_of.withColumnRenamed("node", "at").join(hops(edges, types, direction).select("at", "edge_type", "neighbor", "direction"), "at")
+    order = Window.partitionBy("start").orderBy("level", "at", F.col("direction") == "in", "edge_type", "neighbor")
+    ranked = every.withColumn("k", F.row_number().over(order))
+    over = ranked.groupBy("start").agg(F.max(F.col("k") > limit).alias("truncated"))
+    return ranked.where(F.col("k") <= limit).drop("k"), over
+
+
+def who_calls(edges: DataFrame, nodes: DataFrame, targets: DataFrame, transitive: bool = False, max_depth: int = 3, limit: int = 50) -> DataFrame:
+    """start, node, level, via_activity: callers of each target, nearest first, at most ``limit``.
+
+    Calls count; if the target is an activity, its invocations too, at every level. A caller found
+    through an invocation keeps that mark. A cycle may return the target itself.
+    """
+    depth = max(1, min(MAX_CALL_DEPTH, max_depth)) if transitive else 1
+    activity = nodes.select(F.col("id").alias("start"), F.coalesce(F.array_contains("roles", "TemporalActivity"), F.lit(False)).alias("activity"))
+    front = targets.select(F.col("id").alias("start")).distinct().join(activity, "start").select("start", "activity", F.col("start").alias("node"), F.lit(False).alias("via_activity"))
+    back = edges.where(F.col("type").isin("CALLS", "INVOKES_ACTIVITY")).select(F.col("dst").alias("node"), F.col("src").alias("caller"), (F.col("type") == "INVOKES_ACTIVITY").alias("invoked"))
+    seen = None
+    for level in range(1, depth + 1):
+        met = front.join(back, "node").where("activity OR NOT invoked")
+        met = met.groupBy("start", "activity", "caller").agg(F.bool_or(F.col("via_activity") | F.col("invoked")).alias("via_activity"))
+        new = met.select("start", "activity", F.col("caller").alias("node"), F.lit(level).alias("level"), "via_activity")
+        if seen is not None:
+            new = new.join(seen.select("start", "node"), ["start", "node"], "left_anti")
+        new = cut(new) if depth > 3 else new
+        seen = new if seen is None else seen.unionByName(new)
+        front = new.select("start", "activity", "node", "via_activity")
+    order = Window.partitionBy("start").orderBy("level", "node")
+    return seen.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limit).select("start", "node", "level", "via_activity")
+
+
+def shortest_paths(edges: DataFrame, pairs: DataFrame, types: list[str] | None = None, max_hops: int = 8, fetched: int = FETCHED) -> DataFrame:
+    """start, goal, path: shortest path whatever the direction of edges; ties by (type, neighbor) in frontier order.
+
+    ``path`` is an array of (edge_type, node, direction) from the start's first hop; empty if start
+    and goal are one; null if there is none within the limit.
+    """
+    max_hops = max(1, min(MAX_PATH_HOPS, max_hops))
+    step = hops(edges, types, "both").select("at", F.struct("edge_type", F.col("neighbor").alias("node"), "direction").alias("hop")).distinct()
+    order = Window.partitionBy("at").orderBy("hop")
+    step = cut(step.withColumn("k", F.row_number().over(order)).where(F.col("k") <= fetched).drop("k"))
+    empty = F.array().cast("array<struct<edge_type:string,node:string,direction:string>>")
+    pairs = cut(pairs.select("start", "goal").distinct())
+    seen = pairs.select("start", "goal", F.col("start").alias("node"), empty.alias("path"))
+    front, done = seen, None
+    for _ in range(max_hops):
+        open_ = front.where("node != goal")
+        met = open_.withColumnRenamed("node", "at").join(step, "at").select("start", "goal", F.col("hop.node").alias("node"), F.array_append("path", F.col("hop")).alias("path"))
+        met = met.groupBy("start", "goal", "node").agg(F.min("path").alias("path"))
+        found = met.where("node = goal").select("start", "goal", F.lit(True).alias("found"))
+        front = met.join(seen.select("start", "goal", "node"), ["start", "goal", "node"], "left_anti")
+        front = cut(front.join(found, ["start", "goal"], "left").where("found IS NULL OR node = goal").drop("found"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    done = seen.where("node = goal").select("start", "goal", "path")
+    return pairs.join(done, ["start", "goal"], "left")
+
+
+def segment_hops(edges: DataFrame, floor: float) -> DataFrame:
+    """at, k, of, edge_type, neighbor, confidence: the onward hops of a node above the floor, in order, and how many there are."""
+    onward = of_types(edges, [*STEP_TYPES, *EXIT_TYPES]).where(above(floor))
+    w = Window.partitionBy("at")
+    h = onward.select(F.col("src").alias("at"), F.col("type").alias("edge_type"), F.col("dst").alias("neighbor"), "confidence", "resolution")
+    return h.withColumns({"k": F.row_number().over(w.orderBy("edge_type", "neighbor")), "of": F.count(F.lit(1)).over(w)}).where(F.col("k") <= BRANCHES)
+
+
+def walk_segments(edges: DataFrame, entries: DataFrame, floor: float = 0.3, depth: int = SEGMENT_DEPTH) -> tuple[DataFrame, DataFrame]:
+    """(hops, truncated) of the segment that starts at each entry.
+
+    hops: start, level, key, at, edge_type, neighbor, confidence, exit; ordered by (level, key) they
+    are in breadth-first order. A repeated node is a step but is not walked again. A node at the
+    depth limit truncates only if it has an onward hop.
+    """
+    step = cut(segment_hops(edges, floor))
+    empty = F.array().cast("array<int>")
+    front = cut(entries.select(F.col("id").alias("start"), F.col("id").alias("node"), empty.alias("key")).dropDuplicates(["start"]))
+    seen, found, cuts = front.select("start", "node"), None, None
+    for level in range(depth):
+        met = front.withColumnRenamed("node", "at").join(step, "at")
+        met = cut(met.select("start", F.lit(level).alias("level"), F.array_append("key", F.col("k")).alias("key"), "at", "edge_type", "neighbor", "confidence", F.col("edge_type").isin(*EXIT_TYPES).alias("exit"), (F.col("of") > BRANCHES).alias("capped")))
+        found = met if found is None else found.unionByName(met)
+        new = met.where("NOT exit").groupBy("start", F.col("neighbor").alias("node")).agg(F.min("key").alias("key")).join(seen, ["start", "node"], "left_anti")
+        front = cut(new)
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front.select("start", "node"))
+    else:
+        cuts = front.join(step.select(F.col("at").alias("node")).distinct(), "node", "left_semi").select("start").distinct()
+    over = found.groupBy("start").agg(F.bool_or("capped").alias("truncated"))
+    if cuts is not None:
+        over = over.join(cuts.withColumn("deep", F.lit(True)), "start", "left").select("start", (F.col("truncated") | F.col("deep").isNotNull()).alias("truncated"))
+    return found.drop("capped"), over
+
+
+def resolve_exits(edges: DataFrame, exits: DataFrame, floor: float = 0.3) -> DataFrame:
+    """start, channel, next_ids: where the channels a segment produced to lead on, sorted and distinct.
+
+    ``exits`` has start, producer, channel. The hand-off must start at the producer and pass this channel.
+    """
+    onward = edges.where((F.col("type") == "NEXT_SEGMENT") & above(floor)).select(F.col("src").alias("producer"), F.col("via_channel").alias("channel"), F.col("dst").alias("next"))
+    met = exits.select("start", "producer", "channel").distinct().join(onward, ["producer", "channel"], "left")
+    return met.groupBy("start", "channel").agg(F.array_sort(F.collect_set("next")).alias("next_ids"))
+
+
+def compact(steps: DataFrame, protected: Column, gate: int = 15, run: int = 6, head: int = 3, tail: int = 2) -> DataFrame:
+    """Steps (start, nth, ...) with long unprotected runs cut to a head, a ``collapsed`` row and a tail; only where a segment has more than ``gate`` steps."""
+    w = Window.partitionBy("start")
+    marked = steps.withColumns({"__p": protected, "__n": F.count(F.lit(1)).over(w)})
+    marked = marked.withColumn("__island", F.sum(F.col("__p").cast("int")).over(w.orderBy("nth")))
+    island = Window.partitionBy("start", "__island", "__p")
+    marked = marked.withColumns({"__k": F.row_number().over(island.orderBy("nth")), "__len": F.count(F.lit(1)).over(island)})
+    long = ~F.col("__p") & (F.col("__n") > gate) & (F.col("__len") > run)
+    kept = ~long | (F.col("__k") <= head) | (F.col("__k") > F.col("__len") - tail)
+    marker = long & (F.col("__k") == head + 1)
+    return marked.where(kept | marker).withColumn("collapsed", F.when(marker, F.col("__len") - (head + tail))).drop("__p", "__n", "__island", "__k", "__len")
+
+
+def climb(edges: DataFrame, starts: DataFrame, stop: DataFrame, max_hops: int = 64) -> DataFrame:
+    """start, top: follow each node's least predecessor until one in ``stop``, one without predecessor, or a repeat.
+
+    Parents are one per node, so a level is an equi-join of as many rows as there are starts.
+    """
+    parent = cut(edges.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent")))
+    stops = stop.select(F.col("id").alias("node"), F.lit(True).alias("stops"))
+    now = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("trail")).distinct()
+    done = None
+    for _ in range(max_hops):
+        met = now.join(stops, "node", "left").join(parent, "node", "left")
+        ends = F.col("stops").isNotNull() | F.col("parent").isNull() | F.array_contains("trail", F.col("parent"))
+        met = cut(met.select("start", "node", "trail", "parent", ends.alias("ends")))
+        part = met.where("ends").select("start", F.col("node").alias("top"))
+        done = part if done is None else done.unionByName(part)
+        now = met.where("NOT ends").select("start", F.col("parent").alias("node"), F.array_append("trail", F.col("parent")).alias("trail"))
+        if now.isEmpty():
+            return done
+    return done.unionByName(now.select("start", F.col("node").alias("top")))
+
+
+def descendants(edges: DataFrame, roots: DataFrame, stop: DataFrame) -> DataFrame:
+    """root, node: CONTAINS descendants that are not in ``stop`` and are reached without passing through it (the root itself included)."""
+    down = edges.where("type = 'CONTAINS'").select(F.col("src").alias("node"), F.col("dst").alias("child")).join(stop.select(F.col("id").alias("child")), "child", "left_anti")
+    front = roots.select(F.col("id").alias("root"), F.col("id").alias("node")).distinct()
+    seen = front
+    while not front.isEmpty():
+        met = front.join(down, "node").select("root", F.col("child").alias("node")).distinct()
+        front = cut(met.join(seen, ["root", "node"], "left_anti"))
+        seen = seen.unionByName(front)
+    return seen

@@ -9,3 +9,10 @@ from pyspark.sql import functions as F
 def percent(part: Column, whole: Column) -> Column:
     """100 part / whole; 0 if there is no whole."""
     return F.coalesce(F.try_divide(F.lit(100.0) * part, whole), F.lit(0.0))
+
+
+def trace_confidence(walked):
+    """start, confidence, external_exit_count: the least confidence of the edges walked, external exits left aside; 1 if none."""
+    return walked.groupBy("start").agg(
+        F.coalesce(F.min(F.when(~F.col("external"), F.col("confidence"))), F.lit(1.0)).alias("confidence"), F.count_if(F.col("external")).alias("external_exit_count")
+    )
