@@ -10,3 +10,102 @@ def files_with_known_spans(spans: DataFrame, nodes: DataFrame, key: list[str]) -
     """service, relpath of files all of whose spans are staged nodes; one unknown span leaves out the whole file."""
     known = nodes.select(*key).distinct().withColumn("__known", F.lit(True))
     return spans.join(known, key, "left").groupBy("service", "relpath").agg(F.bool_and(F.col("__known").isNotNull()).alias("ok")).where("ok").drop("ok")
+
+
+MAX_BYTES = 2000
+HEADER_IMPORTS, HEADER_CALLS, HEADER_DOC = 8, 5, 120
+
+
+def pack_lines(text, max_bytes: int = MAX_BYTES):
+    """Whole-line pieces of at most ``max_bytes`` bytes each; a longer line stands alone. Pieces join to the text."""
+    lines = F.split(text, "(?<=\n)")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+
+    def step(acc, line):
+        fits = (acc["open"] == "") | (F.octet_length(acc["open"]) + F.octet_length(line) <= max_bytes)
+        return F.struct(F.when(fits, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])).alias("done"), F.when(fits, F.concat(acc["open"], line)).otherwise(line).alias("open"))
+
+    return F.aggregate(lines, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+
+
+def chunk_rows(texts: DataFrame, id_col: str, text_col: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """chunk_id, symbol_id, ord, text, start_line, end_line, content_hash of each piece."""
+    rows = texts.select(F.col(id_col).cast("string").alias("symbol_id"), F.posexplode(pack_lines(F.col(text_col), max_bytes)).alias("ord", "text"))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    from pyspark.sql import Window
+
+    before = F.coalesce(F.sum(breaks).over(Window.partitionBy("symbol_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = before + breaks + F.when(F.endswith("text", F.lit("\n")), 0).otherwise(1)
+    return rows.select(
+        F.concat("symbol_id", F.lit("#c"), "ord").alias("chunk_id"), "symbol_id", "ord", "text", (before + 1).cast("int").alias("start_line"), last.cast("int").alias("end_line"), F.sha2("text", 256).alias("content_hash")
+    )
+
+
+def names_of(pairs: DataFrame, key: str, name: str, most: int, label: str) -> DataFrame:
+    """key, label: up to ``most`` distinct sorted names, comma-joined."""
+    return pairs.groupBy(key).agg(F.array_join(F.slice(F.array_sort(F.collect_set(name)), 1, most), ", ").alias(label))
+
+
+def headers(chunks: DataFrame, symbols: DataFrame, imports: DataFrame, called: DataFrame) -> DataFrame:
+    """``chunks`` with context_header and input_hash.
+
+    Lines: file and service; symbol with kind, roles and parent; imports; first line of the
+    documentation; calls. Empty ones are left out; an unknown symbol has the first two only.
+    ``symbols``: symbol_id, qualified_name, kind, roles, parent, doc; ``imports``: service, relpath,
+    name; ``called``: symbol_id, name.
+    """
+    i = imports.groupBy("service", "relpath").agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, HEADER_IMPORTS), ", ").alias("__imports"))
+    c = names_of(called, "symbol_id", "name", HEADER_CALLS, "__calls")
+    rows = chunks.join(symbols, "symbol_id", "left").join(i, ["service", "relpath"], "left").join(c, "symbol_id", "left")
+    known = F.col("qualified_name").isNotNull()
+    roles = F.when(F.size("roles") > 0, F.concat(F.lit(", "), F.array_join("roles", ", "))).otherwise("")
+    symbol = F.when(known, F.concat(F.lit("symbol: "), "qualified_name", F.lit(" ("), "kind", roles, F.lit(")"), F.coalesce(F.concat(F.lit(" in "), "parent"), F.lit("")))).otherwise(F.concat(F.lit("symbol: "), "symbol_id"))
+    line = lambda label, value: F.when(known & (F.coalesce(value, F.lit("")) != ""), F.concat(F.lit(label + ": "), value))
+    doc = F.substring(F.substring_index("doc", "\n", 1), 1, HEADER_DOC)
+    made = F.concat_ws("\n", F.concat(F.lit("file: "), "relpath", F.lit(" · service: "), "service"), symbol, line("imports", F.col("__imports")), line("doc", doc), line("calls", F.col("__calls")))
+    out = rows.withColumn("context_header", made)
+    return out.withColumn("input_hash", F.sha2(F.concat("context_header", F.lit("\n\n"), "text"), 256)).select(*chunks.columns, "context_header", "input_hash")
+
+
+def missing_vectors(chunks: DataFrame, model: str) -> DataFrame:
+    """Chunks without a vector, or with one of another model or of another input."""
+    fresh = F.col("embedding").isNotNull() & F.col("embed_model").eqNullSafe(F.lit(model)) & F.col("embedded_hash").eqNullSafe(F.col("input_hash"))
+    return chunks.where(~fresh)
+
+
+def from_cache(missing: DataFrame, cache: DataFrame, model: str, dim: int) -> DataFrame:
+    """``missing`` (chunk_id, input_hash) with the cached vector of this model and length, or null."""
+    usable = cache.where((F.col("embed_model") == model) & (F.col("dim") == dim) & (F.size("vec") == dim)).select("input_hash", F.col("vec").alias("embedding"))
+    return missing.select("chunk_id", "input_hash").join(usable.dropDuplicates(["input_hash"]), "input_hash", "left")
+
+
+def embed_missing(chunks: DataFrame, cache: DataFrame, embedder, model: str, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(chunks with vectors, rows to add to the cache). Texts are embedded once per input hash, in Arrow batches."""
+    kept = chunks.where(F.col("embedding").isNotNull() & F.col("embed_model").eqNullSafe(F.lit(model)) & F.col("embedded_hash").eqNullSafe(F.col("input_hash")))
+    looked = from_cache(missing_vectors(chunks, model), cache, model, dim)
+    todo = looked.where("embedding IS NULL").select("input_hash").distinct()
+    texts = chunks.select("input_hash", F.concat("context_header", F.lit("\n\n"), "text").alias("text")).join(todo, "input_hash", "left_semi").dropDuplicates(["input_hash"])
+    made = texts.mapInArrow(embedder, "input_hash string, vec array<float>")
+    vectors = looked.join(made, "input_hash", "left").select("chunk_id", F.coalesce("embedding", "vec").alias("v"))
+    rest = chunks.join(vectors, "chunk_id").withColumns({"embedding": F.col("v"), "embed_model": F.lit(model), "embedded_hash": F.col("input_hash")}).select(*chunks.columns)
+    return kept.unionByName(rest), made.select("input_hash", F.lit(model).alias("embed_model"), F.lit(dim).alias("dim"), "vec")
+
+
+def hash_embedder(dim: int = 8):
+    """A deterministic stand-in for a model: SHA-256 of text and counter, as signed unit vectors."""
+
+    def run(batches):
+        import hashlib
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for text in batch.column(1).to_pylist():
+                raw = b"".join(hashlib.sha256(f"{text}\0{n}".encode()).digest() for n in range(-(-dim // 8)))
+                v = np.frombuffer(raw, ">u4")[:dim].astype(np.float64) / 0xFFFFFFFF * 2 - 1
+                out.append((v / np.linalg.norm(v)).astype(np.float32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float32()))], names=["input_hash", "vec"])
+
+    return run
