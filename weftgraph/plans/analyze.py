@@ -37,9 +37,9 @@ def scan(spark: SparkSession, services: dict[str, str], excludes: tuple[str, ...
     return out
 
 
-def extract_all(files: DataFrame, idioms: extract.Idioms) -> dict[str, DataFrame]:
-    """Nodes, edges and claims of all files, before any linking."""
-    parsed = cut(parse(files))
+def extract_all(files: DataFrame, idioms: extract.Idioms, parsed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Nodes, edges and claims of all files, before any linking; ``parsed`` if the facts are there already."""
+    parsed = cut(parse(files)) if parsed is None else parsed
     modules = cut(extract.module_table(files))
     defs = cut(extract.definitions(parsed, modules))
     nodes, edges = extract.core(files, defs, facts(parsed, "import"), modules)
@@ -121,7 +121,9 @@ def entry_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def index(spark: SparkSession, services: dict[str, str], idioms: extract.Idioms | None = None, registry: DataFrame | None = None, declared: DataFrame | None = None) -> Graph:
     """The whole pipeline. ``services`` maps a name to a path that Spark can read."""
-    files = cut(scan(spark, services))
-    found = extract_all(files, idioms or extract.Idioms())
-    linked = link_all(found, registry, declared)
+    return build(cut(scan(spark, services)), None, idioms, registry, declared)
+
+
+def build(files: DataFrame, parsed: DataFrame | None = None, idioms: extract.Idioms | None = None, registry: DataFrame | None = None, declared: DataFrame | None = None) -> Graph:
+    linked = link_all(extract_all(files, idioms or extract.Idioms(), parsed), registry, declared)
     return Graph(files, linked["nodes"], linked["edges"], linked["processes"], linked["members"])
