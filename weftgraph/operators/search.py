@@ -64,6 +64,7 @@ def search_vectors(vectors: DataFrame, questions: DataFrame, k: int) -> DataFram
     that each row of the corpus is compared with in place; a task keeps its own k best of each
     question before anything is shuffled.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import DoubleType, StructType
 
     asked = questions.select("question", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL").collect()
@@ -71,11 +72,11 @@ def search_vectors(vectors: DataFrame, questions: DataFrame, k: int) -> DataFram
     if not asked:
         return top(vectors.sparkSession.createDataFrame([], schema), k, [F.col("distance"), F.col("id")])
     names, matrix = [r.question for r in asked], [list(r.vector) for r in asked]
-    near = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(nearest(names, matrix, k), schema)
+    near = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(nearest(names, matrix, k, [to_arrow_type(f.dataType) for f in schema]), schema)
     return top(near, k, [F.col("distance"), F.col("id")])
 
 
-def nearest(names: list, matrix: list, k: int):
+def nearest(names: list, matrix: list, k: int, kinds: list):
     def run(batches):
         import numpy as np
         import pyarrow as pa
@@ -99,7 +100,7 @@ def nearest(names: list, matrix: list, k: int):
                 del best[k:]
         rows = [(name, i, d) for name, best in zip(names, kept, strict=True) for d, i in best]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["question", "id", "distance"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=["question", "id", "distance"])
 
     return run
 
