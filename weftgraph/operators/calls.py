@@ -103,3 +103,31 @@ def resolve_imports(imports: DataFrame, modules: DataFrame) -> DataFrame:
     flat = modules.select("service", F.col("module").alias("target"), F.col("module").alias("__flat"))
     rows = imports.withColumn("__name", base).join(deep, ["service", "__name"], "left").join(flat, ["service", "target"], "left")
     return rows.select(*imports.columns, F.coalesce("__deep", "__flat").alias("module"))
+
+
+def cls_construction(calls: DataFrame, defs: DataFrame) -> DataFrame:
+    """``cls(...)`` inside a class method means the class: ``symbol`` is the enclosing symbol and ``(cls)``; adds ``dst``, or null."""
+    owner = F.regexp_extract("symbol", r"^(.*#)\w+\(\)\.\(cls\)$", 1)
+    known = defs.select(F.col("symbol").alias("__cls")).distinct()
+    rows = calls.withColumn("__cls", F.nullif(owner, F.lit("")))
+    return rows.join(known.withColumn("__ok", F.lit(True)), "__cls", "left").select(*calls.columns, F.when(F.col("__ok"), F.col("__cls")).alias("dst"))
+
+
+def singleton_targets(sites: DataFrame, singles: DataFrame, imports: DataFrame, methods: DataFrame) -> DataFrame:
+    """Calls on module singletons: call_id, target, tier.
+
+    ``sites``: call_id, service, module, receiver, callee. A receiver is a singleton if its name
+    belongs to one identity only and it is defined in the file or imported from where it is. Its
+    method is the rebuilt symbol if that is defined (1.0), else the only definition of that class and
+    method (0.6).
+    """
+    unique = singles.groupBy("service", "name").agg(F.count_distinct("module", "class_name").alias("n"), F.min("module").alias("origin"), F.min("class_name").alias("class_name"), F.min("class_symbol").alias("class_symbol")).where("n = 1")
+    met = sites.join(unique.select("service", F.col("name").alias("receiver"), "origin", "class_name", "class_symbol"), ["service", "receiver"])
+    brought = imports.select("service", "module", F.col("name").alias("receiver"), F.col("target").alias("origin")).distinct().withColumn("__imported", F.lit(True))
+    met = met.join(brought, ["service", "module", "receiver", "origin"], "left").where((F.col("module") == F.col("origin")) | F.col("__imported"))
+    met = met.withColumn("symbol", F.concat("class_symbol", "callee", F.lit("().")))
+    exact = methods.select("service", "symbol").distinct().withColumn("__exact", F.lit(True))
+    by_name = methods.groupBy("service", "class_name", F.col("method").alias("callee")).agg(F.count(F.lit(1)).alias("__n"), F.min("symbol").alias("__only"))
+    met = met.join(exact, ["service", "symbol"], "left").join(by_name, ["service", "class_name", "callee"], "left")
+    target = F.when(F.col("__exact"), F.col("symbol")).when(F.col("__n") == 1, F.col("__only"))
+    return met.select("call_id", target.alias("target"), F.when(F.col("__exact"), 1.0).otherwise(0.6).alias("tier")).where("target IS NOT NULL")

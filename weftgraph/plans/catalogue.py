@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weftgraph.plans import q_graph, q_rows, q_search  # noqa: F401  each module enters its queries
+from weftgraph.plans import q_graph, q_more, q_rows, q_search  # noqa: F401  each module enters its queries
 from weftgraph.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
 
 
