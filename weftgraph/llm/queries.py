@@ -22,5 +22,6 @@ ORACLE_SQL = {
     "op5_quality_rules": quality.ORACLE,
     "op7_decontamination": decontamination.ORACLE,
     "op8_substring_dedup": substring_dedup.ORACLE,
+    "op9_secret_scan": secret_scan.oracle(),
     "op10_license_scan": license_scan.oracle(),
 }

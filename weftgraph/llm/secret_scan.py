@@ -292,3 +292,51 @@ def op9_secret_scan(spark, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *(of(kind) for kind, *_ in PATTERNS), F.sha2(listed(F.col("__base")), 256).alias("base_sha256"), listed(F.col("__spans")).alias("spans")
     )
+
+
+def tail_sql(z: str) -> str:
+    t = f"(1 / (1 + 0.2316419 * {z}))"
+    poly = f"{t} * (0.319381530 + {t} * (-0.356563782 + {t} * (1.781477937 + {t} * (-1.821255978 + {t} * 1.330274429))))"
+    return f"(exp(-({z}) * ({z}) / 2) / {math.sqrt(2 * math.pi)!r} * {poly})"
+
+
+def oracle() -> str:
+    """The same spans in DuckDB: matches, pieces, battery and step-up."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    found = []
+    for rank, (kind, pattern, group, _) in enumerate([*PATTERNS, ("random", TOKEN.split(")", 1)[1], 0, 0)]):
+        p = quoted(pattern)
+        found.append(f"SELECT n, {rank} AS rank, '{kind}' AS kind, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, {group}) AS g, string_split_regex(text, {p}) AS p FROM d")
+    size = lambda which: "CASE enc " + " ".join(f"WHEN '{name}' THEN {sizes[which]}" for name, sizes in ENCODINGS.items()) + " END"
+    total = lambda items, body: f"coalesce(list_sum(list_transform({items}, lambda x: {body})), 0)"
+    two = lambda z: f"least(1.0, 2 * {tail_sql(f'abs({z})')})"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS text FROM documents),
+raw AS ({" UNION ALL ".join(found)}),
+one AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM raw),
+span AS (SELECT n, rank, kind, m[i] AS token, g[i] AS part, ({total("p[1:i]", "length(x)")} + {total("m[1:i - 1]", "length(x)")})::BIGINT AS start FROM one),
+base AS (SELECT n, rank, kind, start, start + length(token) AS stop FROM span WHERE rank < 3 AND (rank > 0 OR length(part) >= 8)),
+named AS (SELECT n, start, token, length(token)::DOUBLE AS l, regexp_matches(token, '[0-9]') AND regexp_matches(token, '[A-Za-z]') AS mixed,
+  CASE WHEN (regexp_matches(token, '^[0-9a-f]+$') OR regexp_matches(token, '^[0-9A-F]+$')) AND mixed THEN 'hex' WHEN regexp_matches(token, '^[A-Z2-7]+$') AND mixed THEN 'base32'
+       WHEN regexp_matches(token, '^[A-Za-z]+$') THEN 'letters' WHEN regexp_matches(token, '^[A-Za-z0-9]+$') AND mixed THEN 'base62'
+       WHEN mixed AND NOT regexp_matches(token, '[+/_-]{{2}}') THEN 'base64' END AS enc FROM span WHERE rank = 3),
+long AS (SELECT *, ({size(0)})::DOUBLE AS k, CASE enc WHEN 'hex' THEN lower(token) ELSE token END AS folded,
+  CASE enc WHEN 'hex' THEN '0123456789abcdef' WHEN 'base32' THEN 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567' ELSE '{ORDER}' END AS ord FROM named WHERE l >= {size(1)}),
+coded AS (SELECT *, string_split(folded, '') AS chars FROM long),
+ranked AS (SELECT *, {total("list_distinct(chars)", "pow(l - length(replace(folded, x, '')), 2)")} AS squares, list_transform(chars, lambda x: CASE WHEN strpos(ord, x) > 64 THEN strpos(ord, x) - 2 ELSE strpos(ord, x) END::DOUBLE) AS r FROM coded),
+centred AS (SELECT *, list_sum(r) / l AS mean, list_zip(r[1:len(r) - 1], r[2:]) AS pairs FROM ranked),
+measured AS (SELECT *, squares * k / l - l AS chi, {total("pairs", "CASE WHEN (x[1] > k / 2) <> (x[2] > k / 2) THEN 1.0::DOUBLE ELSE 0.0 END")} AS changes,
+  {total("pairs", "(x[1] - mean) * (x[2] - mean)")} AS joint, {total("r", "(x - mean) * (x - mean)")} AS spread FROM centred),
+scored AS (SELECT *, (pow(greatest(chi, 0) / (k - 1), 1 / 3::DOUBLE) - (1 - 2 / (9 * (k - 1)))) / sqrt(2 / (9 * (k - 1))) AS chi_z, (2 * changes - (l - 1)) / sqrt(l - 1) AS runs_z,
+  CASE WHEN spread > 0 THEN joint / spread * sqrt(l) ELSE sqrt(l) END AS serial_z FROM measured),
+tested AS (SELECT n, start, start + l::BIGINT AS stop, enc || ':' || CASE WHEN l < 32 THEN '24' WHEN l < 48 THEN '32' WHEN l < 64 THEN '48' WHEN l < 128 THEN '64' ELSE '128' END AS cls,
+  least(1.0, 3 * least(CASE WHEN chi_z > 0 THEN {tail_sql("chi_z")} ELSE 1 - {tail_sql("(-chi_z)")} END, {two("runs_z")}, {two("serial_z")})) AS pv FROM scored),
+binned AS (SELECT *, floor(least({GRID / 8 - 0.01}, -log10(greatest(pv, 1e-30))) * 8)::INT AS bin FROM tested),
+counted AS (SELECT cls, bin, sum(count(*)) OVER (PARTITION BY cls ORDER BY bin DESC) AS cum, sum(count(*)) OVER (PARTITION BY cls) AS total FROM binned GROUP BY cls, bin),
+cuts AS (SELECT cls, coalesce(min(bin) FILTER (pow(10, -bin / 8) <= {ALPHA} * cum / total), {GRID}) AS cut FROM counted GROUP BY cls),
+extra AS (SELECT n, 3 AS rank, 'random' AS kind, start, stop FROM binned t JOIN cuts USING (cls) WHERE bin < cut AND NOT EXISTS (SELECT 1 FROM base b WHERE b.n = t.n AND b.start < t.stop AND t.start < b.stop)),
+shown AS (SELECT n, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM extra) GROUP BY n),
+basic AS (SELECT n, count(*) FILTER (rank = 0) AS a, count(*) FILTER (rank = 1) AS b, count(*) FILTER (rank = 2) AS c, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM base GROUP BY n)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(basic.spans, '')) AS base_sha256, coalesce(shown.spans, '') AS spans
+FROM d LEFT JOIN basic USING (n) LEFT JOIN shown USING (n)
+"""
