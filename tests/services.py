@@ -109,6 +109,20 @@ app = FastAPI()
 @app.get("/docs/{doc_uid}")
 def get_document(doc_uid):
     return handle.signal("approved")
+''',
+    "deps.py": '''from fastapi import APIRouter, Depends
+from settings import Kind
+
+router = APIRouter()
+
+
+def get_db():
+    return None
+
+
+@router.get("/health")
+def health(db=Depends(get_db)):
+    return events.publish(Kind(db), 1)
 ''',
     "settings.py": '''from enum import Enum
 from pydantic_settings import BaseSettings, SettingsConfigDict

@@ -40,10 +40,13 @@ def test_golden_edges(graph):
         ("chan:http:shop:POST /api/orders/new", "HANDLES", shop + "routes`/create_order()."),
         ("chan:http:shop:GET /api/orders", "HANDLES", shop + "routes`/list_orders()."),
         ("chan:http:docs:GET /docs/{doc_uid}", "HANDLES", docs + "api`/get_document()."),
+        ("chan:http:docs:GET /health", "HANDLES", docs + "deps`/health()."),
     }
+    assert edges(graph, "DEPENDS_ON") == {(docs + "deps`/health().", "DEPENDS_ON", docs + "deps`/get_db().")}
     assert edges(graph, "PRODUCES") == {
         (shop + "service`/place().", "PRODUCES", "chan:event_type:OrderPlaced"),
         (docs + "api`/get_document().", "PRODUCES", "chan:temporal_signal:approved"),
+        *((docs + "deps`/health().", "PRODUCES", f"chan:event_type:{v}") for v in "ab"),
     }
     assert edges(graph, "CONSUMES") == {
         (worker + "handlers`/on_order().", "CONSUMES", "chan:event_type:OrderPlaced"),

@@ -263,3 +263,24 @@ def singleton_calls(sites: DataFrame, single: DataFrame, defs: DataFrame) -> Dat
     methods = methods.groupBy("service", "class_name", "callee").agg(F.min("id").alias("dst"), F.count(F.lit(1)).alias("n")).where("n = 1")
     hit = sites.join(one.withColumnRenamed("name", "receiver"), [*FILE, "receiver"]).join(methods, ["service", "class_name", "callee"])
     return edge_rows(hit.select("src", "dst", "service", "relpath", "line").dropDuplicates(["src", "dst"]), "CALLS", "heuristic", FALLBACK_CONFIDENCE, extractor="calls")
+
+
+def dependencies(sites: DataFrame, handlers: DataFrame, parsed: DataFrame, defs: DataFrame, modules: DataFrame) -> DataFrame:
+    """DEPENDS_ON edges: what a route's handler asks to be given by ``Depends(...)``, as a default or in an annotation."""
+    asked = sites.where("callee = 'Depends'").join(handlers.select(F.col("handler").alias("src")).distinct(), "src", "left_semi")
+    asked = asked.select(*FILE, "src", "line", F.get("args", F.lit(0))["text"].alias("what")).where("what IS NOT NULL")
+    found = symbol_of_name(asked, "what", parsed, defs, modules, "dst").where("dst IS NOT NULL")
+    return edge_rows(found.select("src", "dst", "service", "relpath", "line").dropDuplicates(["src", "dst"]), "DEPENDS_ON", extractor="fastapi")
+
+
+def enum_producers(sites: DataFrame, attributes: DataFrame, rule: Producer) -> DataFrame:
+    """One PRODUCES edge (heuristic 0.8) for each value of the enum that names the channel, where the enum's name is unique in its service."""
+    arg = F.get("args", F.lit(rule.position))
+    if rule.keyword:
+        arg = F.coalesce(F.try_element_at("kwargs", F.lit(rule.keyword)), arg)
+    values = attributes.where("is_enum").select("service", F.substring_index("class_fqn", ".", -1).alias("enum"), "class_fqn", F.col("default").alias("value"))
+    unique = values.groupBy("service", "enum").agg(F.count_distinct("class_fqn").alias("n")).where("n = 1").drop("n")
+    hit = sites.where(path_suffix_matches(F.col("path"), rule.call)).withColumn("enum", F.regexp_extract(arg["text"], r"^(\w+)\(", 1))
+    met = hit.join(unique, ["service", "enum"]).join(values, ["service", "enum"])
+    rows = met.select("src", ids.channel_id(rule.kind, F.col("value")).alias("dst"), "service", "relpath", "line").dropDuplicates(["src", "dst"])
+    return edge_rows(rows, "PRODUCES", "heuristic", 0.8, extractor="kafka")

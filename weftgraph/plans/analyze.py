@@ -50,6 +50,9 @@ def extract_all(files: DataFrame, idioms: extract.Idioms, parsed: DataFrame | No
     t = extract.temporal(parsed, sites, defs, modules)
     found.append(t["edges"])
     routes, mounts = extract.routes(parsed, defs)
+    found.append(extract.dependencies(sites, routes, parsed, defs, modules))
+    attributes = extract.class_attributes(parsed, defs)
+    found += [extract.enum_producers(sites, attributes, rule) for rule in idioms.producers]
     every = found[0]
     for e in found[1:]:
         every = every.unionByName(e)
