@@ -37,7 +37,9 @@ def question_tokens(questions: DataFrame) -> DataFrame:
 
 def top(scored: DataFrame, k: int, order: list[Column], by: str = "question") -> DataFrame:
     """The first k rows of each question, with 0-based ``rank``."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1).where(F.col("rank") < k)
+    nth = F.row_number().over(Window.partitionBy(by).orderBy(*order))
+    # a bare bound on the row number lets each task cut to k rows before the shuffle
+    return scored.withColumn("__nth", nth).where(F.col("__nth") <= k).withColumn("rank", F.col("__nth") - 1).drop("__nth")
 
 
 def search_text(posted: DataFrame, questions: DataFrame, k: int) -> DataFrame:
@@ -52,8 +54,8 @@ def search_text(posted: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     met = met.join(df, "token").withColumn("w", weight)
     scored = met.groupBy("question", "id").agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("matched"), F.first("wanted").alias("wanted"))
     scored = scored.select("question", "id", F.round("score", 6).alias("score"), (F.col("matched") == F.col("wanted")).alias("every"), "wanted")
-    any_every = F.max("every").over(Window.partitionBy("question"))
-    kept = scored.withColumn("__all", any_every).where(F.col("every") | (~F.col("__all") & (F.col("wanted") >= 2)))
+    strict = scored.groupBy("question").agg(F.max("every").alias("__all"))  # a row for each question
+    kept = scored.join(strict, "question").where(F.col("every") | (~F.col("__all") & (F.col("wanted") >= 2)))
     return top(kept.select("question", "id", "score"), k, [F.desc("score"), F.col("id")])
 
 
