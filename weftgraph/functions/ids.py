@@ -73,7 +73,7 @@ def slugify(text: Column) -> Column:
     return F.regexp_replace(s, "^-|-$", "")
 
 
-def scip_parts(symbol: Column) -> Column:
+def symbol_parts(symbol: Column) -> Column:
     """``scheme manager package version descriptors``; ``local N`` has no parts; fewer than five is null."""
     parts = F.split(symbol, " ", 5)
     return F.when(~F.startswith(symbol, F.lit("local ")) & (F.size(parts) == 5), parts)

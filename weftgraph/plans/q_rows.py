@@ -302,10 +302,10 @@ def h5(spark, sf):
 def h6(spark, sf):
     svc = F.concat(F.lit("user"), "user_id")
     symbol = ids.symbol_id(svc, F.concat(F.lit("`m`/f"), "event_id", F.lit("().")))
-    scip = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("local "), "event_id")).otherwise(F.concat(F.lit("scip-python python pkg 1.0 `m`/f"), "event_id", F.lit("(). tail")))
+    symbol_text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("local "), "event_id")).otherwise(F.concat(F.lit("index python pkg 1.0 `m`/f"), "event_id", F.lit("(). tail")))
     return table(spark, sf, "events").select(
         "event_id", symbol.alias("symbol"), ids.service_of(symbol).alias("service"), ids.local_symbol_id(svc, F.lit("a.py"), F.concat(F.lit("local "), "event_id")).alias("local_id"),
-        ids.route_id(F.when(F.col("event_id") % 2 == 1, F.col("event_type")), F.lit("GET"), F.lit("/x")).alias("route"), F.get(ids.scip_parts(scip), F.lit(4)).alias("descriptor"))
+        ids.route_id(F.when(F.col("event_id") % 2 == 1, F.col("event_type")), F.lit("GET"), F.lit("/x")).alias("route"), F.get(ids.symbol_parts(symbol_text), F.lit(4)).alias("descriptor"))
 
 
 @query("h7_line_index", "SELECT doc_id, len(string_split(text, chr(10)))::INT AS n, list_sum(list_transform(string_split(text, chr(10)), lambda x: strlen(x)))::BIGINT AS bytes FROM documents")
