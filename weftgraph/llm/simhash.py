@@ -235,7 +235,7 @@ def near_duplicates(
     nodes = cut(nodes)
     root = roots(links(nodes.drop("first"), words, radius, lanes, step, min_ratio))
     rooted = cut(nodes.select("id", "first").join(root.withColumnRenamed("u", "id"), "id", "left").select("id", "first", F.coalesce("root", "id").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))  # both sides plain, so that a large component can be split
     labels = cut(rooted.select("id", "root").join(least, "root").select("id", "component_id"))
     return made.join(labels, "id").select("doc_id", "size", *prints, "component_id")
 
