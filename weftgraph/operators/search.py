@@ -9,24 +9,48 @@ their size), top lists are cut within tasks first, and only what is left is shuf
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions.scalars import cosine_distance, sanitize_query, snippet
+from weftgraph.session import cut
 
 K1, B = 1.2, 0.75
 RRF_BASE, POOL, MAX_K = 60, 4, 20
+#: Tokens of a batch of questions that are broadcast at most; beyond, they are shuffled like the postings.
+MOST_BROADCAST = 100_000
 
 
 def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: t != "")
 
 
-def postings(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """token, id, tf, dl: one row for each distinct token of a document."""
+@dataclass(frozen=True)
+class Postings:
+    """A built index: token, id, tf, dl; the number of documents and their mean length."""
+
+    frame: DataFrame
+    n: int
+    average: float
+
+
+def measured(frame: DataFrame) -> Postings:
+    row = frame.select("id", "dl").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("average")).first()  # two numbers
+    return Postings(frame, row["n"], row["average"] or 1.0)
+
+
+def postings(docs: DataFrame, id_col: str, text: Column) -> Postings:
+    """Build the index: a row for each distinct token of a document, written once and read by every search."""
     rows = docs.select(F.col(id_col).alias("id"), tokens(text).alias("ts"))
     rows = rows.select("id", F.size("ts").alias("dl"), F.explode("ts").alias("token"))
-    return rows.groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf")).select("token", "id", "tf", "dl")
+    return measured(cut(rows.groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf")).select("token", "id", "tf", "dl")))
+
+
+def restricted(posted: Postings, ids: DataFrame) -> Postings:
+    """The index of the documents whose ids are in ``ids``."""
+    return measured(posted.frame.join(ids.select("id").distinct(), "id", "left_semi"))
 
 
 def question_tokens(questions: DataFrame) -> DataFrame:
@@ -42,16 +66,16 @@ def top(scored: DataFrame, k: int, order: list[Column], by: str = "question") ->
     return scored.withColumn("__nth", nth).where(F.col("__nth") <= k).withColumn("rank", F.col("__nth") - 1).drop("__nth")
 
 
-def search_text(posted: DataFrame, questions: DataFrame, k: int) -> DataFrame:
+def search_text(posted: Postings, questions: DataFrame, k: int) -> DataFrame:
     """question, id, score, rank: all tokens if any document has them all, else any of at least two tokens."""
-    q = question_tokens(questions)
-    size = posted.select("id", "dl").distinct().agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()  # two numbers
-    n, average = size["n"], size["avgdl"] or 1.0
-    met = posted.join(q, "token")
-    df = q.select("token").distinct().join(posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token")
-    idf = F.log1p((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(average))))
-    met = met.join(df, "token").withColumn("w", weight)
+    q = cut(question_tokens(questions))
+    if q.count() <= MOST_BROADCAST:
+        q = F.broadcast(q)
+    asked = posted.frame.join(q.select("token"), "token", "left_semi")
+    df = asked.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log1p((F.lit(float(posted.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(posted.average))))
+    met = asked.join(q.join(df, "token"), "token").withColumn("w", weight)
     scored = met.groupBy("question", "id").agg(F.sum("w").alias("score"), F.count(F.lit(1)).alias("matched"), F.first("wanted").alias("wanted"))
     scored = scored.select("question", "id", F.round("score", 6).alias("score"), (F.col("matched") == F.col("wanted")).alias("every"), "wanted")
     strict = scored.groupBy("question").agg(F.max("every").alias("__all"))  # a row for each question
@@ -132,7 +156,7 @@ def by_symbol(fused: DataFrame, owner: DataFrame, k: int) -> DataFrame:
     return top(rows.select("question", "id", "symbol", "score", "sibling_chunks"), k, [F.desc("score"), F.col("id")])
 
 
-def search_code(chunks: DataFrame, posted: DataFrame, questions: DataFrame, k: int = 8, mode: str = "hybrid", service: str | None = None) -> DataFrame:
+def search_code(chunks: DataFrame, posted: Postings, questions: DataFrame, k: int = 8, mode: str = "hybrid", service: str | None = None) -> DataFrame:
     """Top k symbols of each question (question, text, vector).
 
     ``chunks`` has id, symbol, service, vector, text and whatever else an item shows. Each leg gives
@@ -143,7 +167,7 @@ def search_code(chunks: DataFrame, posted: DataFrame, questions: DataFrame, k: i
     k = max(1, min(MAX_K, k))
     if service is not None:
         chunks = chunks.where(F.col("service") == service)
-        posted = posted.join(chunks.select("id"), "id", "left_semi")
+        posted = restricted(posted, chunks)
     legs = []
     if mode in ("text", "hybrid"):
         legs.append(search_text(posted, questions, POOL * k))
@@ -158,14 +182,14 @@ def items(found: DataFrame, chunks: DataFrame) -> DataFrame:
     return found.join(chunks.select(*rest, snippet(F.col("text")).alias("snippet")), "id")
 
 
-def find_entrypoint(symbol_postings: DataFrame, chunks: DataFrame, questions: DataFrame, nodes: DataFrame, kinds: list[str] | None = None, k: int = 5) -> DataFrame:
+def find_entrypoint(symbol_postings: Postings, chunks: DataFrame, questions: DataFrame, nodes: DataFrame, kinds: list[str] | None = None, k: int = 5) -> DataFrame:
     """question, id, score: symbols by text fused with the best chunk of each symbol by vector.
 
     If no question has a vector: text alone, k and not 4k rows, raw scores.
     """
     k = max(1, min(MAX_K, k))
     wanted = nodes.where(F.col("kind").isin(*kinds)) if kinds else nodes
-    posted = symbol_postings.join(wanted.select("id"), "id", "left_semi")
+    posted = restricted(symbol_postings, wanted) if kinds else symbol_postings
     if questions.where("vector IS NOT NULL").isEmpty():
         return search_text(posted, questions, k).select("question", "id", "score")
     text = search_text(posted, questions, POOL * k)
