@@ -18,7 +18,7 @@ LEAST_SCORE = 0.3
 #: Near duplicates: shingles of five words, similarity 0.8. Sets of that Jaccard similarity have a
 #: cosine of 8/9, which turns 15 percent of SimHash bits on average; of 256 bits 39, and with a
 #: standard deviation of 5.7 most such pairs are within 45, and the chain of copies brings in the
-#: rest (of 702 pairs on a slice of the check data two or three stay apart). Sizes must agree to 0.8.
+#: rest (of 702 pairs on a slice of the check data two stay apart). Sizes must agree to 0.8.
 NEAR = {"width": 5, "words": 4, "distinct": True, "radius": 45, "min_ratio": 0.8, "lanes": 1, "step": 32}
 
 
