@@ -15,11 +15,11 @@ from weftgraph.session import cut, table
 
 #: A document goes if it has no letter, or if its languages are all about equally likely.
 LEAST_SCORE = 0.3
-#: Near duplicates: shingles of five words, similarity 0.8. Sets of that Jaccard similarity have a
-#: cosine of 8/9, which turns 15 percent of SimHash bits on average; of 256 bits 39, and with a
-#: standard deviation of 5.7 most such pairs are within 45, and the chain of copies brings in the
-#: rest (of 702 pairs on a slice of the check data two stay apart). Sizes must agree to 0.8.
-NEAR = {"width": 5, "words": 4, "distinct": True, "radius": 45, "min_ratio": 0.8, "lanes": 1, "step": 32}
+#: Near duplicates: sets of five-word shingles of Jaccard similarity 0.8 or more, each link confirmed
+#: by the sets. Fingerprints only find the candidates among sets of more than 64 shingles: similarity
+#: 0.8 turns 15 to 16 percent of 256 bits, 39 or 41 on average with a standard deviation of 6, so 72
+#: bits are over five deviations off. Smaller sets are looked up by their least hashes, which miss none.
+NEAR = {"width": 5, "ratio": 0.8, "radius": 72, "few": 64, "words": 4, "lanes": 1, "step": 32}
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(docs, **NEAR)
+    found = simhash.near_copies(docs, **NEAR)
     losers = found.where("doc_id != component_id").select("doc_id").distinct()
     known = docs.where("doc_id IS NOT NULL").join(losers, "doc_id", "left_anti")
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))

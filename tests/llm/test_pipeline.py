@@ -66,3 +66,34 @@ def test_run_keeps_every_token_of_what_is_left(spark, tiny):
     documents = spark.read.parquet(f"{tiny}/documents.parquet").count()
     assert 0.5 * documents < len(total) < documents
     assert packing.SEQUENCE >= max(np.bincount(np.unique([r.sequence_id for r in got], return_inverse=True)[1], [r.length for r in got]))
+
+
+def test_near_duplicates_are_confirmed_by_their_shingles(spark):
+    """Small texts and pairs at the threshold: linked are exactly those of Jaccard similarity 0.8."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for n in [*range(8, 16), 20, 24, 40, 70, 90, 130, 220]:
+        for _ in range(6):
+            words = [f"v{x}" for x in rng.integers(0, 10**9, n)]
+            cut = lambda k: " ".join(words[: len(words) - k])  # noqa: B023, E731
+            texts += [" ".join(words), cut(1), cut(max(2, (n - 4) // 5)), " ".join([*words[:-1], "end"]), " ".join([*words[: n // 2], "mid", *words[n // 2 + 1 :]])]
+    rows = [(k, t, "en") for k, t in enumerate(texts)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    out = STAGES["simhash_near_dedup"](spark, frame(spark, rows), "")
+    assert kept(out) == sorted({str(r): r for r in root}.values(), key=str)
+
+
+def test_large_candidate_groups_are_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(pipeline.simhash, "PART", 3)
+    words = [f"w{k}" for k in range(120)]
+    chain = [" ".join(words[k : k + 100]) for k in range(0, 20, 2)]
+    other = [" ".join(words[:58] + [f"o{k}x{j}" for j in range(40)]) for k in range(3)]
+    docs = frame(spark, [(k, t, "en") for k, t in enumerate(chain + other)])
+    assert kept(STAGES["simhash_near_dedup"](spark, docs, "")) == sorted([0, 10, 11, 12], key=str)

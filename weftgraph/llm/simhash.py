@@ -25,6 +25,7 @@ repeated rows are each returned; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
+import math
 from itertools import product
 
 import numpy as np
@@ -38,6 +39,7 @@ from weftgraph.llm.components import roots
 from weftgraph.session import cut
 
 TILE = 8192
+PART = 1024
 SEED = 42
 
 
@@ -240,6 +242,143 @@ def near_duplicates(
     return made.join(labels, "id").select("doc_id", "size", *prints, "component_id")
 
 
+def set_id(h: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(h.tobytes(), SEED) - 2**63
+
+
+def set_writer(width: int):
+    """``id, hashes``: each text's sorted set of shingle hashes under its id."""
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [np.sort(shingle_hashes(raw, width, True)) for raw in batch.column(0).slice(at, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["id", "hashes"])
+
+    return run
+
+
+def copy_printer(width: int, words: int, few: int, ratio: float):
+    """Like ``printer``, with ``id`` (a hash of the shingle set) and, for texts of few shingles, ``low``:
+    so many of the least hashes that two sets of Jaccard similarity ``ratio`` share one."""
+    names = ["doc_id", "id", "size", *(f"f{k}" for k in range(words)), "low"]
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                sets = [np.sort(shingle_hashes(raw, width, True)) for raw in batch.column(1).slice(at, 256).to_pylist()]
+                prints = [fingerprint(h, words) for h in sets]
+                least = [h[: len(h) - math.ceil(ratio * len(h) - 1e-9) + 1].view(np.int64) if len(h) <= few / ratio else h[:0].view(np.int64) for h in sets]
+                columns = [
+                    batch.column(0).slice(at, 256),
+                    pa.array([set_id(h) for h in sets], pa.int64()),
+                    pa.array([len(h) for h in sets], pa.int64()),
+                    *(pa.array([p[k] for p in prints], pa.int64()) for k in range(words)),
+                    pa.array(least, pa.list_(pa.int64())),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return run
+
+
+def exact_forest(prints: np.ndarray, sets: list[np.ndarray], radius: int, few: int, ratio: float) -> np.ndarray:
+    """Labels of the rows: linked are all pairs whose sets have at least the Jaccard similarity ``ratio``.
+
+    Pairs of one label are not compared again, so a group of copies costs about a comparison for each member."""
+    sizes = np.array([len(s) for s in sets])
+    order = np.argsort(sizes, kind="stable")
+    sizes, prints = sizes[order], prints[order]
+    label = np.arange(len(order))
+    for i in range(len(order) - 1):
+        hi = np.searchsorted(sizes, sizes[i] / ratio + 1e-9, "right")
+        open_ = label[i + 1 : hi] != label[i]
+        if sizes[i] > few:
+            open_ &= np.bitwise_count(prints[i + 1 : hi] ^ prints[i]).sum(axis=1, dtype=np.int64) <= radius
+        js = np.flatnonzero(open_) + i + 1
+        if not len(js) or not sizes[i]:
+            continue
+        for at in range(0, len(js), 128):
+            some = js[at : at + 128]
+            hit = np.isin(np.concatenate([sets[order[j]] for j in some]), sets[order[i]])
+            both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes[some])[:-1]]), dtype=np.int64)
+            alike = np.unique(label[some[both >= ratio * (sizes[i] + sizes[some] - both) - 1e-9]])
+            if len(alike):
+                label[np.isin(label, alike)] = label[i]
+    out = np.empty_like(label)
+    out[order] = order[label]
+    return out
+
+
+def confirmer(words: int, radius: int, few: int, ratio: float):
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                flat = [c.slice(row, 1).flatten() for c in batch.columns if c.is_valid()[row].as_py()]
+                field = lambda name: np.concatenate([x.field(name).to_numpy(zero_copy_only=False) for x in flat])  # noqa: B023, E731
+                ids, prints = field("id"), np.stack([field(f"f{k}") for k in range(words)], axis=1).view(np.uint64)
+                label = exact_forest(prints, [np.frombuffer(b, np.uint64) for b in field("hashes")], radius, few, ratio)
+                linked = np.flatnonzero(label != np.arange(len(label)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[label[linked]])], names=["u", "v"])
+
+    return run
+
+
+def confirmed(members: DataFrame, sets: DataFrame, words: int, radius: int, few: int, ratio: float) -> DataFrame:
+    """``u, v``: spanning forests of the links within each group ``root`` of ``members`` (id, root, f0...), by ``sets`` (id, hashes).
+
+    A large group is split by hash into parts, and each two parts are compared."""
+    counted = cut(members.groupBy("root").count())
+    dealt = cut(members.join(counted, "root").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "id"), F.ceil(F.col("count") / PART))))
+    cells = F.collect_list(F.struct("id", *(f"f{k}" for k in range(words)), "hashes")).alias("cells")
+    parts = cut(sets.join(dealt, "id").groupBy("root", "part").agg(cells))
+    keys = parts.select("root", "part")
+    pairs = keys.withColumnRenamed("part", "a").join(keys.withColumnRenamed("part", "b"), "root").where("a < b")
+    alone = parts.join(parts.groupBy("root").count().where("count = 1").select("root"), "root").select("cells", F.expr("CAST(NULL AS " + parts.schema["cells"].dataType.simpleString() + ")").alias("more"))
+    left = parts.select("root", F.col("part").alias("a"), "cells")
+    right = parts.select("root", F.col("part").alias("b"), F.col("cells").alias("more"))
+    loaded = pairs.join(left, ["root", "a"]).join(right, ["root", "b"]).select("cells", "more")
+    return alone.unionByName(loaded).mapInArrow(confirmer(words, radius, few, ratio), "u bigint, v bigint")
+
+
+def near_copies(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    width: int = 5,
+    ratio: float = 0.8,
+    radius: int = 72,
+    few: int = 64,
+    words: int = 4,
+    lanes: int = 1,
+    step: int = 32,
+) -> DataFrame:
+    """``doc_id, size, component_id``: components of the texts whose sets of shingles have at least the Jaccard similarity ``ratio``.
+
+    Candidates are sets of more than ``few`` shingles whose fingerprints differ in at most ``radius``
+    bits, and smaller ones (with all that can be similar to them) that share one of their least
+    hashes, which similar sets always do. Each link is confirmed by the sets of shingle hashes.
+    """
+    prints = [f"f{k}" for k in range(words)]
+    given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(F.col(text_col)).alias("text"))
+    schema = "doc_id bigint, id bigint, size bigint, " + ", ".join(f"{f} bigint" for f in prints) + ", low array<bigint>"
+    made = cut(given.mapInArrow(copy_printer(width, words, few, ratio), schema))
+    nodes = cut(made.groupBy("id").agg(F.min("doc_id").alias("first"), F.max("size").alias("size"), *(F.min(f).alias(f) for f in prints)))
+    lows = cut(made.select("id", F.explode("low").alias("h")).distinct())
+    heads = cut(lows.groupBy("h").agg(F.min("id").alias("v")))
+    shared = lows.join(heads, "h").where("id != v").select(F.col("id").alias("u"), "v")
+    near = links(nodes.where(F.col("size") > few).drop("first"), words, radius, lanes, step, ratio)
+    maybe = cut(roots(near.unionByName(shared)))
+    grouped = cut(maybe.select(F.col("u").alias("id"), "root").unionByName(maybe.select(F.col("root").alias("id"), "root").distinct()))
+    # the sets are made again and not kept from above: they are larger than the texts
+    sets = given.select("text").mapInArrow(set_writer(width), "id bigint, hashes binary").groupBy("id").agg(F.min("hashes").alias("hashes"))
+    members = cut(nodes.select("id", *prints).join(grouped, "id"))
+    root = roots(confirmed(members, sets, words, radius, few, ratio))
+    rooted = cut(nodes.select("id", "first").join(root.withColumnRenamed("u", "id"), "id", "left").select("id", "first", F.coalesce("root", "id").alias("root")))
+    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
+    labels = cut(rooted.select("id", "root").join(least, "root").select("id", "component_id"))
+    return made.join(labels, "id").select("doc_id", "size", "component_id")
+
+
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
