@@ -117,3 +117,16 @@ def test_licenses(spark):
         (0, "", None, 0), (1, "MIT", "MIT", 1), (2, "", None, 0), (3, "", None, 0), (5, "CC-BY-NC-4.0,MIT", "CC-BY-NC-4.0", 2), (6, "GPL-2.0-or-later", "GPL-2.0-or-later", 3)]
     assert [(r.licenses, r.n_sentences) for r in got if r.doc_id == 4] == [("Apache-2.0", 3)] * 2
     assert license_scan.recognise(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_wrapped_licenses(spark):
+    import textwrap
+
+    wrapped = lambda prefix, *names: f"\n{prefix}\n".join(textwrap.fill(license_scan.SENTENCES[n] + end, 72, initial_indent=prefix, subsequent_indent=prefix) for n, end in names)
+    mit = "The MIT licence of old\n\n" + wrapped("", ("mit-grant", ":"), ("mit-notice", "."))
+    gpl = wrapped("# ", ("gpl-free", ":"), ("gpl-3-later", "."))
+    bsd = "Copyright (c) X\n" + wrapped(" * ", ("bsd-redistribution", ":"), ("bsd-endorse", "."))
+    apart = license_scan.SENTENCES["mit-notice"].replace("all copies", "all\n\ncopies")
+    rows = [(1, mit), (2, gpl), (3, bsd), (4, apart), (5, mit.replace("\n", "\r\n"))]
+    got = license_scan.recognise(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCS)).collect()
+    assert sorted((r.doc_id, r.licenses, r.n_sentences) for r in got) == [(1, "MIT", 2), (2, "GPL-3.0-or-later", 2), (3, "BSD-3-Clause", 2), (4, "", 0), (5, "MIT", 2)]

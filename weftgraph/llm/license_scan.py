@@ -1,7 +1,8 @@
 """License scans: normalised sentences become identifiers, and ordered rules match the identifier sequence.
 
-A text is cut into sentences at line ends and at ``.``, ``;`` or ``:`` before white space. A
-sentence is normalised (A-Z lower-cased, runs of anything but letters and digits as one space) and
+A text is cut into sentences at blank lines and at ``.``, ``;`` or ``:`` before white space. A known
+sentence may also begin and end at any line end, and may be wrapped over lines with or without
+comment prefixes; of those that begin at a place the longest wins. A sentence is normalised (A-Z lower-cased, runs of anything but letters and digits as one space) and
 looked up in the table of known licence sentences. A document's identifiers, in order, then meet
 the ordered rules: a rule is a sequence of identifiers that must stand next to each other among the
 known sentences; at each position the first rule that fits wins and its sentences are consumed.
@@ -69,8 +70,22 @@ BREAK = r"\n+|[.;:]+[ \t\r\n]+|[.;:]+\z"
 OTHER = r"[^\p{L}\p{N}]+"
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), OTHER, " "))
+#: Stands for a sentence's end in marked texts; not a letter or a digit.
+END = "\ue000"
+ENDS = r"[.;:]+(?:[ \t\r\n]+|\z)|\n(?:[^\p{L}\p{N}\n]*\n)+"
+
+
+def marked(text: Column) -> Column:
+    """Lower-cased words with one character between: a space, a line end, or END."""
+    parts = F.regexp_replace(F.regexp_replace(F.lower(text), END, " "), ENDS, END)
+    spaced = F.regexp_replace(parts, rf"[^\p{{L}}\p{{N}}\n{END}]+", " ")
+    return F.regexp_replace(F.concat(F.lit(END), spaced, F.lit(END)), rf" ?([\n{END}]) ?", "$1")
+
+
+def sentence_pattern(plain: list[str]) -> str:
+    """Known sentences between two ends, the longest first; a line may end after any word."""
+    ordered = sorted(plain, key=lambda x: (-len(x), x))
+    return rf"(?<=[\n{END}])(?:" + "|".join(x.replace(" ", r"[ \n]") for x in ordered) + rf")(?=[\n{END}])"
 
 
 def known(sentences: dict[str, str]) -> dict[str, str]:
@@ -93,14 +108,16 @@ def rule_key(rule: tuple[str, ...]) -> str:
 def recognise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: dict[str, str] | None = None, rules: list | None = None) -> DataFrame:
     """``doc_id, licenses, first_license, sentence_ids, n_sentences``, a row for each document.
 
-    The sentence table and the rules are parameters of some hundreds of entries and travel in the plan.
+    The sentence table and the rules are parameters and travel in the plan.
     """
     sentences, rules = sentences or SENTENCES, rules or RULES
-    names = F.create_map(*(F.lit(x) for pair in known(sentences).items() for x in pair))
+    table = known(sentences)
+    names = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
     first = {rule_key(rule): name for rule, name in reversed(rules)}
     licence = F.create_map(*(F.lit(x) for pair in first.items() for x in pair))
     pattern = "|".join(re.escape(rule_key(r)).replace("\\-", "-") for r, _ in rules)
-    ids = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), BREAK, -1), lambda s: F.try_element_at(names, normalised(s))), lambda x: x.isNotNull())
+    met = F.regexp_extract_all(marked(F.coalesce(F.col(text_col), F.lit(""))), F.lit(sentence_pattern(list(table))), F.lit(0))
+    ids = F.transform(met, lambda s: F.try_element_at(names, F.translate(s, "\n", " ")))
     seen = docs.select(F.col(id_col).alias(id_col), ids.alias("ids"))
     found = seen.select(id_col, "ids", F.regexp_extract_all(F.array_join(F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), ""), F.lit(pattern), F.lit(0)).alias("met"))
     found = found.select(id_col, "ids", F.transform("met", lambda m: F.try_element_at(licence, m)).alias("all"))
