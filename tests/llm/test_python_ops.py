@@ -259,8 +259,8 @@ def test_cover_meets_every_pair_of_positions():
 @pytest.mark.parametrize("small", [False, True])
 def test_substrings_against_brute_force(docs, rows, monkeypatch, small):
     if small:  # many groups and buckets
-        monkeypatch.setattr(substring_dedup, "GROUP_BYTES", (5000, 5000))
-        monkeypatch.setattr(substring_dedup, "BUCKET_HASHES", (100, 100))
+        monkeypatch.setattr(substring_dedup, "GROUP_BYTES", 5000)
+        monkeypatch.setattr(substring_dedup, "BUCKET_HASHES", 100)
     first: dict = {}
     for i, t in rows:
         words = WORD.findall(t or "")
@@ -276,3 +276,23 @@ def test_substrings_against_brute_force(docs, rows, monkeypatch, small):
     got = [(r.doc_id or 0, r.n_words, r.n_removed, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in substring_dedup.dedup_substrings(docs).collect()]
     assert sorted(got) == sorted(want) and sum(w[2] for w in want) > 100
     assert substring_dedup.dedup_substrings(docs.limit(0)).count() == 0
+
+
+def test_substring_groups_do_not_grow_with_the_corpus(spark):
+    """Rows of one id and text are dealt to many groups, and a group's memory stays small."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    text = " ".join(f"w{k}" for k in range(400))
+    docs = spark.createDataFrame([(1, text)] * 3000, "doc_id bigint, text string")
+    groups = substring_dedup.deal(docs, 4).groupBy("g").count().collect()
+    assert len(groups) == 4 and max(r["count"] for r in groups) < 1000
+    rng = random.Random(1)
+    size = substring_dedup.GROUP_BYTES
+    texts = [" ".join(f"x{rng.randrange(10**6)}" for _ in range(300)).encode() for _ in range(size // 2300)]
+    table = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.binary()), "g": pa.array([0] * len(texts), pa.int64())})
+    tracemalloc.start()
+    substring_dedup.send_anchors(4)(table)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()

@@ -5,24 +5,37 @@ also starts in a document with a smaller id. Positions modulo 7 in {0, 1, 3} are
 cover: for any two positions there is a shift below 7 that brings both onto the cover. So two equal
 windows share an anchor of 13 - 6 = 7 words that starts on the cover in both. Only those anchors
 are hashed (three of seven positions); a window is looked at further only if it holds an anchor
-that another document has too. Such windows are then extended to their 13 words and compared whole.
-
-How it runs: texts are dealt by hash to groups of bounded size. A group sends the distinct hashes
-of its anchors, packed by hash bucket. A bucket answers with one bit per hash: met in another group
-or not. The group then sends its candidate windows the same way, with the smallest id that has each
-(64-bit keys within buckets of an independent hash), and gets back one bit each: a smaller id
-elsewhere or not. A passage in a third of all documents sends one hash per group and never one per
-document, so no bucket grows with it. Texts are shuffled once, and the three steps that read them
-share that shuffle. Group and bucket sizes are bounded by parameters and grow within the bounds
-with the corpus, so that messages between them stay packed.
+that another document has too. Such windows are then extended to their 13 words.
+
+How it runs: rows are dealt at random, with a fixed seed, to groups of about ``GROUP_BYTES`` of text,
+whatever the size of the corpus and however often a row is repeated. A group sends the distinct
+hashes of its anchors, packed by hash bucket. A bucket answers with one bit per hash: met in another
+group or not. The group then sends its candidate windows the same way, with the smallest id that has
+each, and gets back one bit each: a smaller id elsewhere or not. A passage in a third of all
+documents sends one hash per group and never one per document. Texts are shuffled once, and the three
+steps that read them share that shuffle.
+
+Memory: a group holds its words and some arrays of eight bytes a word, a bucket about
+``BUCKET_HASHES`` hashes and, for each hash that many groups have, as many as there are groups. Both
+bounds are constants, so a larger corpus has more groups and more buckets, not larger ones; messages
+shrink with that, down to one hash each.
+
+Windows are compared by hashes and not by their words: a key of 64 bits and, independent of it, the
+bucket's number. Among n distinct candidate windows a wrong removal is
+expected n * n / 2 ** (65 + bits of a bucket's number) times: below one in a million for a billion
+candidates, whose corpus has some 2 ** 16 buckets or more.
 
 Defined cases: a null or empty text has no words; a document of under 13 words stays whole; rows
 with a null id stay whole and cause no removal; rows with equal ids do not cause removal in each
-other; an empty table gives an empty result; other columns are ignored.
+other; an empty table gives an empty result; other columns are ignored. The dealing follows the order
+of rows within a task, which a table or a checkpoint gives again when a task is run anew; give this
+operator one of those.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -33,8 +46,8 @@ from weftgraph.llm.common import utf8
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
-#: Bounds of a group in bytes of text, and of a bucket in hashes.
-GROUP_BYTES, BUCKET_HASHES = (4 << 20, 64 << 20), (1 << 20, 1 << 24)
+#: Sizes of a group in bytes of text (a longer text is a group's only limit), and of a bucket in hashes.
+GROUP_BYTES, BUCKET_HASHES, SEED = 4 << 20, 1 << 20, 13
 LOW = np.uint64((1 << 48) - 1)
 FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 MESSAGE = "bucket bigint, g bigint, hashes binary, ids binary"
@@ -133,9 +146,17 @@ def six_bytes(low: np.ndarray) -> bytes:
     return np.ascontiguousarray(low.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
 
-def from_six_bytes(raw: bytes) -> np.ndarray:
+def joined(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without an object for each value, and the lengths."""
+    parts = [(np.frombuffer(c.buffers()[2] or b"", np.uint8), np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1]) for c in column.chunks if len(c)]
+    if not parts:
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    return np.concatenate([data[at[0] : at[-1]] for data, at in parts]), np.concatenate([np.diff(at) for _, at in parts]).astype(np.int64)
+
+
+def from_six_bytes(raw: np.ndarray) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    out[:, :6] = raw.reshape(-1, 6)
     return out.view("<u8").reshape(-1)
 
 
@@ -172,25 +193,22 @@ def send_anchors(bucket_bits: int):
 
 
 def answer_anchors(table: pa.Table) -> pa.Table:
-    lists = [from_six_bytes(h) for h in table.column("hashes").to_pylist()]
-    every = np.concatenate(lists)
+    raw, lengths = joined(table.column("hashes"))
+    every = from_six_bytes(raw)
     order = np.argsort(every, kind="stable")
     at = runs(every[order])
     often = np.diff(np.append(at, len(every))) > 1
     flags = np.empty(len(every), bool)
     flags[order] = np.repeat(often, np.diff(np.append(at, len(every))))
-    return answered(table, 1, flags, [len(x) for x in lists])
+    return answered(table, 1, flags, lengths // 6)
 
 
-def answered(table: pa.Table, round_: int, flags: np.ndarray, sizes: list[int]) -> pa.Table:
+def answered(table: pa.Table, round_: int, flags: np.ndarray, sizes: np.ndarray) -> pa.Table:
     """Only messages that have some bit set are answered."""
-    rows, at = [], 0
-    for g, bucket, n in zip(table.column("g").to_pylist(), table.column("bucket").to_pylist(), sizes, strict=True):
-        mine = flags[at : at + n]
-        at += n
-        if mine.any():
-            rows.append((g, round_, bucket, np.packbits(mine).tobytes()))
-    return table_of(ANSWER, [list(c) for c in zip(*rows, strict=True)] if rows else [[]] * 4)
+    ends = np.cumsum(sizes)
+    some = np.flatnonzero(np.logical_or.reduceat(flags, ends - sizes)) if len(flags) else np.zeros(0, np.int64)
+    bits = [np.packbits(flags[ends[k] - sizes[k] : ends[k]]).tobytes() for k in some]
+    return pa.table({"g": table.column("g").take(pa.array(some)), "round": pa.array([round_] * len(some), pa.int32()), "bucket": table.column("bucket").take(pa.array(some)), "bits": pa.array(bits, pa.binary())})
 
 
 def send_windows(bucket_bits: int):
@@ -206,15 +224,14 @@ def send_windows(bucket_bits: int):
 
 
 def answer_windows(table: pa.Table) -> pa.Table:
-    keys = [np.frombuffer(h, "<u8") for h in table.column("hashes").to_pylist()]
-    ids = np.concatenate([np.frombuffer(i, "<i8") for i in table.column("ids").to_pylist()])
-    every = np.concatenate(keys)
+    raw, lengths = joined(table.column("hashes"))
+    every, ids = raw.view("<u8"), joined(table.column("ids"))[0].view("<i8")
     order = np.argsort(every, kind="stable")
     at = runs(every[order])
     least = np.minimum.reduceat(ids[order], at)
     flags = np.empty(len(every), bool)
     flags[order] = np.repeat(least, np.diff(np.append(at, len(every)))) < ids[order]
-    return answered(table, 2, flags, [len(x) for x in keys])
+    return answered(table, 2, flags, lengths // 8)
 
 
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"
@@ -239,18 +256,18 @@ def remove(bucket_bits: int):
     return run
 
 
-def between(x: float, bounds: tuple[int, int]) -> int:
-    return int(min(max(x, bounds[0]), bounds[1]))
+def deal(rows: DataFrame, groups: int) -> DataFrame:
+    return rows.withColumn("g", F.floor(F.rand(SEED) * groups).cast("bigint"))
 
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, n_removed, kept_text``: a row for each document, kept words joined by a space."""
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(F.col(text_col)).alias("text"))
     total = given.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(1, -(-total // between(total / 256, GROUP_BYTES)))
+    groups = max(1, -(-total // GROUP_BYTES))
     hashes = total / 6 * len(COVER) / PERIOD
-    bucket_bits = max(0, int(np.ceil(np.log2(max(1.0, hashes / between(hashes / 256, BUCKET_HASHES))))))
-    dealt = given.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)))
+    bucket_bits = max(0, math.ceil(math.log2(max(1.0, hashes / BUCKET_HASHES))))
+    dealt = deal(given, groups)
     anchors = dealt.groupBy("g").applyInArrow(send_anchors(bucket_bits), MESSAGE)
     met = anchors.groupBy("bucket").applyInArrow(answer_anchors, ANSWER)
     sent = dealt.groupBy("g").cogroup(met.groupBy("g")).applyInArrow(send_windows(bucket_bits), MESSAGE)
