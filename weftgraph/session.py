@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,18 +24,45 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "weftg
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in ``spark.checkpoint.dir``; choose one only where none is set."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of our own only where none is set and all is on one machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="weftgraph-checkpoint-"))
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="weftgraph-checkpoint-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder, so that later rounds read it and lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the checkpoint folder and read it again, so that lost executors cost no recomputation.
+
+    A written table and not ``checkpoint()``: a checkpoint keeps the size that was estimated for its
+    plan, which in a loop of joins is a product with ever more digits, until planning never ends. A
+    table's size is known, so that what follows is planned by it. Columns without a type, which
+    Parquet lacks, are checkpointed.
+    """
+    folder = checkpoint_dir(df.sparkSession)
+    if "void" in df.schema.simpleString():
+        return df.checkpoint(eager=True)
+    path = f"{folder}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def uncut(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote and that nothing will read again; other frames are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        own, paths = checkpoint_dir(spark), df.inputFiles()
+        folders = {p.rsplit("/", 1)[0] for p in paths}
+        if len(folders) == 1 and (folder := folders.pop()).rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") == own.split(":", 1)[-1].lstrip("/"):
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
