@@ -97,3 +97,32 @@ def test_large_candidate_groups_are_compared_in_parts(spark, monkeypatch):
     other = [" ".join(words[:58] + [f"o{k}x{j}" for j in range(40)]) for k in range(3)]
     docs = frame(spark, [(k, t, "en") for k, t in enumerate(chain + other)])
     assert kept(STAGES["simhash_near_dedup"](spark, docs, "")) == sorted([0, 10, 11, 12], key=str)
+
+
+def test_near_duplicates_of_one_id_and_unlike_texts_all_stay(spark):
+    docs = frame(spark, [(1, ENGLISH[0], "en"), (1, GERMAN[0], "de"), (1, GERMAN[0], "de"), (2, GERMAN[1], "de"), (3, GERMAN[0], "en")])
+    out = STAGES["simhash_near_dedup"](spark, docs, "")
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == sorted([(1, ENGLISH[0]), (1, GERMAN[0]), (2, GERMAN[1])])
+
+
+def test_large_groups_are_compared_across_tiles(spark, monkeypatch):
+    """Groups of many tiles: near copies, chains of them, and texts that only share a band key."""
+    monkeypatch.setattr(pipeline.simhash, "PART", 8)
+    rng = np.random.default_rng(7)
+    texts = []
+    for _ in range(3):
+        words = [f"u{x}" for x in rng.integers(0, 10**9, 160)]
+        for _ in range(40):
+            mine = list(words)
+            for at in rng.integers(0, 160, int(rng.integers(0, 9))):
+                mine[at] = f"n{rng.integers(10**9)}"
+            texts.append(" ".join(mine[: int(rng.integers(110, 161))]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and root[i] != root[j]:
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    out = STAGES["simhash_near_dedup"](spark, frame(spark, [(k, t, "en") for k, t in enumerate(texts)]), "")
+    assert kept(out) == sorted(set(root), key=str) and len(set(root)) > 6

@@ -13,6 +13,17 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
 
+def fresh(df, *names: str) -> list[str]:
+    """``names``, each with underscores added until ``df`` has no column of that name (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8(c: Column) -> Column:
     """A text's bytes for Python workers; null gives no bytes."""
     return F.coalesce(c, F.lit("")).cast("binary")

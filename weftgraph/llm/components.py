@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.session import cut
+from weftgraph.session import cut, uncut
 
 
 def oriented(edges: DataFrame) -> DataFrame:
@@ -42,7 +42,8 @@ def roots(edges: DataFrame) -> DataFrame:
     sign = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = sign(now)
     while True:
-        now = cut(small_star(large_star(now)))
+        last, now = now, cut(small_star(large_star(now)))
+        uncut(last)
         after = sign(now)
         if after == before:
             return now.select("u", F.col("v").alias("root"))

@@ -25,7 +25,6 @@ repeated rows are each returned; an empty table gives an empty result; other col
 
 from __future__ import annotations
 
-import math
 from itertools import product
 
 import numpy as np
@@ -38,8 +37,9 @@ from weftgraph.llm.common import utf8
 from weftgraph.llm.components import roots
 from weftgraph.session import cut
 
+#: Rows of a tile; rows and shingles of a tile whose sets are compared.
 TILE = 8192
-PART = 1024
+PART, PART_SHINGLES = 1024, 1 << 19
 SEED = 42
 
 
@@ -258,40 +258,61 @@ def set_writer(width: int):
     return run
 
 
-def copy_printer(width: int, words: int, few: int, ratio: float):
-    """Like ``printer``, with ``id`` (a hash of the shingle set) and, for texts of few shingles, ``low``:
-    so many of the least hashes that two sets of Jaccard similarity ``ratio`` share one."""
-    names = ["doc_id", "id", "size", *(f"f{k}" for k in range(words)), "low"]
+def band_keys(h: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """MinHash keys: sets of Jaccard similarity J share one of them with probability 1 - (1 - J ** rows) ** bands."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    factor = mixed(np.arange(1, bands * rows + 1, dtype=np.uint64)) | np.uint64(1)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1024):
+        np.minimum(least, (h[at : at + 1024, None] * factor).min(axis=0), out=least)
+    least = least.reshape(bands, rows)
+    key = np.arange(bands, dtype=np.uint64)
+    for k in range(rows):
+        key = mixed(key ^ least[:, k])
+    return key.view(np.int64)
+
+
+def copy_printer(width: int, words: int, bands: int, rows: int):
+    """Like ``printer``, with ``id`` (a hash of the shingle set) and its band keys."""
+    names = ["doc_id", "text_key", "id", "size", *(f"f{k}" for k in range(words)), "keys"]
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                sets = [np.sort(shingle_hashes(raw, width, True)) for raw in batch.column(1).slice(at, 256).to_pylist()]
+                sets = [np.sort(shingle_hashes(raw, width, True)) for raw in batch.column(2).slice(at, 256).to_pylist()]
                 prints = [fingerprint(h, words) for h in sets]
-                least = [h[: len(h) - math.ceil(ratio * len(h) - 1e-9) + 1].view(np.int64) if len(h) <= few / ratio else h[:0].view(np.int64) for h in sets]
                 columns = [
                     batch.column(0).slice(at, 256),
+                    batch.column(1).slice(at, 256),
                     pa.array([set_id(h) for h in sets], pa.int64()),
                     pa.array([len(h) for h in sets], pa.int64()),
                     *(pa.array([p[k] for p in prints], pa.int64()) for k in range(words)),
-                    pa.array(least, pa.list_(pa.int64())),
+                    pa.array([band_keys(h, bands, rows) for h in sets], pa.list_(pa.int64())),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def exact_forest(prints: np.ndarray, sets: list[np.ndarray], radius: int, few: int, ratio: float) -> np.ndarray:
-    """Labels of the rows: linked are all pairs whose sets have at least the Jaccard similarity ``ratio``.
+def exact_forest(prints: np.ndarray, sets: list[np.ndarray], known: np.ndarray, side: np.ndarray | None, radius: int, few: int, ratio: float) -> list[tuple[int, int]]:
+    """Links (pairs of rows) that join all rows whose sets have at least the Jaccard similarity ``ratio``.
 
-    Pairs of one label are not compared again, so a group of copies costs about a comparison for each member."""
+    Rows of one ``known`` label are joined already; with ``side``, only rows of different sides are
+    compared. Pairs of one label are not compared again, so a group of copies costs about a comparison
+    for each member. Prints that differ in more than ``radius`` bits are passed over by exclusive-or and
+    bit counts, unless the sets are small."""
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     sizes, prints = sizes[order], prints[order]
-    label = np.arange(len(order))
+    label = np.unique(known[order], return_inverse=True)[1]
+    side = None if side is None else side[order]
+    found = []
     for i in range(len(order) - 1):
         hi = np.searchsorted(sizes, sizes[i] / ratio + 1e-9, "right")
         open_ = label[i + 1 : hi] != label[i]
+        if side is not None:
+            open_ &= side[i + 1 : hi] != side[i]
         if sizes[i] > few:
             open_ &= np.bitwise_count(prints[i + 1 : hi] ^ prints[i]).sum(axis=1, dtype=np.int64) <= radius
         js = np.flatnonzero(open_) + i + 1
@@ -299,14 +320,17 @@ def exact_forest(prints: np.ndarray, sets: list[np.ndarray], radius: int, few: i
             continue
         for at in range(0, len(js), 128):
             some = js[at : at + 128]
+            some = some[label[some] != label[i]]
+            if not len(some):
+                continue
             hit = np.isin(np.concatenate([sets[order[j]] for j in some]), sets[order[i]])
             both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes[some])[:-1]]), dtype=np.int64)
-            alike = np.unique(label[some[both >= ratio * (sizes[i] + sizes[some] - both) - 1e-9]])
-            if len(alike):
-                label[np.isin(label, alike)] = label[i]
-    out = np.empty_like(label)
-    out[order] = order[label]
-    return out
+            alike = some[both >= ratio * (sizes[i] + sizes[some] - both) - 1e-9]
+            labels, at_ = np.unique(label[alike], return_index=True)
+            if len(labels):
+                found += [(int(order[i]), int(order[j])) for j in alike[at_]]
+                label[np.isin(label, labels)] = label[i]
+    return found
 
 
 def confirmer(words: int, radius: int, few: int, ratio: float):
@@ -316,28 +340,72 @@ def confirmer(words: int, radius: int, few: int, ratio: float):
                 flat = [c.slice(row, 1).flatten() for c in batch.columns if c.is_valid()[row].as_py()]
                 field = lambda name: np.concatenate([x.field(name).to_numpy(zero_copy_only=False) for x in flat])  # noqa: B023, E731
                 ids, prints = field("id"), np.stack([field(f"f{k}") for k in range(words)], axis=1).view(np.uint64)
-                label = exact_forest(prints, [np.frombuffer(b, np.uint64) for b in field("hashes")], radius, few, ratio)
-                linked = np.flatnonzero(label != np.arange(len(label)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[label[linked]])], names=["u", "v"])
+                side = np.repeat([0, 1], [len(x) for x in flat]) if len(flat) > 1 else None
+                links_ = exact_forest(prints, [np.frombuffer(b, np.uint64) for b in field("hashes")], field("label"), side, radius, few, ratio)
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links_], pa.int64()), pa.array([ids[j] for _, j in links_], pa.int64())], names=["u", "v"])
 
     return run
 
 
+def tiles_of(members: DataFrame, kept: list[str]) -> DataFrame:
+    """``root, band, kind, part, cells``: the rows of each (root, band, kind) in parts of bounded rows and bytes."""
+    key = ["root", "band", "kind"]
+    need = F.ceil(F.greatest(F.count(F.lit(1)) / PART, F.sum("size") / PART_SHINGLES))
+    counted = cut(members.groupBy(*key).agg(need.alias("parts")))
+    dealt = members.join(counted, key).withColumn("part", F.pmod(F.xxhash64(F.lit(5), "id"), F.col("parts")))
+    return cut(dealt.groupBy(*key, "part").agg(F.collect_list(F.struct(*kept)).alias("cells")))
+
+
+def loaded(tiles: DataFrame, alone: DataFrame, pairs: DataFrame, key: list[str]) -> DataFrame:
+    """``cells, more``: the tiles of ``alone`` by themselves, and those of ``pairs`` (a, b: structs of ``key``) together."""
+    at = tiles.select(F.struct(*key).alias("at"), "cells")
+    none = F.lit(None).cast(tiles.schema["cells"].dataType).alias("more")
+    one = at.join(alone.select(F.struct(*key).alias("at")), "at", "left_semi").select("cells", none)
+    left = at.select(F.col("at").alias("a"), "cells")
+    right = at.select(F.col("at").alias("b"), F.col("cells").alias("more"))
+    return one.unionByName(pairs.join(left, "a").join(right, "b").select("cells", "more"))
+
+
 def confirmed(members: DataFrame, sets: DataFrame, words: int, radius: int, few: int, ratio: float) -> DataFrame:
-    """``u, v``: spanning forests of the links within each group ``root`` of ``members`` (id, root, f0...), by ``sets`` (id, hashes).
-
-    A large group is split by hash into parts, and each two parts are compared."""
-    counted = cut(members.groupBy("root").count())
-    dealt = cut(members.join(counted, "root").withColumn("part", F.pmod(F.xxhash64(F.lit(5), "id"), F.ceil(F.col("count") / PART))))
-    cells = F.collect_list(F.struct("id", *(f"f{k}" for k in range(words)), "hashes")).alias("cells")
-    parts = cut(sets.join(dealt, "id").groupBy("root", "part").agg(cells))
-    keys = parts.select("root", "part")
-    pairs = keys.withColumnRenamed("part", "a").join(keys.withColumnRenamed("part", "b"), "root").where("a < b")
-    alone = parts.join(parts.groupBy("root").count().where("count = 1").select("root"), "root").select("cells", F.expr("CAST(NULL AS " + parts.schema["cells"].dataType.simpleString() + ")").alias("more"))
-    left = parts.select("root", F.col("part").alias("a"), "cells")
-    right = parts.select("root", F.col("part").alias("b"), F.col("cells").alias("more"))
-    loaded = pairs.join(left, ["root", "a"]).join(right, ["root", "b"]).select("cells", "more")
-    return alone.unionByName(loaded).mapInArrow(confirmer(words, radius, few, ratio), "u bigint, v bigint")
+    """``u, root``: components by the exact links within each group ``root`` of ``members`` (id, root, size, f0...), by ``sets`` (id, hashes).
+
+    A group's members are dealt to tiles by the population count of their shingle vectors (bands of
+    the logarithm of the size); tiles that are two bands apart cannot hold a link and are skipped.
+    First each tile is compared within itself and with the first tile of its band and of the bands
+    next to it. That joins a group of near copies of any size at a cost linear in it. Only if a group
+    of more tiles is then not yet one component are its other tiles compared, rows of one large
+    component never with each other."""
+    kept = ["id", "label", "size", *(f"f{k}" for k in range(words)), "hashes"]
+    key = ["root", "band", "kind", "part"]
+    compare = lambda rows: rows.mapInArrow(confirmer(words, radius, few, ratio), "u bigint, v bigint")
+    band = F.floor(F.log(F.greatest("size", F.lit(1)).cast("double")) / float(-np.log(ratio)))
+    given = members.withColumns({"band": band, "kind": F.lit(0).cast("bigint"), "label": F.col("id")})
+    tiles = tiles_of(sets.join(given, "id"), kept)
+    keys = cut(tiles.select(*key))
+    first = keys.where("part = 0").select("root", F.col("band").alias("other"), F.struct(*key).alias("b"))
+    pairs = keys.select("root", "band", "part", F.struct(*key).alias("a"), F.explode(F.array(*(F.col("band") + d for d in (-1, 0, 1)))).alias("other")).join(first, ["root", "other"])
+    pairs = cut(pairs.where("part != 0 OR other > band").select("a", "b"))
+    links_ = cut(compare(loaded(tiles, keys, pairs, key)))
+    root = roots(links_)
+    several = cut(keys.where("part > 0").select("root").distinct())
+    if several.isEmpty():
+        return root
+    labels = members.select("id", "root").join(several, "root", "left_semi").join(root.select(F.col("u").alias("id"), F.col("root").alias("top")), "id", "left")
+    labels = cut(labels.select("id", "root", F.coalesce("top", "id").alias("label")))
+    open_ = labels.groupBy("root").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("root")
+    again = tiles.join(open_, "root", "left_semi").select("root", "band", F.explode("cells").alias("c")).select("root", "band", *(F.col(f"c.{x}").alias(x) for x in kept if x != "label"))
+    again = again.join(labels.select("id", "label"), "id")
+    large = cut(again.groupBy("root", "band", "label").count().where(F.col("count") >= PART).select("root", "band", "label", F.col("label").alias("own")))
+    again = again.join(large, ["root", "band", "label"], "left").withColumn("kind", F.coalesce("own", F.lit(0).cast("bigint"))).drop("own")
+    tiles = tiles_of(again, kept)
+    keys = cut(tiles.select("root", "band", "kind", F.struct(*key).alias("at")))  # cut: aliases of aliases make planning slow
+    other = keys.select("root", F.col("band").alias("band_b"), F.col("kind").alias("kind_b"), F.col("at").alias("b"))
+    mixed_ = keys.where("kind = 0").join(other, "root").where("abs(band - band_b) <= 1 AND (kind_b != 0 OR at < b)")
+    torn = large.groupBy("root").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo != hi").select("root")
+    apart = keys.where("kind != 0").join(torn, "root", "left_semi").join(other.where("kind_b != 0"), "root").where("abs(band - band_b) <= 1 AND kind < kind_b")
+    pairs = cut(mixed_.unionByName(apart).select(F.col("at").alias("a"), "b"))
+    more = compare(loaded(tiles, cut(keys.where("kind = 0").select("at.*")), pairs, key))
+    return roots(links_.unionByName(more))
 
 
 def near_copies(
@@ -346,37 +414,38 @@ def near_copies(
     text_col: str = "text",
     width: int = 5,
     ratio: float = 0.8,
-    radius: int = 72,
+    bands: int = 32,
+    rows: int = 5,
+    radius: int = 44,
     few: int = 64,
-    words: int = 4,
-    lanes: int = 1,
-    step: int = 32,
+    words: int = 2,
 ) -> DataFrame:
-    """``doc_id, size, component_id``: components of the texts whose sets of shingles have at least the Jaccard similarity ``ratio``.
-
-    Candidates are sets of more than ``few`` shingles whose fingerprints differ in at most ``radius``
-    bits, and smaller ones (with all that can be similar to them) that share one of their least
-    hashes, which similar sets always do. Each link is confirmed by the sets of shingle hashes.
+    """``doc_id, text_key, size, component_id, component``: components of the texts whose sets of shingles have at least the Jaccard similarity ``ratio``.
+
+    At that similarity some 15 percent of a print's bits differ and the bit counts of unlike texts lie
+    closer than that, so no bound on bit counts skips any tile of a whole corpus. Groups of candidates
+    are therefore the texts that share a MinHash band key, and their chains: at 0.8 and the defaults a
+    pair is missed with probability 3e-6. Within a group the prints are compared tile by tile, and each
+    link is confirmed by the sets of shingle hashes. ``text_key`` is ``xxhash64`` of the text;
+    ``component`` tells components apart even if an id has texts in several.
     """
     prints = [f"f{k}" for k in range(words)]
-    given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(F.col(text_col)).alias("text"))
-    schema = "doc_id bigint, id bigint, size bigint, " + ", ".join(f"{f} bigint" for f in prints) + ", low array<bigint>"
-    made = cut(given.mapInArrow(copy_printer(width, words, few, ratio), schema))
+    given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("text_key"), utf8(F.col(text_col)).alias("text"))
+    schema = "doc_id bigint, text_key bigint, id bigint, size bigint, " + ", ".join(f"{f} bigint" for f in prints) + ", keys array<bigint>"
+    made = cut(given.mapInArrow(copy_printer(width, words, bands, rows), schema))
     nodes = cut(made.groupBy("id").agg(F.min("doc_id").alias("first"), F.max("size").alias("size"), *(F.min(f).alias(f) for f in prints)))
-    lows = cut(made.select("id", F.explode("low").alias("h")).distinct())
-    heads = cut(lows.groupBy("h").agg(F.min("id").alias("v")))
-    shared = lows.join(heads, "h").where("id != v").select(F.col("id").alias("u"), "v")
-    near = links(nodes.where(F.col("size") > few).drop("first"), words, radius, lanes, step, ratio)
-    maybe = cut(roots(near.unionByName(shared)))
+    keyed = cut(made.select("id", F.explode("keys").alias("h")).distinct())
+    heads = keyed.groupBy("h").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "v")
+    maybe = cut(roots(keyed.join(cut(heads), "h").where("id != v").select(F.col("id").alias("u"), "v")))
     grouped = cut(maybe.select(F.col("u").alias("id"), "root").unionByName(maybe.select(F.col("root").alias("id"), "root").distinct()))
+    members = cut(nodes.select("id", "size", *prints).join(grouped, "id"))
     # the sets are made again and not kept from above: they are larger than the texts
     sets = given.select("text").mapInArrow(set_writer(width), "id bigint, hashes binary").groupBy("id").agg(F.min("hashes").alias("hashes"))
-    members = cut(nodes.select("id", *prints).join(grouped, "id"))
-    root = roots(confirmed(members, sets, words, radius, few, ratio))
+    root = confirmed(members, sets, words, radius, few, ratio)
     rooted = cut(nodes.select("id", "first").join(root.withColumnRenamed("u", "id"), "id", "left").select("id", "first", F.coalesce("root", "id").alias("root")))
     least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
-    labels = cut(rooted.select("id", "root").join(least, "root").select("id", "component_id"))
-    return made.join(labels, "id").select("doc_id", "size", "component_id")
+    labels = cut(rooted.select("id", "root").join(least, "root").select("id", "root", "component_id"))
+    return made.join(labels, "id").select("doc_id", "text_key", "size", "component_id", F.col("root").alias("component"))
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
