@@ -1,8 +1,9 @@
 """A corpus pipeline of five stages; each works on all that the one before it kept.
 
 Each stage takes ``(spark, docs, sf_dir)``; all but the last return the columns of ``docs``. Stages
-keep rows with null ids unless their text is rejected; rows that repeat an id count as one document
-in the near-duplicate stage, of which one row stays. Empty tables pass through all stages.
+keep rows with null ids unless their text is rejected; rows of one id and text count as one document
+in the near-duplicate stage, and rows of one id whose texts are unlike as several. Empty tables pass
+through all stages.
 """
 
 from __future__ import annotations
@@ -11,15 +12,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontamination, language_id, packing, secret_scan, simhash
-from weftgraph.session import cut, table
+from weftgraph.llm.common import fresh
+from weftgraph.session import cut, table, uncut
 
 #: A document goes if it has no letter, or if its languages are all about equally likely.
 LEAST_SCORE = 0.3
-#: Near duplicates: sets of five-word shingles of Jaccard similarity 0.8 or more, each link confirmed
-#: by the sets. Fingerprints only find the candidates among sets of more than 64 shingles: similarity
-#: 0.8 turns 15 to 16 percent of 256 bits, 39 or 41 on average with a standard deviation of 6, so 72
-#: bits are over five deviations off. Smaller sets are looked up by their least hashes, which miss none.
-NEAR = {"width": 5, "ratio": 0.8, "radius": 72, "few": 64, "words": 4, "lanes": 1, "step": 32}
+#: Near duplicates: sets of five-word shingles of Jaccard similarity 0.8 or more, each link confirmed by the sets.
+NEAR = {"width": 5, "ratio": 0.8}
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +27,13 @@ def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = simhash.near_copies(docs, **NEAR)
-    losers = found.where("doc_id != component_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(losers, "doc_id", "left_anti")
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    known = known.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    """One document of each component stays: of the smallest id, and of its texts and rows one."""
+    found = simhash.near_copies(docs, **NEAR).where("doc_id IS NOT NULL")
+    stays = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("s")).select("s.*")
+    known, (key, nth) = docs.where("doc_id IS NOT NULL"), fresh(docs, "text_key", "nth")
+    known = known.withColumn(key, F.xxhash64("text")).join(stays.withColumnRenamed("text_key", key), ["doc_id", key], "left_semi")
+    once = F.row_number().over(Window.partitionBy("doc_id", key).orderBy(F.lit(1)))
+    known = known.withColumn(nth, once).where(F.col(nth) == 1).select(*docs.columns)
     return known.unionByName(docs.where("doc_id IS NULL"))
 
 
@@ -61,9 +62,11 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, kept = table(spark, sf_dir, "documents"), []
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = cut(docs)
+            uncut(*kept)
+            kept = [docs]
     return docs
