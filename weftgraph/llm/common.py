@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A-Z and a-z, for lower-casing ASCII letters only.
@@ -24,6 +24,20 @@ def fresh(df, *names: str) -> list[str]:
     return out
 
 
+#: Keys of eight bytes that are sent to every executor at most: some 100 MB there.
+MOST_KEYS = 4_000_000
+
+
+def only(df: DataFrame, column: str, keys: DataFrame, most: int = MOST_KEYS) -> DataFrame:
+    """The rows of ``df`` whose ``column`` is in the one column of ``keys``, a written table.
+
+    The keys are counted; if they are few they go to the rows, so that no other row is shuffled. More
+    of them are met by an exchange of both sides.
+    """
+    keys = keys.toDF(column)
+    return df.join(F.broadcast(keys) if keys.count() <= most else keys, column, "left_semi")
+
+
 def utf8(c: Column) -> Column:
     """A text's bytes for Python workers; null gives no bytes."""
     return F.coalesce(c, F.lit("")).cast("binary")

@@ -13,7 +13,9 @@ words form one shingle of all their words and are looked up among document shing
 
 Scale: documents are never shuffled for the search; their shingle hashes meet the sketches, which
 Spark broadcasts only if their known size is under the session's threshold. Candidates are
-aggregated per (document, item) before they are shuffled.
+aggregated per (document, item) before they are shuffled, and are written out. To verify them, texts
+without a candidate are dropped before any shuffle as long as the candidates' keys number at most
+``common.MOST_KEYS``; beyond that the texts are exchanged once.
 
 Defined cases: a null text or item has no words and never matches; rows with equal id and text
 give one row per item; a null id is carried as such; empty tables give an empty result; other
@@ -25,6 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.common import fresh, only
+from weftgraph.session import cut
+
 #: Words in a shingle, and the share of an item's distinct shingles that makes a leak.
 WIDTH, SHARE = 5, 0.8
 
@@ -78,8 +83,9 @@ def leaks(
 
 def without_leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, share: float = SHARE) -> DataFrame:
     """The rows of ``docs`` whose text holds no item; they are told by their text, so a null id is no refuge."""
-    leaky = verified(docs, items, "doc_id", "text", "item_id", "text", width, share).select(F.col("text_key").alias("__text_key")).distinct()
-    return docs.join(leaky, F.xxhash64(docs["text"]) == F.col("__text_key"), "left_anti")
+    [key] = fresh(docs, "text_key")
+    leaky = verified(docs, items, "doc_id", "text", "item_id", "text", width, share).select(F.col("text_key").alias(key)).distinct()
+    return docs.join(cut(leaky), F.xxhash64(docs["text"]) == F.col(key), "left_anti")
 
 
 def verified(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_id_col: str, item_text_col: str, width: int, share: float) -> DataFrame:
@@ -103,8 +109,8 @@ def verified(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item
     if found is None:
         nothing = text.limit(0).select("doc_id", F.xxhash64("text").alias("text_key"))
         return nothing.select("*", F.lit(None).cast("bigint").alias("item_id"), F.lit(0).alias("q"), F.lit(0).alias("n"))
-    pairs = found.distinct().groupBy("doc_id", "text_key").agg(F.collect_set("item_id").alias("candidates"))
-    held = text.withColumn("text_key", F.xxhash64("text")).join(
+    pairs = cut(found.distinct().groupBy("doc_id", "text_key").agg(F.collect_set("item_id").alias("candidates")))
+    held = only(text.withColumn("text_key", F.xxhash64("text")), "text_key", cut(pairs.select("text_key").distinct())).join(
         pairs.withColumnsRenamed({"doc_id": "c_id", "text_key": "c_key"}),
         (F.col("text_key") == F.col("c_key")) & F.col("doc_id").eqNullSafe(F.col("c_id")),
     )
