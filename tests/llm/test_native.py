@@ -1,9 +1,12 @@
 """URL filters, decontamination, secret scans and license scans: brute force, and the odd cases."""
 
 import hashlib
+import random
 import re
+import string
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.llm import decontamination, license_scan, secret_scan, url_filters
 from weftgraph.llm.common import values
@@ -77,7 +80,7 @@ def test_secrets_odd_cases(spark, odd, tmp_path):
     clean = {r.doc_id: r.text for r in secret_scan.redact(odd).collect()}
     assert clean[1] == "x [SECRET] y".replace("[SECRET]", '[SECRET]"') and clean[2] is None and clean[3] == ""
     assert secret_scan.redact(odd).columns == odd.columns
-    assert secret_scan.scan(odd.limit(0)).count() == 0
+    assert secret_scan.scan(odd.limit(0))[0].count() == 0
 
 
 def test_step_up():
@@ -85,6 +88,45 @@ def test_step_up():
     assert secret_scan.step_up({0: 1000, 17: 1}, 0.01) == secret_scan.GRID
 
 
+def test_secrets_of_clashing_names_and_many_spans(spark):
+    """Helper columns give way to the table's own, and time is linear in the spans of a text."""
+    import time
+
+    few, many = ("x password=abcdefgh1 " * n for n in (10, 30_000))
+    docs = spark.createDataFrame([(1, few + "tail", "mine", "m"), (2, many + "é", "own", "w")], "doc_id bigint, text string, base string, tokens string")
+    began = time.time()
+    clean = {r.doc_id: r for r in secret_scan.redact(docs).collect()}
+    assert time.time() - began < 40
+    assert clean[1].text == "x [SECRET] " * 10 + "tail" and clean[2].text == "x [SECRET] " * 30_000 + "é"
+    assert (clean[1].base, clean[2].tokens) == ("mine", "w")
+
+
+def test_overlapping_spans_are_masked_by_one(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choice("abcé") for _ in range(900))
+    spans = sorted((a, 0, "k", a + rng.randint(1, 9)) for a in (rng.randrange(880) for _ in range(300)))
+    want, at = "", 0
+    for a, _, _, b in spans:
+        want, at = (want + text[at:a] + "#", b) if a >= at else (want, max(at, b))
+    df = spark.createDataFrame([(text, spans), (text, [])], f"text string, s {secret_scan.SPAN}")
+    assert [r[0] for r in df.select(secret_scan.masked(F.col("text"), F.col("s"), "#")).collect()] == [want + text[at:], text]
+
+
+def test_findings_are_random_and_not_text(spark):
+    """Names, paths and patterned strings are left alone; random tokens are found, at a held rate of false ones."""
+    rng = random.Random(5)
+    symbols = string.ascii_letters + string.digits + "-_"
+    words = "static vendor bundle module handler service account registry template controller manager session request response Builder Factory Stream".split()
+    plain = ["static/js/vendor/bundle-2024-min", "AbstractSingletonProxyFactoryBean2024", "com/example/project/internal/util3", "aaaa1111xxxx2222yyyy3333zzzz4444"]
+    plain += ["/".join(rng.sample(words, 5)) + str(rng.randint(1, 99)) for _ in range(300)] + ["".join(w.title() for w in rng.sample(words, 5)) + str(rng.randint(1, 99)) for _ in range(300)]
+    secret = ["".join(rng.choice(symbols[: rng.choice([62, 64])]) for _ in range(rng.choice([40, 48, 64, 80]))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(plain + secret)), "doc_id bigint, text string")
+    found, _, spans = secret_scan.scan(df)
+    hit = {r.doc_id for r in found.where(F.size(spans) > 0).collect()}
+    false = sum(i < len(plain) for i in hit)
+    assert not hit & set(range(4)) and false <= 0.02 * len(hit) and len(hit) - false > 0.9 * len(secret)
+
+
 def test_leaks_against_brute_force(spark, tmp_path):
     item = " ".join(f"w{i}" for i in range(30))
     items = spark.createDataFrame([(1, item), (2, "tiny Item"), (3, None), (4, ""), (5, item)], "item_id bigint, text string")

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import utf8
+from weftgraph.llm.common import only, utf8
 from weftgraph.llm.components import roots
 from weftgraph.session import cut
 
@@ -439,8 +439,9 @@ def near_copies(
     maybe = cut(roots(keyed.join(cut(heads), "h").where("id != v").select(F.col("id").alias("u"), "v")))
     grouped = cut(maybe.select(F.col("u").alias("id"), "root").unionByName(maybe.select(F.col("root").alias("id"), "root").distinct()))
     members = cut(nodes.select("id", "size", *prints).join(grouped, "id"))
-    # the sets are made again and not kept from above: they are larger than the texts
-    sets = given.select("text").mapInArrow(set_writer(width), "id bigint, hashes binary").groupBy("id").agg(F.min("hashes").alias("hashes"))
+    # sets are larger than texts, so they are not kept from above but made again for the members, each from one text
+    wanted = cut(made.select("id", "text_key").join(members.select("id"), "id").groupBy("id").agg(F.min("text_key").alias("text_key")).select("text_key"))
+    sets = only(given, "text_key", wanted).select("text").mapInArrow(set_writer(width), "id bigint, hashes binary").groupBy("id").agg(F.min("hashes").alias("hashes"))
     root = confirmed(members, sets, words, radius, few, ratio)
     rooted = cut(nodes.select("id", "first").join(root.withColumnRenamed("u", "id"), "id", "left").select("id", "first", F.coalesce("root", "id").alias("root")))
     least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
