@@ -170,6 +170,59 @@ def test_html_deep_and_hostile():
     assert html_text.visible_text("<a b=\"" * 20000) is not None
 
 
+@pytest.mark.parametrize("part", ["<div>", "<p><table><td><div>", "<div></p>", "<ul><li>x", "<b><i>", "<p>", "<table><tr><td rowspan=9 colspan=9>", "</table></div>", "<table><td><p><div></p>"])
+def test_html_takes_time_in_proportion(part):
+    import time
+
+    began = time.time()
+    html_text.parse("<p>" + part * (1_000_000 // len(part)) + "x")
+    assert time.time() - began < 12
+    if "<table>" not in part:
+        assert html_text.visible_text(part * 20000 + "end").endswith("end")
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><tr><td rowspan=2>A<td>B<td>C<tr><td>D<td>E</table>", "A  B  C\n   D  E"),
+        ("<table><tr><td>a<td rowspan=0>down<td>b<tr><td>c<td>d<tr><td>e<td>f</table>", "a  down  b\nc        d\ne        f"),
+        ("<table><tr><td rowspan=2 colspan=2>wide<td>x<tr><td>y<tr><td>p<td>q<td>r</table>", "wide  x\n      y\np  q  r"),
+        ("<table><caption>title<tr><th>k<th>v<tr><td>long one<td>1</table>after", "title\nk         v\nlong one  1\n\nafter"),
+    ],
+)
+def test_html_tables(html, text):
+    assert html_text.visible_text(html) == text
+
+
+def test_html_table_columns_stand_under_each_other():
+    """Random grids of cells that span rows and columns: texts in reading order, one start for each column."""
+    rng = random.Random(8)
+    for _ in range(200):
+        n_rows, n_columns = rng.randint(1, 6), rng.randint(1, 6)
+        taken, where, html = set(), {}, "<table>"
+        for r in range(n_rows):
+            html += "<tr>"
+            for c in range(n_columns):
+                if (r, c) in taken:
+                    continue
+                across, below = rng.choice([1, 1, 1, 2]), rng.choice([1, 1, 1, 2, 3])
+                if any((r, c + x) in taken or c + x >= n_columns for x in range(across)):
+                    across = 1
+                taken |= {(r + y, c + x) for x in range(across) for y in range(below)}
+                name = f"r{r}c{c}" + "z" * rng.randint(0, 5) if across == 1 else f"r{r}c{c}"
+                where[name] = c, across
+                html += f"<td colspan={across} rowspan={below}>{name}"
+        lines = html_text.visible_text(html + "</table>").split("\n")
+        assert [w for line in lines for w in line.split()] == list(where)
+        starts: dict = {}
+        for line in lines:
+            for m in re.finditer(r"\S+", line):
+                starts.setdefault(where[m[0]][0], set()).add(m.start())
+        singles = {c for c, across in where.values() if across == 1}
+        if len(singles) == n_columns:
+            assert all(len(x) == 1 for x in starts.values()) or any(across > 1 for _, across in where.values())
+
+
 def measures(text):
     words = WORD.findall(text or "")
     windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
