@@ -172,3 +172,40 @@ def test_wrapped_licenses(spark):
     rows = [(1, mit), (2, gpl), (3, bsd), (4, apart), (5, mit.replace("\n", "\r\n"))]
     got = license_scan.recognise(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCS)).collect()
     assert sorted((r.doc_id, r.licenses, r.n_sentences) for r in got) == [(1, "MIT", 2), (2, "GPL-3.0-or-later", 2), (3, "BSD-3-Clause", 2), (4, "", 0), (5, "MIT", 2)]
+
+
+def full_texts():
+    """Whole notices as they stand in files, wrapped at 78 columns."""
+    import textwrap
+
+    t = license_scan.TEXTS
+    fill = lambda *parts: textwrap.fill(" ".join(parts), 78)
+    head = "Copyright (c) 2021, Some One\nAll rights reserved.\n\n"
+    mit = "MIT License\n\nCopyright (c) 2020 Some One\n\n" + "\n\n".join([fill(t["mit-grant"] + ":"), fill(t["mit-notice"] + "."), fill(t["mit-warranty"] + ".", t["mit-liability"] + ".")])
+    apache = "Copyright 2020 Some One\n\n" + fill(t["apache-2-the"] + ";", t["apache-2-may-not"] + ".", t["apache-2-copy"]) + "\n\n    http://www.apache.org/licenses/LICENSE-2.0\n\n" + fill(t["apache-2-unless"] + ".", t["apache-2-see"] + ".")
+    bsd2 = head + fill(t["bsd-redistribution"] + ":") + "\n\n" + fill("1.", t["bsd-source"] + ".") + "\n" + fill("2.", t["bsd-binary"] + ".") + "\n\n" + fill(t["bsd-warranty"] + ".")
+    bsd3 = bsd2.replace("2. ", "* ").replace("\n\nTHIS", "\n" + fill("*", t["bsd-endorse"] + ".") + "\n\nTHIS").replace("1. ", "* ")
+    gpl = fill(t["gpl-free"] + ":", t["gpl-3-later"] + ".") + "\n\n" + fill(t["gpl-warranty"] + "; without even the implied warranty of MERCHANTABILITY.")
+    lgpl = fill(t["lgpl-free"] + ";", t["lgpl-grant"] + ";", t["lgpl-21-option"] + ".")
+    mpl = " * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    title = "                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS"
+    return [
+        (mit, "MIT"), (apache, "Apache-2.0"), (bsd2, "BSD-2-Clause"), (bsd3, "BSD-3-Clause"), (gpl, "GPL-3.0-or-later"), (lgpl, "LGPL-2.1-or-later"), (mpl, "MPL-2.0"), (title, "Apache-2.0"),
+        (fill(t["isc-grant"] + "."), "ISC"), ("// SPDX-License-Identifier: MIT\n#include <x>", "MIT"), ("/* SPDX-License-Identifier: GPL-2.0-only */", "GPL-2.0-only"), ("# SPDX-License-Identifier:\tApache-2.0", "Apache-2.0"),
+        ("This project is licensed under the BSD 3-Clause License.", "BSD-3-Clause"), (head + "No grant at all.", "Proprietary"), ("SPDX-License-Identifier: Unheard-Of", ""), ("The MITIGATION License", ""),
+    ]
+
+
+@pytest.mark.parametrize("prefix", ["", "# ", " * ", "// "])
+def test_whole_licences(spark, prefix):
+    texts = full_texts()
+    rows = [(k, "code\n\n" + "\n".join(prefix + line for line in text.split("\n")) + "\n\nmore") for k, (text, _) in enumerate(texts)]
+    got = {r.doc_id: r.licenses for r in license_scan.recognise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {k: licence for k, (_, licence) in enumerate(texts)}
+
+
+def test_every_rule_fires(spark):
+    """Each rule's sentences, one a paragraph, give its licence."""
+    rows = [(k, "\n\n".join(license_scan.SENTENCES[n] for n in rule)) for k, (rule, _) in enumerate(license_scan.RULES)]
+    got = {r.doc_id: r.licenses for r in license_scan.recognise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {k: licence for k, (_, licence) in enumerate(license_scan.RULES)}

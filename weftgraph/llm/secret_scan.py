@@ -55,7 +55,7 @@ SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 #: Alphabet size and the least length by encoding.
 ENCODINGS = {"hex": (16, 32), "base32": (32, 32), "letters": (52, 36), "base62": (62, 24), "base64": (64, 24)}
 #: The null hypothesis of text by encoding: how often two of its symbols agree, and two neighbours differ in class.
-TEXT = {"hex": (0.09, 0.3), "base32": (0.06, 0.12), "letters": (0.05, 0.3), "base62": (0.04, 0.35), "base64": (0.04, 0.35)}
+TEXT = {"hex": (0.12, 0.3), "base32": (0.06, 0.12), "letters": (0.05, 0.3), "base62": (0.04, 0.35), "base64": (0.04, 0.35)}
 #: A run of characters of one class.
 CLASSES = "[A-Z]+|[a-z]+|[0-9]+|[^A-Za-z0-9]+"
 ALPHA, PATTERNED = 0.01, 0.001
