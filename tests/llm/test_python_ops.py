@@ -237,14 +237,50 @@ def test_quality_against_brute_force(spark, docs, rows):
     more = spark.createDataFrame([(i, t) for i, t in rows + extra], "doc_id bigint, text string")
     got = sorted(((r.doc_id or 0, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in quality.filter_quality(more).collect()))
     assert got == sorted((i or 0, *measures(t)) for i, t in rows + extra)
-    verdict = {r.doc_id: (r.base_failed, r.kept, r.failed_rule) for r in quality.filter_quality(more).collect()}
-    assert verdict[60] == (True, False, "base") and verdict[61][1] is False and verdict[1] == (True, False, "base")
+    verdict = {r.doc_id: (r.base_failed, r.kept) for r in quality.filter_quality(more).collect()}
+    assert verdict[60] == (True, False) and verdict[61][1] is False and verdict[1] == (True, False)
     assert quality.filter_quality(docs.limit(0)).count() == 0
 
 
+GOOD = " ".join(f"plain{k} words stand here in number{k}" for k in range(12)).replace("0", "o")
+
+
+@pytest.mark.parametrize(
+    ("text", "rule"),
+    [
+        (GOOD, None), (GOOD + " # $" * 20, "symbols"), ("ab " * 3 + " ".join(chr(97 + k % 26) + chr(97 + k // 26) for k in range(300))[:170].replace(" ", " a ") + " b c d e f g", "word_length"),
+        ("\n".join(["one same line stands here", GOOD] + ["one same line stands here"] * 4), "repeated_lines"), (GOOD + "!" * 60, "exclamations"), (GOOD.upper(), "capitals"),
+        (GOOD + " 1234567890" * 12, "digits"), (GOOD + " 12-34 (5)" * 20, "no_letters"), (" the ".join(GOOD.split()), "one_word"), ("\n".join("- " + x for x in GOOD.split("here")), "bullets"),
+        ("\n".join(x + "...  " for x in GOOD.split("here")), "ellipses"), (GOOD + " Lorem IPSUM", "placeholder"), (GOOD + " {}" * 2, "code"), (GOOD + " \ufffd", "broken"),
+    ],
+)
+def test_quality_rules(text, rule):
+    t = quality.Text(text.encode())
+    rejecting = {name for name, rejects in quality.RULES.items() if rejects(t)}
+    assert rule is None and not rejecting or rule in rejecting
+
+
 def test_cascade_runs_the_most_rejecting_cheap_rule_first():
-    rules = {"never": lambda t: False, "slow": lambda t: sum(range(20000)) > 0, "fast": lambda t: True}
-    assert quality.cascade_order([b"x"] * 50, rules) == ["fast", "slow", "never"]
+    texts = lambda: [quality.Text(b"x y z %d" % k) for k in range(50)]
+    rules = {"never": lambda t: False, "slow": lambda t: sum(range(20000)) > 0, "fast": lambda t: t.n_words > 0}
+    assert quality.cascade_order(texts(), rules)[0] == "fast"
+    # a rule is not charged for basic measures, nor for what a rule before it has counted
+    costly = lambda t: t.__dict__.setdefault("costly", sum(range(20000))) > 0
+    half = {"a_first": lambda t: costly(t) and int(t.words[-1]) % 10 < 8, "b_shares": lambda t: costly(t) and int(t.words[-1]) % 2 == 0, "c_own": lambda t: sum(range(4000)) > 0 and int(t.words[-1]) % 2 == 1 and int(t.words[-1]) < 2}
+    assert quality.cascade_order(texts(), half)[:2] == ["a_first", "b_shares"]
+
+
+def test_cascade_order_does_not_reach_the_verdict(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    pool = [GOOD, GOOD.upper(), GOOD + "!" * 60, GOOD + " {}" * 3, "short", GOOD + " # $" * 20]
+    texts = [rng.choice(pool).encode() for _ in range(600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(600), pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    want = [not quality.Text(t).base_failed and not any(r(quality.Text(t)) for r in quality.RULES.values()) for t in texts]
+    for rows in (1, 20, 10_000):
+        monkeypatch.setattr(quality, "SAMPLE_ROWS", rows)
+        assert [k for b in quality.judge()([batch]) for k in b.column("kept").to_pylist()] == want
 
 
 def brute_print(text):
