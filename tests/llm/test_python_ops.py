@@ -88,10 +88,23 @@ def test_first_fit_decreasing():
 def test_word_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(packing, "WORD_MEMORY", 3)
     words = packing.Words(packing.default_tokenizer())
+    assert not words.whole
     once = words.ids([b"alpha beta", b"gamma Beta delta"])
     assert words.ids([b"alpha beta", b"gamma Beta delta"]) == once and words.ids([b"<|ENDOFTEXT|> x"]) != words.ids([b"<|endoftext|> x"])
 
 
+def test_other_tokenizers_are_asked_for_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    symbols = {c: k for k, c in enumerate(["<unk>", *map(chr, range(32, 127)), "e ", "the"])}
+    coder = Tokenizer(models.BPE(vocab={**symbols, "th": len(symbols)}, merges=[("e", " "), ("t", "h"), ("th", "e")], unk_token="<unk>"))
+    coder.pre_tokenizer = pre_tokenizers.Split(pattern="\n", behavior="isolated")
+    coder.save(f"{tmp_path}/other.json")
+    words = packing.Words(f"{tmp_path}/other.json")
+    text = b"see the The tree "
+    assert words.whole and np.frombuffer(words.ids([text])[0], "<u4").tolist() == coder.encode(text.decode()).ids
+
+
 def test_language_held_out(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = language_id.op3_language_id(spark, "/root/testdata/sf0.1").join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -103,11 +116,42 @@ def test_language_held_out(spark):
 
 def test_language_odd_cases(spark, docs):
     model = language_id.train(docs)
-    got = {r.doc_id: (r["__lang"], r["__score"]) for r in language_id.identify(docs, model).collect()}
+    found, (lang, score, _) = language_id.identify(docs.withColumn("score", docs.g), model)
+    assert (lang, score) == ("lang_pred", "score_")
+    got = {r.doc_id: (r[lang], r[score]) for r in found.collect()}
     assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == "en"
     bare = language_id.train(docs.withColumn("lang", docs.lang.substr(9, 1)).where("false"))
-    assert bare is None and {r["__lang"] for r in language_id.identify(docs, bare).collect()} == {"und"}
-    assert language_id.identify(docs.limit(0), model).count() == 0
+    assert bare is None and {r[lang] for r in language_id.identify(docs, bare)[0].collect()} == {"und"}
+    assert language_id.identify(docs.limit(0), model)[0].count() == 0
+
+
+def test_language_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, f"text number {k}", "en") for k in range(900)] + [(3, "x" * 200_000, "en"), (5, "ein text", "de")], "doc_id bigint, text string, lang string")
+    rows = language_id.training_rows(docs, "doc_id", "text", "lang", 10)
+    assert sum(lang == "en" for _, lang in rows) == 10 and max(len(t) for t, _ in rows) < 100
+
+
+def test_language_scores_against_a_dense_kernel_ridge():
+    """The kernel by sets, its square root by the landmarks' matrix and the ridge by its normal equations, all written out."""
+    rng = random.Random(6)
+    word = {"x": "abcdefg", "y": "defghij", "z": "ghijklm"}
+    make = lambda lang: " ".join("".join(rng.choice(word[lang]) for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(3, 20)))
+    rows = [(make(lang), lang) for lang in "xyz" for _ in range(30)]
+    model = language_id.fit(rows, landmarks=8)
+    grams = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    kernel = lambda a, b: len(grams(a) & grams(b)) / np.sqrt(len(grams(a)) * len(grams(b)))
+    marks = [t for lang in "xyz" for t in [t for t, other in rows if other == lang][:8]]
+    own = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(own)
+    root = vectors @ np.diag(1 / np.sqrt(values)) @ vectors.T
+    mapped = lambda texts: np.array([[kernel(t, m) for m in marks] for t in texts]) @ root
+    train, target = mapped([t for t, _ in rows]), np.array([[1.0 if lang == x else -1.0 for x in "xyz"] for _, lang in rows])
+    centre, shift = train.mean(axis=0), target.mean(axis=0)
+    weights = np.linalg.solve((train - centre).T @ (train - centre) + language_id.RIDGE * len(rows) * np.eye(len(marks)), (train - centre).T @ (target - shift))
+    texts = [make(lang) for lang in "xyz" for _ in range(10)] + ["abc klm", "zzz a"]
+    want = (mapped(texts) - centre) @ weights + shift
+    got, sure = language_id.ridge_values(model, language_id.Grams(model.letters), texts)
+    assert sure.all() and np.abs(got[:30] - want[:30]).max() < 2e-3 and (got.argmax(axis=1)[:30] == want.argmax(axis=1)[:30]).all()
 
 
 def test_string_kernel_is_presence_of_grams():

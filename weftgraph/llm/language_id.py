@@ -10,9 +10,15 @@ the landmarks' presence matrix times the weights, the latter two multiplied befo
 Symbols: a text is lower-cased; each of the ``LETTERS`` most frequent letters of the training texts
 is a symbol, other letters share one, and a run of anything else is one blank.
 
-Training rows are a bounded sample: of each language, up to ``TRAIN_ROWS`` rows with the smallest
-hashes of their ids (the bound is a parameter); a language's row count decides the hash range read.
-The model is some megabytes whatever the corpus.
+Training rows are a bounded sample: of each language, up to ``TRAIN_ROWS`` rows of at most
+``TRAIN_BYTES`` bytes with the smallest hashes of their ids (both bounds are parameters); a language's
+row count decides the hash range read, and each task passes on no more than that many rows of it. So
+``TRAIN_ROWS`` rows a language reach the driver, however often an id is repeated. The model is some
+megabytes whatever the corpus.
+
+Results: the language of the largest ridge value, its softmax share as the score, and the value
+itself: about 1 for a text in a learned language, about 0 for one half in it, and below that for a
+text in none. Unlike the share, it does not depend on how many languages were learned.
 
 Scale: one narrow pass; only the sample reaches the driver. A batch's memory is bounded by
 ``BATCH`` texts.
@@ -28,10 +34,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructType
+
+from weftgraph.llm.common import fresh
 
-TRAIN_ROWS = 250
+TRAIN_ROWS, TRAIN_BYTES = 250, 100_000
 LANDMARKS = 48
 LETTERS, ORDER = 62, 3
 RIDGE = 1e-3
@@ -102,14 +111,15 @@ def training_rows(docs: DataFrame, id_col: str, text_col: str, lang_col: str, mo
     """(text, language) of up to ``most`` rows of each language, those with the smallest id hashes."""
     part = F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(1_000_000))
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), part.alias("part"))
-    usable = given.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & (F.pmod(F.crc32(F.col("id").cast("string")), F.lit(4)) != 2))
+    usable = given.where((F.octet_length("text") <= TRAIN_BYTES) & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("id").isNotNull() & (F.pmod(F.crc32(F.col("id").cast("string")), F.lit(4)) != 2))
     counts = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return []
     wanted = F.lit(False)
     for lang, n in counts.items():
         wanted = wanted | ((F.col("lang") == lang) & (F.col("part") < min(1_000_000, int(1_300_000 * most / n) + 1)))
-    rows = sorted((r.lang, r.part, r.id, r.text) for r in usable.where(wanted).collect())
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("part", "id", "text"))
+    rows = sorted((r.lang, r.part, r.id, r.text) for r in usable.where(wanted).withColumn("nth", nth).where(F.col("nth") <= most).collect())
     kept: dict[str, list[str]] = {}
     for lang, _, _, text in rows:
         if len(kept.setdefault(lang, [])) < most and any(c.isalpha() for c in text):
@@ -155,34 +165,41 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     return Model(languages, letters, columns, weights, shift - mean @ solved)
 
 
-def predictor(model: Model | None, text_at: int):
-    def score(grams: Grams, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        rows = np.zeros((len(texts), len(model.weights)), np.float32)
-        sure = np.zeros(len(texts), bool)
-        for k, text in enumerate(texts):
-            found = grams.codes(text) if text else ()
-            if len(found):
-                sure[k] = True
-                at = model.columns[found]
-                rows[k, at[at >= 0]] = 1 / np.sqrt(len(found))
-        values = rows @ model.weights + model.shift
+def ridge_values(model: Model, grams: Grams, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The value of each language for each text, and whether the text has a letter."""
+    rows = np.zeros((len(texts), len(model.weights)), np.float32)
+    sure = np.zeros(len(texts), bool)
+    for k, text in enumerate(texts):
+        found = grams.codes(text) if text else ()
+        if len(found):
+            sure[k] = True
+            at = model.columns[found]
+            rows[k, at[at >= 0]] = 1 / np.sqrt(len(found))
+    return rows @ model.weights + model.shift, sure
+
+
+def predictor(model: Model | None, text_at: int, names: list[str]):
+    def score(grams: Grams, texts: list[str | None]) -> tuple[list, list, list]:
+        values, sure = ridge_values(model, grams, texts)
         share = np.exp(4 * (values - values.max(axis=1, keepdims=True)))
         share /= share.sum(axis=1, keepdims=True)
         best = values.argmax(axis=1)
-        names = [model.languages[b] if s else UNKNOWN for b, s in zip(best, sure, strict=True)]
-        return names, [float(share[k, b]) if sure[k] else 0.0 for k, b in enumerate(best)]
+        rows = range(len(texts))
+        return (
+            [model.languages[b] if s else UNKNOWN for b, s in zip(best, sure, strict=True)],
+            [float(share[k, best[k]]) if sure[k] else 0.0 for k in rows],
+            [float(values[k, best[k]]) if sure[k] else -1.0 for k in rows],
+        )
 
     def run(batches):
         grams = Grams(model.letters) if model else None
         for batch in batches:
-            names, scores = [], []
             for at in range(0, batch.num_rows, BATCH):
-                texts = batch.column(text_at).slice(at, BATCH).to_pylist()
-                n, s = score(grams, texts) if model else ([UNKNOWN] * len(texts), [0.0] * len(texts))
-                names += n
-                scores += s
-            extra = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "__lang", "__score"])
+                part = batch.slice(at, BATCH)
+                n = part.num_rows
+                found = score(grams, part.column(text_at).to_pylist()) if model else ([UNKNOWN] * n, [0.0] * n, [-1.0] * n)
+                extra = [pa.array(c, kind) for c, kind in zip(found, (pa.string(), pa.float64(), pa.float64()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*batch.schema.names, *names])
 
     return run
 
@@ -191,16 +208,15 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return fit(training_rows(docs, id_col, text_col, lang_col, rows))
 
 
-def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``__lang`` and ``__score``; all its own columns stay."""
-    from pyspark.sql.types import DoubleType, StringType, StructType
-
-    schema = StructType([*docs.schema.fields]).add("__lang", StringType()).add("__score", DoubleType())
-    return docs.mapInArrow(predictor(model, docs.columns.index(text_col)), schema)
+def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> tuple[DataFrame, list[str]]:
+    """``docs`` with three more columns, and their names: language, score and ridge value; all its own columns stay."""
+    names = fresh(docs, "lang_pred", "score", "value")
+    schema = StructType([*docs.schema.fields]).add(names[0], StringType()).add(names[1], DoubleType()).add(names[2], DoubleType())
+    return docs.mapInArrow(predictor(model, docs.columns.index(text_col), names), schema), names
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    seen = identify(docs.select("doc_id", "text"), train(docs))
+    seen, (lang, score, _) = identify(docs.select("doc_id", "text"), train(docs))
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
-    return seen.select("doc_id", held_out.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
+    return seen.select("doc_id", held_out.alias("held_out"), F.col(lang).alias("lang_pred"), F.col(score).alias("score"))

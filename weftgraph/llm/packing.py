@@ -1,15 +1,19 @@
 """Packing: first-fit decreasing with a tournament tree of bin capacities, in randomised groups of documents.
 
-Documents are dealt by a seeded hash to partitions and put in the order of that hash, so what
-stands next to each other is a random sample of the corpus, whatever the order of the input. A
+Documents are dealt by a seeded random number to partitions and put in its order, so what stands
+next to each other is a random sample of the corpus, whatever the order of the input, and rows that
+are repeated however often spread over all partitions. A
 group is a run of documents of up to ``GROUP_TOKENS`` tokens; each group is packed on its own.
 
 Within a group a document longer than a sequence is cut into full sequences and a rest. Rests go,
 longest first, each into the first open bin with room. A tournament tree over the bins' free room
 finds that bin in logarithmic time. Sequence numbers are the partition's number and a counter.
 
-Tokens: a text is tokenised word by word, for no token of the vocabulary crosses ASCII white space;
-each worker remembers words it has met, up to a bound, and asks the tokenizer only for new ones.
+Tokens: where no token crosses ASCII white space and case does not matter, a text is tokenised word by
+word; each worker remembers words it has met, up to a bound, and asks the tokenizer only for new
+ones. That is so for the lower-casing vocabulary with ends of words that the query uses. Each worker
+tries it on ``PROBES`` and on its first ``CHECKED`` texts, and tokenises whole texts with any
+tokenizer that gives other ids there.
 
 Scale: one shuffle of the texts; no second one for the tokens, since each group is tokenised and
 packed where it lies. A worker holds one group and the word memory. A lost executor's partitions
@@ -36,6 +40,12 @@ GROUP_TOKENS = 2_000_000
 END_ID = 2
 #: Above this many words a worker forgets all and starts again.
 WORD_MEMORY = 1_000_000
+#: Texts that show whether a tokenizer can be asked word by word.
+CHECKED = 64
+PROBES = [
+    b"The quick brown fox, it's 3.14 (or 42)! cafe\xcc\x81 caf\xc3\xa9 \xc3\x9cBER stra\xc3\x9fe", b"one  two\t three\n\nfour\r\nfive", b" leading and trailing ", b"don't re-enter e-mail user@example.com https://a.b/c?d=e#f",
+    b"$#@!%^&*() [x]{y}<z> a|b a_b `c` \"d\" 'e' ...", b"UPPER lower MiXed camelCase snake_case 1st 2nd 1,000.50", "\u4eba\u4eba\u751f \u0416\u0443\u043a \U0001f600 \u0130 \ufb01 \u00a0x\u2028y".encode(), b"a\x00b \x1c c", b"<|endoftext|> <|x|>",
+]
 PIECES = "doc_id bigint, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -58,6 +68,11 @@ class Words:
         for token, number in vocabulary.items():
             self.ends[number] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
+        self.whole, self.unchecked = self.by_word(PROBES) != self.by_text(PROBES), CHECKED
+
+    def by_text(self, texts: list[bytes]) -> list[bytes]:
+        encoded = (self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False) for t in texts)
+        return [array.array("I", e.ids).tobytes() for e in encoded]
 
     def encode_each(self, words: list[bytes]) -> None:
         for at in range(0, len(words), 20_000):
@@ -93,6 +108,13 @@ class Words:
             known[w] = known[stem] + known[marks]
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        if not self.whole and self.unchecked:
+            some = texts[: self.unchecked]
+            self.whole, self.unchecked = self.by_word(some) != self.by_text(some), self.unchecked - len(some)
+        return self.by_text(texts) if self.whole else self.by_word(texts)
+
+    def by_word(self, texts: list[bytes]) -> list[bytes]:
         if len(self.known) > WORD_MEMORY:
             self.known.clear()
         # the tokenizer lower-cases too; special tokens are found before it does, so texts that may hold one stay
@@ -221,7 +243,7 @@ def pack_documents(
 ) -> DataFrame:
     """A row for each piece, with its ids as little-endian unsigned 32-bit numbers in ``ids``."""
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(F.col(text_col)).alias("text"))
-    given = given.withColumn("draw", F.xxhash64(F.lit(seed), "doc_id", "text"))
+    given = given.withColumn("draw", F.rand(seed))
     dealt = given.repartition("draw").sortWithinPartitions("draw", "doc_id").select("doc_id", "text")
     return dealt.mapInArrow(packer(tokenizer_path, size, end_id, group_tokens), PIECES)
 
