@@ -150,7 +150,9 @@ def test_language_scores_against_a_dense_kernel_ridge():
     weights = np.linalg.solve((train - centre).T @ (train - centre) + language_id.RIDGE * len(rows) * np.eye(len(marks)), (train - centre).T @ (target - shift))
     texts = [make(lang) for lang in "xyz" for _ in range(10)] + ["abc klm", "zzz a"]
     want = (mapped(texts) - centre) @ weights + shift
-    got, sure = language_id.ridge_values(model, language_id.Grams(model.letters), texts)
+    got, sure, known = language_id.ridge_values(model, language_id.Grams(model.letters), texts)
+    met = set().union(*map(grams, marks))
+    assert np.allclose(known[:30], [len(grams(t) & met) / len(grams(t)) for t in texts[:30]])
     assert sure.all() and np.abs(got[:30] - want[:30]).max() < 2e-3 and (got.argmax(axis=1)[:30] == want.argmax(axis=1)[:30]).all()
 
 

@@ -16,9 +16,9 @@ row count decides the hash range read, and each task passes on no more than that
 ``TRAIN_ROWS`` rows a language reach the driver, however often an id is repeated. The model is some
 megabytes whatever the corpus.
 
-Results: the language of the largest ridge value, its softmax share as the score, and the value
-itself: about 1 for a text in a learned language, about 0 for one half in it, and below that for a
-text in none. Unlike the share, it does not depend on how many languages were learned.
+Results: the language of the largest ridge value, its softmax share as the score, and how much of the
+text is known: the share of its n-grams that some landmark holds. Unlike the score, that does not
+depend on how many languages were learned.
 
 Scale: one narrow pass; only the sample reaches the driver. A batch's memory is bounded by
 ``BATCH`` texts.
@@ -165,22 +165,23 @@ def fit(rows: list[tuple[str, str]], landmarks: int = LANDMARKS, ridge: float =
     return Model(languages, letters, columns, weights, shift - mean @ solved)
 
 
-def ridge_values(model: Model, grams: Grams, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The value of each language for each text, and whether the text has a letter."""
+def ridge_values(model: Model, grams: Grams, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The value of each language for each text, whether the text has a letter, and the share of its n-grams that are known."""
     rows = np.zeros((len(texts), len(model.weights)), np.float32)
-    sure = np.zeros(len(texts), bool)
+    sure, known = np.zeros(len(texts), bool), np.zeros(len(texts))
     for k, text in enumerate(texts):
         found = grams.codes(text) if text else ()
         if len(found):
             sure[k] = True
             at = model.columns[found]
-            rows[k, at[at >= 0]] = 1 / np.sqrt(len(found))
-    return rows @ model.weights + model.shift, sure
+            at = at[at >= 0]
+            rows[k, at], known[k] = 1 / np.sqrt(len(found)), len(at) / len(found)
+    return rows @ model.weights + model.shift, sure, known
 
 
 def predictor(model: Model | None, text_at: int, names: list[str]):
     def score(grams: Grams, texts: list[str | None]) -> tuple[list, list, list]:
-        values, sure = ridge_values(model, grams, texts)
+        values, sure, known = ridge_values(model, grams, texts)
         share = np.exp(4 * (values - values.max(axis=1, keepdims=True)))
         share /= share.sum(axis=1, keepdims=True)
         best = values.argmax(axis=1)
@@ -188,7 +189,7 @@ def predictor(model: Model | None, text_at: int, names: list[str]):
         return (
             [model.languages[b] if s else UNKNOWN for b, s in zip(best, sure, strict=True)],
             [float(share[k, best[k]]) if sure[k] else 0.0 for k in rows],
-            [float(values[k, best[k]]) if sure[k] else -1.0 for k in rows],
+            known.tolist(),
         )
 
     def run(batches):
@@ -197,7 +198,7 @@ def predictor(model: Model | None, text_at: int, names: list[str]):
             for at in range(0, batch.num_rows, BATCH):
                 part = batch.slice(at, BATCH)
                 n = part.num_rows
-                found = score(grams, part.column(text_at).to_pylist()) if model else ([UNKNOWN] * n, [0.0] * n, [-1.0] * n)
+                found = score(grams, part.column(text_at).to_pylist()) if model else ([UNKNOWN] * n, [0.0] * n, [0.0] * n)
                 extra = [pa.array(c, kind) for c, kind in zip(found, (pa.string(), pa.float64(), pa.float64()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *extra], names=[*batch.schema.names, *names])
 
@@ -209,8 +210,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(docs: DataFrame, model: Model | None, text_col: str = "text") -> tuple[DataFrame, list[str]]:
-    """``docs`` with three more columns, and their names: language, score and ridge value; all its own columns stay."""
-    names = fresh(docs, "lang_pred", "score", "value")
+    """``docs`` with three more columns, and their names: language, score and share known; all its own columns stay."""
+    names = fresh(docs, "lang_pred", "score", "known")
     schema = StructType([*docs.schema.fields]).add(names[0], StringType()).add(names[1], DoubleType()).add(names[2], DoubleType())
     return docs.mapInArrow(predictor(model, docs.columns.index(text_col), names), schema), names
 
