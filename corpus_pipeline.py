@@ -15,17 +15,16 @@ from weftgraph.llm import decontamination, language_id, packing, secret_scan, si
 from weftgraph.llm.common import fresh
 from weftgraph.session import cut, table, uncut
 
-#: A document goes if it has no letter, or if it has LEAST_LETTERS and the ridge value of its best
-#: language is below LEAST_VALUE: texts half in a learned language have about 0, those in none -0.3 to -0.5.
-#: (With a single learned language there is no rest to tell it from, and all texts with a letter stay.)
-LEAST_LETTERS, LEAST_VALUE = 20, -0.3
+#: A document goes if it has no letter, or if it has LEAST_LETTERS and less than LEAST_KNOWN of its
+#: n-grams are met in the learned languages: texts in those have 0.8 to 1, those in others 0 to 0.7.
+LEAST_LETTERS, LEAST_KNOWN = 20, 0.7
 #: Near duplicates: sets of five-word shingles of Jaccard similarity 0.8 or more, each link confirmed by the sets.
 NEAR = {"width": 5, "ratio": 0.8}
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    seen, (lang, _, value) = language_id.identify(docs, language_id.train(docs))
-    foreign = (F.col(value) < LEAST_VALUE) & (F.length(F.regexp_replace("text", r"\P{L}", "")) >= LEAST_LETTERS)
+    seen, (lang, _, known) = language_id.identify(docs, language_id.train(docs))
+    foreign = (F.col(known) < LEAST_KNOWN) & (F.length(F.regexp_replace("text", r"\P{L}", "")) >= LEAST_LETTERS)
     return seen.where((F.col(lang) != language_id.UNKNOWN) & ~foreign).select(*docs.columns)
 
 
