@@ -61,7 +61,7 @@ def headers(chunks: DataFrame, symbols: DataFrame, imports: DataFrame, called: D
     roles = F.when(F.size("roles") > 0, F.concat(F.lit(", "), F.array_join("roles", ", "))).otherwise("")
     symbol = F.when(known, F.concat(F.lit("symbol: "), "qualified_name", F.lit(" ("), "kind", roles, F.lit(")"), F.coalesce(F.concat(F.lit(" in "), "parent"), F.lit("")))).otherwise(F.concat(F.lit("symbol: "), "symbol_id"))
     line = lambda label, value: F.when(known & (F.coalesce(value, F.lit("")) != ""), F.concat(F.lit(label + ": "), value))
-    doc = F.substring(F.substring_index("doc", "\n", 1), 1, HEADER_DOC)
+    doc = F.substring(F.substring_index(F.btrim("doc", F.lit(" \t\n\v\f\r")), "\n", 1), 1, HEADER_DOC)
     made = F.concat_ws("\n", F.concat(F.lit("file: "), "relpath", F.lit(" · service: "), "service"), symbol, line("imports", F.col("__imports")), line("doc", doc), line("calls", F.col("__calls")))
     out = rows.withColumn("context_header", made)
     return out.withColumn("input_hash", F.sha2(F.concat("context_header", F.lit("\n\n"), "text"), 256)).select(*chunks.columns, "context_header", "input_hash")

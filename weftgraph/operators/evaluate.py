@@ -18,6 +18,24 @@ def precision_recall(found: DataFrame, golden: DataFrame, keys: list[str], by: l
     return rows.select(*by, "n_found", "n_golden", "hits", share("n_found").alias("precision"), share("n_golden").alias("recall"))
 
 
+def found_edges(edges: DataFrame, nodes: DataFrame, types: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(src_service, src, dst_service, dst, type as a set by qualified names; one row with the number of ``dangling`` edges).
+
+    HANDLES runs from the channel to its handler and is turned to be read like the others. Calls
+    with a mechanism stand for hand-offs and are not calls of the source. An edge dangles if an end is no node.
+    """
+    wanted = edges.where(F.col("type").isin(*types))
+    if "mechanism" in edges.columns:
+        wanted = wanted.where("type != 'CALLS' OR mechanism IS NULL")
+    turned = F.col("type") == "HANDLES"
+    ends = wanted.select(F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src_id"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst_id"), "type").distinct()
+    side = lambda name: nodes.select(F.col("id").alias(f"{name}_id"), F.col("service").alias(f"{name}_service"), F.col("qualified_name").alias(name), F.lit(True).alias(f"{name}_known"))
+    met = ends.join(side("src"), "src_id", "left").join(side("dst"), "dst_id", "left")
+    both = F.col("src_known").isNotNull() & F.col("dst_known").isNotNull()
+    found = met.where(both).select("src_service", "src", "dst_service", "dst", "type").distinct()
+    return found, met.agg(F.count_if(~both).alias("dangling"))
+
+
 def hit_rank(results: DataFrame, accepted: DataFrame) -> DataFrame:
     """question, rank (1-based, null if none): the first accepted item of each question.
 

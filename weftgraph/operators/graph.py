@@ -45,14 +45,19 @@ def neighbors(edges: DataFrame, ids: DataFrame, types: list[str] | None = None,
     return found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limit).drop("k")
 
 
+def unseen(front: DataFrame, seen: DataFrame) -> DataFrame:
+    """The distinct (start, node) of a new frontier that were not met before."""
+    return front.select("start", "node").distinct().join(seen.select("start", "node"), ["start", "node"], "left_anti")
+
+
 def reach(edges: DataFrame, starts: DataFrame, types: list[str] | None = None, direction: str = "out", depth: int = 1) -> DataFrame:
     """start, node, level: every node within ``depth`` hops and its distance (the start at 0)."""
     step = hops(edges, types, direction).select("at", "neighbor").distinct()
     seen = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.lit(0).alias("level"))
     front = seen
     for level in range(1, depth + 1):
-        met = front.select("start", F.col("node").alias("at")).join(step, "at").select("start", F.col("neighbor").alias("node")).distinct()
-        front = met.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("level", F.lit(level))
+        met = front.select("start", F.col("node").alias("at")).join(step, "at").select("start", F.col("neighbor").alias("node"))
+        front = unseen(met, seen).withColumn("level", F.lit(level))
         if depth > 3:
             front = cut(front)
             if front.isEmpty():
@@ -67,8 +72,19 @@ def expand(edges: DataFrame, starts: DataFrame, types: list[str] | None = None,
     hops: start, level, at, edge_type, neighbor, direction; truncated: start, truncated.
     """
     depth = max(1, min(MAX_DEPTH, depth))
-    level_of = reach(edges, starts, types, direction, depth - 1)
-    every = level_of.withColumnRenamed("node", "at").join(hops(edges, types, direction).select("at", "edge_type", "neighbor", "direction"), "at")
+    step = hops(edges, types, direction).select("at", "edge_type", "neighbor", "direction")
+    front = starts.select(F.col("id").alias("start"), F.col("id").alias("at")).distinct()
+    seen, every = front.select("start", F.col("at").alias("node")), None
+    for level in range(depth):
+        met = front.join(step, "at").select("start", F.lit(level).alias("level"), "at", "edge_type", "neighbor", "direction")
+        if level + 1 < depth:  # starts over their budget are not walked further
+            met = cut(met)
+        every = met if every is None else every.unionByName(met)
+        if level + 1 < depth:
+            full = every.groupBy("start").count().where(F.col("count") > limit)
+            front = unseen(met.select("start", F.col("neighbor").alias("node")), seen).join(full, "start", "left_anti")
+            front = cut(front.select("start", F.col("node").alias("at")))
+            seen = seen.unionByName(front.select("start", F.col("at").alias("node")))
     order = Window.partitionBy("start").orderBy("level", "at", F.col("direction") == "in", "edge_type", "neighbor")
     ranked = every.withColumn("k", F.row_number().over(order))
     over = ranked.groupBy("start").agg(F.max(F.col("k") > limit).alias("truncated"))
@@ -186,16 +202,17 @@ def compact(steps: DataFrame, protected: Column, gate: int = 15, run: int = 6, h
     return marked.where(kept | marker).withColumn("collapsed", F.when(marker, F.col("__len") - (head + tail))).drop("__p", "__n", "__island", "__k", "__len")
 
 
-def climb(edges: DataFrame, starts: DataFrame, stop: DataFrame, max_hops: int = 64) -> DataFrame:
+def climb(edges: DataFrame, starts: DataFrame, stop: DataFrame) -> DataFrame:
     """start, top: follow each node's least predecessor until one in ``stop``, one without predecessor, or a repeat.
 
-    Parents are one per node, so a level is an equi-join of as many rows as there are starts.
+    Parents are one per node, so a level is an equi-join of as many rows as there are starts; a chain
+    is followed however long it is.
     """
     parent = cut(edges.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent")))
     stops = stop.select(F.col("id").alias("node"), F.lit(True).alias("stops"))
     now = starts.select(F.col("id").alias("start"), F.col("id").alias("node"), F.array("id").alias("trail")).distinct()
     done = None
-    for _ in range(max_hops):
+    while True:
         met = now.join(stops, "node", "left").join(parent, "node", "left")
         ends = F.col("stops").isNotNull() | F.col("parent").isNull() | F.array_contains("trail", F.col("parent"))
         met = cut(met.select("start", "node", "trail", "parent", ends.alias("ends")))
@@ -204,7 +221,6 @@ def climb(edges: DataFrame, starts: DataFrame, stop: DataFrame, max_hops: int =
         now = met.where("NOT ends").select("start", F.col("parent").alias("node"), F.array_append("trail", F.col("parent")).alias("trail"))
         if now.isEmpty():
             return done
-    return done.unionByName(now.select("start", F.col("node").alias("top")))
 
 
 def descendants(edges: DataFrame, roots: DataFrame, stop: DataFrame) -> DataFrame:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 from weftgraph.schema import CODE_KINDS, NODE_KINDS
 
@@ -19,6 +22,34 @@ def vector_gate(chunks: DataFrame, dim: int, embedder: bool) -> DataFrame:
     return chunks.withColumns({"embed_model": F.when(keep, F.col("embed_model")), "embedding": F.when(keep, F.col("embedding"))})
 
 
+def validated(edges: DataFrame, types: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
+    """(edges that may be written, the rest with ``reason``): the type must be known, and property names made of letters and underscores."""
+    odd = F.array_sort(F.filter(F.map_keys("props"), lambda k: ~k.rlike("^[A-Za-z_]+$")))
+    reason = F.when(~F.col("type").isin(*types) | F.col("type").isNull(), F.concat(F.lit("type: "), F.coalesce("type", F.lit("none")))).when(F.size(odd) > 0, F.concat(F.lit("property: "), F.get(odd, F.lit(0))))
+    marked = edges.withColumn("reason", reason)
+    return marked.where("reason IS NULL").drop("reason"), marked.where("reason IS NOT NULL")
+
+
+def vector_bytes(vector: Column) -> Column:
+    """A vector as little-endian 32-bit floats, the form in which caches hold it."""
+    return packed(vector)
+
+
+def vector_of(raw: Column) -> Column:
+    """The vector that ``vector_bytes`` packed; null if the length does not fit."""
+    return unpacked(raw)
+
+
+@F.pandas_udf(BinaryType())
+def packed(vectors: pd.Series) -> pd.Series:
+    return vectors.map(lambda v: None if v is None else np.asarray(v, "<f4").tobytes())
+
+
+@F.pandas_udf(ArrayType(FloatType()))
+def unpacked(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
+
+
 def is_stale(content: Column, start: Column, end: Column, digest: Column) -> Column:
     """The stored hash of a byte slice no longer fits."""
     return F.sha2(F.substring(content, start + F.lit(1), end - start), 256) != digest

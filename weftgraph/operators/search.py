@@ -21,6 +21,8 @@ K1, B = 1.2, 0.75
 RRF_BASE, POOL, MAX_K = 60, 4, 20
 #: Tokens of a batch of questions that are broadcast at most; beyond, they are shuffled like the postings.
 MOST_BROADCAST = 100_000
+#: Question vectors that a task compares the corpus with at once.
+MOST_VECTORS = 4096
 
 
 def tokens(text: Column) -> Column:
@@ -86,19 +88,23 @@ def search_text(posted: Postings, questions: DataFrame, k: int) -> DataFrame:
 def search_vectors(vectors: DataFrame, questions: DataFrame, k: int) -> DataFrame:
     """question, id, distance, rank: the nearest by cosine distance, ties by id.
 
-    ``questions`` (question, vector) is the bounded query set: it is gathered into blocks of vectors
-    that each row of the corpus is compared with in place; a task keeps its own k best of each
-    question before anything is shuffled.
+    ``questions`` (question, vector) is the query set: blocks of about ``MOST_VECTORS`` of its vectors
+    go, one after the other, to the corpus, whose rows are compared in place; a task keeps its own k
+    best of each question before anything is shuffled.
     """
     from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import DoubleType, StructType
 
-    asked = questions.select("question", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL").collect()
+    asked = cut(questions.select("question", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL"))
+    blocks = -(-asked.count() // MOST_VECTORS)
     schema = StructType().add("question", questions.schema["question"].dataType).add("id", vectors.schema["id"].dataType).add("distance", DoubleType())
-    if not asked:
-        return top(vectors.sparkSession.createDataFrame([], schema), k, [F.col("distance"), F.col("id")])
-    names, matrix = [r.question for r in asked], [list(r.vector) for r in asked]
-    near = vectors.select("id", F.col("vector").cast("array<double>").alias("vector")).mapInArrow(nearest(names, matrix, k, [to_arrow_type(f.dataType) for f in schema]), schema)
+    near = vectors.sparkSession.createDataFrame([], schema)
+    given = vectors.select("id", F.col("vector").cast("array<double>").alias("vector"))
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64(F.lit(3), "question"), F.lit(blocks)) == block).collect()
+        names, matrix = [r.question for r in rows], [list(r.vector) for r in rows]
+        if rows:
+            near = near.unionByName(given.mapInArrow(nearest(names, matrix, k, [to_arrow_type(f.dataType) for f in schema]), schema))
     return top(near, k, [F.col("distance"), F.col("id")])
 
 

@@ -95,6 +95,13 @@ def stale_files(changes: DataFrame, refs_moved: DataFrame, keys: list[str], ever
     return changes.join(moved, keys, "left").where(stale).select(*keys)
 
 
+def moved(before: DataFrame, after: DataFrame) -> DataFrame:
+    """service, moved, known: whether a service's digest (service, digest) differs; one that had none before, or has none now, moved and was not ``known``."""
+    a, b = before.select("service", F.col("digest").alias("__a")), after.select("service", F.col("digest").alias("__b"))
+    known = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+    return a.join(b, "service", "full").select("service", (~F.col("__a").eqNullSafe(F.col("__b"))).alias("moved"), known.alias("known"))
+
+
 def delete_file_layer(df: DataFrame, gone: DataFrame, pairs: dict[str, str]) -> DataFrame:
     """Rows that do not come from one of the files in ``gone``; ``pairs`` maps columns of ``df`` to columns of ``gone``."""
     keys = gone.select(*(F.col(theirs).alias(mine) for mine, theirs in pairs.items())).distinct()

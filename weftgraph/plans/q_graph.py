@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
-from weftgraph.operators import calls, evaluate, graph, link, staging
+from weftgraph.operators import calls, evaluate, graph, link, load, lookups, staging
 from weftgraph.operators.dedup import dedup_edges, first_rows
 from weftgraph.plans.registry import query
+from weftgraph.schema import EDGE_TYPES
 from weftgraph.session import table
 from weftgraph.sources import testgraph
 from weftgraph.sources.testgraph import oracle
@@ -177,10 +178,10 @@ def c14(spark, sf):
     return link.unique_match(p, s, p["p_size"] == s["size"], "id", ["supplier"]).select("id", "supplier")
 
 
-@query("c15_unique_name", "SELECT event_type || (user_id % 40) AS name, min(user_id)::BIGINT AS owner FROM events GROUP BY 1 HAVING count(DISTINCT user_id) = 1")
+@query("c15_unique_name", "SELECT 'f' || (p_partkey // 3 * 3 % 1000) AS name, min(p_brand) AS owner FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) = 1")
 def c15(spark, sf):
-    e = table(spark, sf, "events").select(F.concat("event_type", F.col("user_id") % 40).alias("name"), "user_id")
-    return e.groupBy("name").agg(F.min("user_id").alias("owner"), F.count_distinct("user_id").alias("n")).where("n = 1").drop("n")
+    fields = table(spark, sf, "part").select(F.concat(F.lit("f"), F.floor(F.col("p_partkey") / 3) * 3 % 1000).alias("name"), F.col("p_brand").alias("owner"))
+    return link.sole_owner(fields, "name", "owner")
 
 
 @query("c17_import_resolution", """SELECT event_id, CASE WHEN user_id < 60 AND event_type IN ('view', 'click') THEN 'pkg' || user_id || '.' || event_type WHEN user_id < 100 THEN 'pkg' || user_id END AS module FROM events""")
@@ -223,13 +224,17 @@ def d8(spark, sf):
     return evaluate.precision_recall(e.where("dst NOT LIKE '%3'"), e.where("src NOT LIKE '%8'"), ["src", "dst"], ["type"])
 
 
-@query("d12_found_edges", oracle("""SELECT s.service AS src_service, s.name AS src, d.service AS dst_service, d.name AS dst, e.type FROM (SELECT DISTINCT src, dst, type FROM g_edges WHERE type IN ('CALLS', 'PRODUCES')) e JOIN g_nodes s ON s.id = e.src JOIN g_nodes d ON d.id = e.dst GROUP BY ALL"""))
+@query("d12_found_edges", oracle("""SELECT s.service AS src_service, s.name AS src, d.service AS dst_service, d.name AS dst, e.type FROM (SELECT DISTINCT CASE type WHEN 'HANDLES' THEN dst ELSE src END AS src, CASE type WHEN 'HANDLES' THEN src ELSE dst END AS dst, type FROM g_edges WHERE type IN ('CALLS', 'PRODUCES', 'HANDLES')) e JOIN g_nodes s ON s.id = e.src JOIN g_nodes d ON d.id = e.dst GROUP BY ALL"""))
 def d12(spark, sf):
-    n = testgraph.nodes(spark, sf).select("id", "service", "name")
-    e = testgraph.edges(spark, sf).where("type IN ('CALLS', 'PRODUCES')").select("src", "dst", "type").distinct()
-    s = n.withColumnsRenamed({"id": "src", "service": "src_service", "name": "src_name"})
-    d = n.withColumnsRenamed({"id": "dst", "service": "dst_service", "name": "dst_name"})
-    return e.join(s, "src").join(d, "dst").select("src_service", F.col("src_name").alias("src"), "dst_service", F.col("dst_name").alias("dst"), "type").distinct()
+    n = testgraph.nodes(spark, sf).select("id", "service", F.col("name").alias("qualified_name"))
+    found, _ = evaluate.found_edges(testgraph.edges(spark, sf), n, ["CALLS", "PRODUCES", "HANDLES"])
+    return found
+
+
+@query("d12_dangling", oracle("SELECT count(*)::BIGINT AS dangling FROM (SELECT DISTINCT src, dst, type FROM g_edges WHERE type IN ('CALLS', 'CONSUMES')) e WHERE e.src NOT IN (SELECT id FROM g_nodes WHERE kind <> 'Channel') OR e.dst NOT IN (SELECT id FROM g_nodes WHERE kind <> 'Channel')"))
+def d12_dangling(spark, sf):
+    n = testgraph.nodes(spark, sf).where("kind != 'Channel'").select("id", "service", F.col("name").alias("qualified_name"))
+    return evaluate.found_edges(testgraph.edges(spark, sf), n, ["CALLS", "CONSUMES"])[1]
 
 
 @query("e6_compaction", """
@@ -302,17 +307,17 @@ def i2(spark, sf):
 
 @query("i2_expand_both", oracle("""SELECT start, node, min(level) AS level FROM r GROUP BY ALL""", """
   pos AS (SELECT id, event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM ev),
-  r AS (SELECT a.id AS start, b.id AS node, abs(a.k - b.k)::INT AS level FROM pos a JOIN pos b ON a.user_id = b.user_id AND abs(a.k - b.k) <= 3 WHERE a.event_id % 50 = 0)"""))
+  r AS (SELECT a.id AS start, b.id AS node, abs(a.k - b.k)::INT AS level FROM pos a JOIN pos b ON a.user_id = b.user_id AND abs(a.k - b.k) <= 3 WHERE a.event_id % 20 = 0)"""))
 def i2_both(spark, sf):
-    starts = testgraph.nodes(spark, sf).where("id LIKE '%:event/%'").where(F.substring_index("id", "/", -1).cast("bigint") % 50 == 0)
+    starts = testgraph.nodes(spark, sf).where("id LIKE '%:event/%'").where(F.substring_index("id", "/", -1).cast("bigint") % 20 == 0)
     return graph.reach(testgraph.edges(spark, sf), starts, ["CALLS"], "both", 3)
 
 
-@query("i3_who_calls", oracle("""SELECT a.id AS start, b.id AS node, (a.k - b.k)::INT AS level, FALSE AS via_activity FROM pos a JOIN pos b ON a.user_id = b.user_id AND b.k BETWEEN a.k - 3 AND a.k - 1 WHERE a.event_id % 50 = 0""",
+@query("i3_who_calls", oracle("""SELECT a.id AS start, b.id AS node, (a.k - b.k)::INT AS level, FALSE AS via_activity FROM pos a JOIN pos b ON a.user_id = b.user_id AND b.k BETWEEN a.k - 3 AND a.k - 1 WHERE a.event_id % 20 = 0""",
   "pos AS (SELECT id, event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM ev)"))
 def i3(spark, sf):
     n = testgraph.nodes(spark, sf)
-    targets = n.where("id LIKE '%:event/%'").where(F.substring_index("id", "/", -1).cast("bigint") % 50 == 0)
+    targets = n.where("id LIKE '%:event/%'").where(F.substring_index("id", "/", -1).cast("bigint") % 20 == 0)
     return graph.who_calls(testgraph.edges(spark, sf), n, targets, True, 3)
 
 
@@ -320,7 +325,7 @@ PATHS = """
 hop AS (SELECT DISTINCT src AS a, type || ' ' || dst || ' out' AS h, dst AS b FROM g_edges WHERE type IN ('CONTAINS') UNION SELECT DISTINCT dst, type || ' ' || src || ' in', src FROM g_edges WHERE type = 'CONTAINS'),
 near AS (SELECT a, h, b FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY h) AS k FROM hop) WHERE k <= 50),
 want AS (SELECT 'sym:' || r_name || ':nation/' || n_nationkey AS start, 'svc:' || r_name AS goal FROM place UNION SELECT a.id, b.id FROM ord a JOIN ord b ON b.o_orderkey = a.o_orderkey + 40 AND a.parent = b.parent
-  UNION SELECT id, 'svc:' || service FROM ord WHERE o_orderkey % 200 = 0 UNION SELECT id, id FROM ord WHERE o_orderkey % 500 = 0),
+  UNION SELECT id, 'svc:' || service FROM ord WHERE o_orderkey % 20 = 0 UNION SELECT id, id FROM ord WHERE o_orderkey % 20 = 0),
 p AS (SELECT start, goal, start AS node, 0 AS n, '' AS path FROM want UNION ALL SELECT p.start, p.goal, near.b, n + 1, path || '/' || h FROM p JOIN near ON near.a = p.node WHERE n < 3 AND p.node <> p.goal)"""
 
 
@@ -334,8 +339,8 @@ def i4(spark, sf):
     nations = n.where("kind = 'Module'").select(F.col("id").alias("start"), F.concat(F.lit("svc:"), "service").alias("goal"))
     o = orders.join(parent, "id").select("id", "k", "parent")
     siblings = o.select(F.col("id").alias("start"), (F.col("k") + 40).alias("k"), "parent").join(o.select(F.col("id").alias("goal"), "k", "parent"), ["k", "parent"]).select("start", "goal")
-    up = orders.where("k % 200 = 0").select(F.col("id").alias("start"), F.concat(F.lit("svc:"), "service").alias("goal"))
-    same = orders.where("k % 500 = 0").select(F.col("id").alias("start"), F.col("id").alias("goal"))
+    up = orders.where("k % 20 = 0").select(F.col("id").alias("start"), F.concat(F.lit("svc:"), "service").alias("goal"))
+    same = orders.where("k % 20 = 0").select(F.col("id").alias("start"), F.col("id").alias("goal"))
     pairs = nations.unionByName(siblings).unionByName(up).unionByName(same)
     got = graph.shortest_paths(e, pairs, ["CONTAINS"], 3)
     text = F.array_join(F.transform("path", lambda h: F.concat(F.lit("/"), F.concat_ws(" ", h["edge_type"], h["node"], h["direction"]))), "")
@@ -346,10 +351,10 @@ CHAIN = """
 pos AS (SELECT id, event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY user_id) AS n FROM ev)"""
 
 
-@query("i5_walk_segment", oracle("""SELECT a.id AS start, (b.k - a.k)::INT AS level, b.id AS at, c.id AS neighbor, a.n - a.k > 15 AS truncated FROM pos a JOIN pos b ON a.user_id = b.user_id AND b.k BETWEEN a.k AND a.k + 14 JOIN pos c ON c.user_id = b.user_id AND c.k = b.k + 1 WHERE a.event_id % 100 = 0""", CHAIN))
+@query("i5_walk_segment", oracle("""SELECT a.id AS start, (b.k - a.k)::INT AS level, b.id AS at, c.id AS neighbor, a.n - a.k > 15 AS truncated FROM pos a JOIN pos b ON a.user_id = b.user_id AND b.k BETWEEN a.k AND a.k + 14 JOIN pos c ON c.user_id = b.user_id AND c.k = b.k + 1 WHERE a.event_id % 20 = 0""", CHAIN))
 def i5(spark, sf):
     n = testgraph.nodes(spark, sf)
-    entries = n.where("id LIKE '%:event/%'").where(F.substring_index("id", "/", -1).cast("bigint") % 100 == 0)
+    entries = n.where("id LIKE '%:event/%'").where(F.substring_index("id", "/", -1).cast("bigint") % 20 == 0)
     e = dedup_edges(testgraph.edges(spark, sf).where("type = 'CALLS'"))
     steps, over = graph.walk_segments(e, entries)
     return steps.join(over, "start").select("start", "level", "at", "neighbor", "truncated")
@@ -366,40 +371,41 @@ def i5_exits(spark, sf):
 def i6(spark, sf):
     e = testgraph.edges(spark, sf)
     exits = e.where("type = 'PRODUCES'").select(F.col("src").alias("start"), F.col("src").alias("producer"), F.col("dst").alias("channel"))
-    hand = link.next_segments(e).withColumn("type", F.lit("NEXT_SEGMENT"))
+    hand = link.next_segments(e, exits).withColumn("type", F.lit("NEXT_SEGMENT"))
     return graph.resolve_exits(hand, exits, 0.5).select("start", "channel", F.array_join("next_ids", ",").alias("next_ids"))
 
 
-@query("i9_entry_of", oracle("""SELECT a.id AS start, coalesce((SELECT arg_max(b.id, b.k) FROM pos b WHERE b.user_id = a.user_id AND b.k <= a.k AND (b.event_type = 'purchase' OR b.k = 1)), a.id) AS top FROM pos a WHERE a.event_id % 40 = 0""",
+@query("i9_entry_of", oracle("""SELECT a.id AS start, coalesce((SELECT arg_max(b.id, b.k) FROM pos b WHERE b.user_id = a.user_id AND b.k <= a.k AND (b.event_type = 'purchase' OR b.k = 1)), a.id) AS top FROM pos a WHERE a.event_id % 20 = 0""",
   "pos AS (SELECT id, event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM ev)"))
 def i9(spark, sf):
     n = testgraph.nodes(spark, sf)
-    starts = n.where("id LIKE '%:event/%'").where(F.substring_index("id", "/", -1).cast("bigint") % 40 == 0)
+    starts = n.where("id LIKE '%:event/%'").where(F.substring_index("id", "/", -1).cast("bigint") % 20 == 0)
     e = testgraph.edges(spark, sf).where("type = 'CALLS'")
     return graph.climb(e, starts, n.where("array_contains(roles, 'MessageProducer')"))
 
 
-@query("i11_part_of_process", oracle("""SELECT 'proc:' || a.user_id AS process, b.id AS node, (b.k - a.k)::INT AS "order" FROM pos a JOIN pos b ON a.user_id = b.user_id AND a.k = 1 AND b.k - a.k < 12 WHERE a.user_id < 20""",
+@query("i11_part_of_process", oracle("""SELECT 'proc:' || a.user_id AS process, b.id AS node, (b.k - a.k)::INT AS "order" FROM pos a JOIN pos b ON a.user_id = b.user_id AND a.k = 1 AND b.k - a.k < 12""",
   "pos AS (SELECT id, event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM ev)"))
 def i11(spark, sf):
     from pyspark.sql import Window
 
     e = testgraph.edges(spark, sf).where("type = 'CALLS'")
     first = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    d = table(spark, sf, "events").where("user_id < 20").withColumn("k", first).where("k = 1").select(F.concat(F.lit("proc:"), "user_id").alias("process"), F.concat(F.lit("sym:user"), "user_id", F.lit(":event/"), "event_id").alias("entry"))
+    d = table(spark, sf, "events").withColumn("k", first).where("k = 1").select(F.concat(F.lit("proc:"), "user_id").alias("process"), F.concat(F.lit("sym:user"), "user_id", F.lit(":event/"), "event_id").alias("entry"))
     return link.part_of_process(e, d, 12).select("process", "node", "order")
 
 
 MOUNTS = """
-m AS (SELECT DISTINCT 'r' || (p_size % 12) AS parent, 'r' || (p_size % 12 + 1 + p_partkey % 2) AS child, '/' || lower(p_type) AS prefix FROM part WHERE p_partkey < 60),
+m AS (SELECT 'r' || (p_partkey // 3) AS parent, 'r' || p_partkey AS child, '/' || lower(p_type) AS prefix FROM part UNION SELECT 'r' || (p_partkey // 3), 'r' || p_partkey, '/v' || v FROM part, range(5) AS x(v) WHERE p_partkey % 11 = 0),
 w AS (SELECT 'r0' AS router, '' AS prefix, ['r0'] AS trail UNION ALL SELECT m.child, w.prefix || m.prefix, list_append(w.trail, m.child) FROM w JOIN m ON m.parent = w.router WHERE NOT list_contains(w.trail, m.child)),
 c AS (SELECT router, count(*) AS n FROM w GROUP BY router)"""
 
 
 @query("i13_router_prefixes", f"WITH RECURSIVE {MOUNTS} SELECT DISTINCT router, CASE WHEN n > 16 OR (SELECT bool_or(n > 16) FROM c x WHERE x.router IN (SELECT t FROM (SELECT unnest(trail) AS t, w.router AS r FROM w) WHERE r = c.router)) THEN NULL ELSE prefix END AS prefix FROM w JOIN c USING (router)")
 def i13(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey < 60")
-    mounts = p.select(F.concat(F.lit("r"), F.col("p_size") % 12).alias("parent"), F.concat(F.lit("r"), F.col("p_size") % 12 + 1 + F.col("p_partkey") % 2).alias("child"), F.concat(F.lit("/"), F.lower("p_type")).alias("prefix")).distinct()
+    p = table(spark, sf, "part").select(F.concat(F.lit("r"), F.floor(F.col("p_partkey") / 3)).alias("parent"), F.concat(F.lit("r"), "p_partkey").alias("child"), "p_type", "p_partkey")
+    again = p.where("p_partkey % 11 = 0").select("parent", "child", F.explode(F.array(*(F.lit(f"/v{v}") for v in range(5)))).alias("prefix"))
+    mounts = p.select("parent", "child", F.concat(F.lit("/"), F.lower("p_type")).alias("prefix")).unionByName(again)
     return link.router_prefixes(mounts, spark.range(1).select(F.lit("r0").alias("router")))
 
 
@@ -420,13 +426,24 @@ def i15(spark, sf):
     return graph.climb(e, starts, n.where("kind = 'Module'")).withColumnRenamed("top", "module")
 
 
-@query("s1_by_qualified_name", oracle("SELECT service, name, min(id) AS id FROM g_nodes WHERE kind IN ('Module', 'Class', 'Function') AND service NOT LIKE 'user%' GROUP BY ALL"))
+@query("s1_by_qualified_name", oracle("SELECT service, name, min(id) AS id FROM g_nodes WHERE kind IN ('Module', 'Class', 'Function') GROUP BY ALL"))
 def s1(spark, sf):
-    n = testgraph.nodes(spark, sf).where("kind IN ('Module', 'Class', 'Function') AND service NOT LIKE 'user%'")
-    return n.groupBy("service", "name").agg(F.min("id").alias("id"))
+    n = testgraph.nodes(spark, sf).withColumn("qualified_name", F.col("name"))
+    return lookups.by_qualified_name(n, n.select("service", "qualified_name").distinct()).select("service", F.col("qualified_name").alias("name"), "id")
+
+
+@query("s1_by_ids", oracle("SELECT id, kind FROM g_nodes WHERE id LIKE '%:order/%' AND kind = 'Function'"))
+def s1_ids(spark, sf):
+    n = testgraph.nodes(spark, sf)
+    asked = n.where("id LIKE '%:order/%'").select("id").unionByName(table(spark, sf, "region").select(F.concat(F.lit("none:"), "r_name").alias("id")))
+    return lookups.of_kind(lookups.by_ids(n, asked), "Function").select("id", "kind")
+
 
+BAD = "CASE WHEN evidence_line % 5 = 0 THEN type || 'X' ELSE type END AS type, CASE WHEN evidence_line % 7 = 0 THEN 'bad-name' ELSE 'fine_name' END AS prop"
 
-@query("s13_write_validation", oracle("SELECT type, count(*)::BIGINT AS n FROM g_edges WHERE type NOT IN ('CALLS', 'CONTAINS') GROUP BY type"))
+
+@query("s13_write_validation", oracle(f"""SELECT reason, count(*)::BIGINT AS n FROM (SELECT CASE WHEN type LIKE '%X' THEN 'type: ' || type WHEN prop = 'bad-name' THEN 'property: bad-name' END AS reason FROM (SELECT {BAD} FROM g_edges)) GROUP BY reason"""))
 def s13(spark, sf):
-    e = testgraph.edges(spark, sf)
-    return e.where(~F.col("type").isin("CALLS", "CONTAINS")).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    e = testgraph.edges(spark, sf).selectExpr("src", "dst", *BAD.split(", CASE")[:1], "CASE" + BAD.split(", CASE")[1])
+    good, bad = load.validated(e.withColumn("props", F.create_map("prop", F.lit("v"))), EDGE_TYPES)
+    return bad.unionByName(good.withColumn("reason", F.lit(None).cast("string"))).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))

@@ -22,21 +22,21 @@ def c4(spark, sf):
 
 
 @query("c16_singletons", """
-WITH s AS (SELECT 'n' || (p_partkey % 97) AS name, 'm' || (p_size % 5) AS module, p_brand AS class_name, 'sym/' || p_brand || '#' AS class_symbol FROM part WHERE p_partkey < 80),
+WITH s AS (SELECT 'n' || CASE WHEN p_partkey % 7 = 0 THEN p_partkey - 1 ELSE p_partkey END AS name, 'm' || (p_size % 5) AS module, p_brand AS class_name, 'sym/' || p_brand || '#' AS class_symbol FROM part),
 u AS (SELECT name, min(module) AS origin, min(class_name) AS class_name, min(class_symbol) AS class_symbol FROM s GROUP BY name HAVING count(DISTINCT (module, class_name)) = 1),
-m AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'sym/' ELSE 'alt/' END || p_brand || '#' || lower(p_type) || '().' AS symbol, p_brand AS class_name, lower(p_type) AS method FROM part WHERE p_partkey < 150),
-site AS (SELECT event_id, 'm' || (user_id % 5) AS module, 'n' || (event_id % 97) AS receiver, CASE event_id % 3 WHEN 0 THEN 'economy' WHEN 1 THEN 'small' ELSE 'promo' END AS callee FROM events),
+m AS (SELECT CASE WHEN p_size % 2 = 0 THEN 'sym/' ELSE 'alt/' END || p_brand || '#' || lower(p_type) || '().' AS symbol, p_brand AS class_name, lower(p_type) AS method FROM part),
+site AS (SELECT event_id, 'm' || (user_id % 5) AS module, 'n' || (event_id % 1999) AS receiver, CASE event_id % 3 WHEN 0 THEN 'economy' WHEN 1 THEN 'small' ELSE 'promo' END AS callee FROM events),
 j AS (SELECT event_id, class_symbol || callee || '().' AS symbol, class_name, callee FROM site JOIN u ON receiver = name WHERE module = origin OR event_id % 4 = 0),
 o AS (SELECT class_name, method, count(*) AS n, min(symbol) AS sole FROM m GROUP BY ALL)
 SELECT event_id AS call_id, CASE WHEN j.symbol IN (SELECT symbol FROM m) THEN j.symbol ELSE sole END AS target, CASE WHEN j.symbol IN (SELECT symbol FROM m) THEN 1.0 ELSE 0.6 END::DOUBLE AS tier
 FROM j LEFT JOIN o ON o.class_name = j.class_name AND o.method = callee WHERE j.symbol IN (SELECT symbol FROM m) OR n = 1""")
 def c16(spark, sf):
     p = table(spark, sf, "part")
-    single = p.where("p_partkey < 80").select(F.lit("s").alias("service"), F.concat(F.lit("n"), F.col("p_partkey") % 97).alias("name"), F.concat(F.lit("m"), F.col("p_size") % 5).alias("module"), F.col("p_brand").alias("class_name"), F.concat(F.lit("sym/"), "p_brand", F.lit("#")).alias("class_symbol"))
-    methods = p.where("p_partkey < 150").select(F.lit("s").alias("service"), F.concat(F.when(F.col("p_size") % 2 == 0, "sym/").otherwise("alt/"), "p_brand", F.lit("#"), F.lower("p_type"), F.lit("().")).alias("symbol"), F.col("p_brand").alias("class_name"), F.lower("p_type").alias("method"))
+    single = p.select(F.lit("s").alias("service"), F.concat(F.lit("n"), F.when(F.col("p_partkey") % 7 == 0, F.col("p_partkey") - 1).otherwise(F.col("p_partkey"))).alias("name"), F.concat(F.lit("m"), F.col("p_size") % 5).alias("module"), F.col("p_brand").alias("class_name"), F.concat(F.lit("sym/"), "p_brand", F.lit("#")).alias("class_symbol"))
+    methods = p.select(F.lit("s").alias("service"), F.concat(F.when(F.col("p_size") % 2 == 0, "sym/").otherwise("alt/"), "p_brand", F.lit("#"), F.lower("p_type"), F.lit("().")).alias("symbol"), F.col("p_brand").alias("class_name"), F.lower("p_type").alias("method"))
     e = table(spark, sf, "events")
     callee = F.when(F.col("event_id") % 3 == 0, "economy").when(F.col("event_id") % 3 == 1, "small").otherwise("promo")
-    sites = e.select(F.col("event_id").alias("call_id"), F.lit("s").alias("service"), F.concat(F.lit("m"), F.col("user_id") % 5).alias("module"), F.concat(F.lit("n"), F.col("event_id") % 97).alias("receiver"), callee.alias("callee"))
+    sites = e.select(F.col("event_id").alias("call_id"), F.lit("s").alias("service"), F.concat(F.lit("m"), F.col("user_id") % 5).alias("module"), F.concat(F.lit("n"), F.col("event_id") % 1999).alias("receiver"), callee.alias("callee"))
     # every fourth site imports its receiver from wherever it may be defined
     at = sites.where("call_id % 4 = 0").select("service", "module", F.col("receiver").alias("name"))
     imports = at.join(single.select("name", F.col("module").alias("target")).distinct(), "name")
@@ -95,11 +95,11 @@ def f7(spark, sf):
     return chunks.names_of(table(spark, sf, "events"), "user_id", "props", chunks.HEADER_CALLS, "names")
 
 
-@query("f8_member_cap", oracle("SELECT process, count(*)::BIGINT AS members, max(k - 1)::INT AS last FROM (SELECT user_id AS process, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM ev WHERE user_id < 4) WHERE k <= 20 GROUP BY process"))
+@query("f8_member_cap", oracle("SELECT process, count(*)::BIGINT AS members, max(k - 1)::INT AS last FROM (SELECT user_id AS process, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM ev) WHERE k <= 20 GROUP BY process"))
 def f8(spark, sf):
     e = testgraph.edges(spark, sf).where("type = 'CALLS'")
     first = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    d = table(spark, sf, "events").where("user_id < 4").withColumn("k", first).where("k = 1").select(F.col("user_id").alias("process"), F.concat(F.lit("sym:user"), "user_id", F.lit(":event/"), "event_id").alias("entry"))
+    d = table(spark, sf, "events").withColumn("k", first).where("k = 1").select(F.col("user_id").alias("process"), F.concat(F.lit("sym:user"), "user_id", F.lit(":event/"), "event_id").alias("entry"))
     return link.part_of_process(e, d, 20).groupBy("process").agg(F.count(F.lit(1)).alias("members"), F.max("order").alias("last"))
 
 
@@ -112,7 +112,8 @@ def g1(spark, sf):
 @query("g2_frontier_difference", oracle("SELECT DISTINCT dst AS node FROM g_edges WHERE type = 'CONTAINS' AND dst NOT IN (SELECT src FROM g_edges WHERE type = 'CONTAINS')"))
 def g2(spark, sf):
     e = testgraph.edges(spark, sf).where("type = 'CONTAINS'")
-    return e.select(F.col("dst").alias("node")).distinct().join(e.select(F.col("src").alias("node")), "node", "left_anti")
+    front = e.select(F.lit("all").alias("start"), F.col("dst").alias("node"))
+    return graph.unseen(front, e.select(F.lit("all").alias("start"), F.col("src").alias("node"))).select("node")
 
 
 @query("g3_found_and_golden", oracle("SELECT src, dst FROM g_edges WHERE type = 'CONSUMES' AND confidence >= 0.8 INTERSECT SELECT src, dst FROM g_edges WHERE type = 'CONSUMES' AND evidence_line < 4"))
@@ -132,14 +133,14 @@ def i10(spark, sf):
     e = testgraph.edges(spark, sf)
     hand = q_graph.next_edges(spark, sf).select("src", "dst").distinct()
     up = e.where("type = 'CONTAINS' AND src NOT LIKE 'chan:%'")
-    owner = graph.climb(up, hand.select(F.col("src").alias("id")).distinct(), testgraph.nodes(spark, sf).where("kind = 'Module'"), 4)
+    owner = graph.climb(up, hand.select(F.col("src").alias("id")).distinct(), testgraph.nodes(spark, sf).where("kind = 'Module'"))
     return hand.join(owner.withColumnRenamed("start", "src"), "src").select(F.col("top").alias("entry"), F.col("dst").alias("next")).distinct()
 
 
-@query("m2_two_pass", f"WITH asked AS (SELECT p_partkey AS question, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' nosuchword' ELSE '' END AS text FROM part WHERE p_partkey < 60), {q_search.bm25('part', 'p_partkey', 'p_name', 'text', 6)} SELECT question, id, score, rank::INT AS rank FROM t_top")
+@query("m2_two_pass", f"WITH asked AS (SELECT p_partkey AS question, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' nosuchword' ELSE '' END AS text FROM part WHERE p_partkey % 20 = 0), {q_search.bm25('part', 'p_partkey', 'p_name', 'text', 6)} SELECT question, id, score, rank::INT AS rank FROM t_top")
 def m2(spark, sf):
     p = table(spark, sf, "part")
-    q = p.where("p_partkey < 60").select(F.col("p_partkey").alias("question"), F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " nosuchword").otherwise("")).alias("text"))
+    q = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("question"), F.concat("p_name", F.when(F.col("p_partkey") % 3 == 0, " nosuchword").otherwise("")).alias("text"))
     return search.search_text(search.postings(p, "p_partkey", F.col("p_name")), q, 6)
 
 
@@ -154,7 +155,7 @@ def n4(spark, sf):
     e = table(spark, sf, "events").withColumnRenamed("user_id", "service")
     a = staging.ordered_digest(e.where(F.dayofmonth("ts") < 15), ["service"], [F.col("event_type")])
     b = staging.ordered_digest(e.where(F.dayofmonth("ts") >= 15), ["service"], [F.col("event_type")]).withColumnRenamed("digest", "later")
-    return a.join(b, "service").select("service", (F.col("digest") != F.col("later")).alias("moved"))
+    return staging.moved(a, b.withColumnRenamed("later", "digest")).where("known").select("service", "moved")
 
 
 @query("n6_begin_service", oracle("SELECT origin_service, count(*)::BIGINT AS n FROM g_edges WHERE origin_service <> 'EUROPE' GROUP BY ALL"))

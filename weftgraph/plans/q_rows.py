@@ -173,13 +173,12 @@ def b11(spark, sf):
     return table(spark, sf, "pages").select("page_id", path.alias("path"), scalars.template_matches(F.lit("/en/{id}"), path).alias("matched"))
 
 
-@query("b12_stale", """SELECT doc_id, sha256(substr(text, 1, 50)) <> sha256(substr(text, 1, CASE WHEN doc_id % 3 = 0 THEN 49 ELSE 50 END)) AS stale FROM documents WHERE lang = 'en'""")
+@query("b12_stale", """SELECT doc_id, sha256(text) <> sha256(CASE WHEN doc_id % 3 = 0 THEN left(text, length(text) - 1) ELSE text END) AS stale FROM documents""")
 def b12(spark, sf):
     from weftgraph.operators.load import is_stale
 
-    d = table(spark, sf, "documents").where("lang = 'en'")
-    staged = F.sha2(F.substring("text", F.lit(1), F.when(F.col("doc_id") % 3 == 0, 49).otherwise(50)), 256)
-    return d.select("doc_id", is_stale(F.col("text").cast("binary"), F.lit(0), F.octet_length(F.substring("text", 1, 50)), staged).alias("stale"))
+    staged = F.sha2(F.when(F.col("doc_id") % 3 == 0, F.substring("text", F.lit(1), F.length("text") - 1)).otherwise(F.col("text")), 256)
+    return table(spark, sf, "documents").select("doc_id", is_stale(F.col("text").cast("binary"), F.lit(0), F.octet_length("text"), staged).alias("stale"))
 
 
 @query("b14_clamp", "SELECT o_orderkey AS id, greatest(1, least(12, o_orderkey % 40 - 5))::BIGINT AS hops, greatest(1, least(20, o_custkey))::BIGINT AS k FROM orders")
@@ -291,9 +290,9 @@ def h4(spark, sf):
 SLUG = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({0})), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '^-|-$', '', 'g')"
 
 
-@query("h5_slugify", f"SELECT doc_id, {SLUG.format('substr(text, 1, 80)')} AS slug FROM documents")
+@query("h5_slugify", f"SELECT doc_id, {SLUG.format('text')} AS slug FROM documents")
 def h5(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", ids.slugify(F.substring("text", 1, 80)).alias("slug"))
+    return table(spark, sf, "documents").select("doc_id", ids.slugify(F.col("text")).alias("slug"))
 
 
 @query("h6_ids", """
@@ -332,9 +331,9 @@ def h10(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), scalars.join_template(prefix, path).alias("template"))
 
 
-@query("h11_sanitize", """SELECT doc_id, trim(regexp_replace(translate(substr(text, 1, 200), '@{}()|-=~*:"''%[]', '                '), '\\s+', ' ', 'g')) AS q FROM documents""")
+@query("h11_sanitize", """SELECT doc_id, trim(regexp_replace(translate(text, '@{}()|-=~*:"''%[]', '                '), '\\s+', ' ', 'g')) AS q FROM documents""")
 def h11(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", scalars.sanitize_query(F.substring("text", 1, 200)).alias("q"))
+    return table(spark, sf, "documents").select("doc_id", scalars.sanitize_query(F.col("text")).alias("q"))
 
 
 @query("h12_or_rewrite", "SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN replace(p_name, ' ', ' | ') END AS q FROM part")
@@ -395,10 +394,10 @@ def h23(spark, sf):
     return table(spark, sf, "pages").select("page_id", c["path"].alias("path"), c["hint"].alias("hint"))
 
 
-@query("h24_one_line", r"""SELECT doc_id, trim(regexp_replace(substr(text, 1, 300), '\s+', ' ', 'g')) AS line, substr(split_part(text, chr(10), 1), 1, 120) AS first FROM documents WHERE NOT regexp_matches(text, '^\s')""")
+@query("h24_one_line", r"""SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS line, substr(split_part(text, chr(10), 1), 1, 120) AS first FROM documents""")
 def h24(spark, sf):
-    d = table(spark, sf, "documents").where(~F.col("text").rlike(r"^\s"))
-    return d.select("doc_id", scalars.one_line(F.substring("text", 1, 300)).alias("line"), scalars.first_line(F.col("text"), 120).alias("first"))
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", scalars.one_line(F.col("text")).alias("line"), scalars.first_line(F.col("text"), 120).alias("first"))
 
 
 @query("h26_decorator", """SELECT p_partkey AS id, p_size % 4 IN (0, 1) AS matched FROM part""")
