@@ -107,3 +107,151 @@ def test_facts_of_odd_files():
     assert file_facts(b"") == [] and file_facts(b"def (:")[0][0] == "error"
     rows = dict(file_facts("x = 'é'; f(g(1))\n".encode())[1:])
     assert rows["call"]["callee"] == "g" and rows["call"]["pos"] == 12
+
+
+CLIENTS = {
+    "pay/settings.py": '''from pydantic_settings import BaseSettings
+
+
+class Settings(BaseSettings):
+    ledger_url: str = "http://ledger"
+    bank_url: str = "https://bank"
+
+
+settings = Settings()
+''',
+    "pay/ledger_client.py": '''import os
+from pay.settings import settings
+
+
+class LedgerClient:
+    def __init__(self, session):
+        self.host = settings.ledger_url
+        self.session = session
+
+    def entry(self, entry_id):
+        return self.session.get(f"{self.host}/entries/{entry_id}")
+
+
+class BankClient:
+    def __init__(self, session):
+        self.host = os.environ["BANK_URL"]
+
+    def rate(self):
+        return self.session.get(f"{self.host}/rates/today")
+
+
+class OddClient:
+    def __init__(self, session):
+        self.host = os.getenv("ODD_URL")
+
+    def odd(self):
+        return self.session.post(f"{self.host}/entries/{1}")
+''',
+}
+LEDGER = {"ledger/api.py": '''from fastapi import FastAPI
+
+app = FastAPI()
+
+
+@app.get("/entries/{entry_id}")
+def read_entry(entry_id):
+    return entry_id
+'''}
+
+
+def test_calls_are_anchored_external_or_unmapped(spark, tmp_path):
+    services = {"pay": write(tmp_path / "pay", CLIENTS), "ledger": write(tmp_path / "ledger", LEDGER)}
+    envs = ({"LEDGER_URL": "ledger"}, {}, {"BANK_URL": "api.bank.example"})
+    graph = analyze.index(spark, services, None, envs)
+    got = {r.src.rsplit("/", 1)[1]: (r.dst, r.resolution, r.confidence, r.external, r.external_host) for r in graph.edges.where("type = 'CALLS_HTTP'").collect()}
+    assert got == {
+        "LedgerClient#entry().": ("chan:http:ledger:GET /entries/{entry_id}", "static", 1.0, False, None),
+        "BankClient#rate().": ("chan:http:?:GET /rates/today", "heuristic", 0.5, True, "api.bank.example"),
+        "OddClient#odd().": ("chan:http:?:POST /entries/{value}", "heuristic", 0.5, False, None),
+    }
+    trace = __import__("weftgraph.operators.trace", fromlist=["x"])
+    bank = trace.trace_process(graph.edges, graph.nodes, "sym:pay:`pay.ledger_client`/BankClient#rate().")
+    assert (bank["external_exit_count"], bank["confidence"]) == (1, 1.0) and bank["segments"][0]["exits"][0]["external_host"] == "api.bank.example"
+    odd = trace.trace_process(graph.edges, graph.nodes, "sym:pay:`pay.ledger_client`/OddClient#odd().")
+    assert (odd["external_exit_count"], odd["confidence"]) == (0, 0.5)
+
+
+def expected_chunks(source: bytes, most: int):
+    """Chunks of a file by its syntax tree, written plainly: (symbol, ord, text, first line)."""
+    import ast
+
+    starts = [0]
+    for line in source.splitlines(keepends=True):
+        starts.append(starts[-1] + len(line))
+    span = lambda n: (starts[n.lineno - 1] + n.col_offset, starts[n.end_lineno - 1] + n.end_col_offset)
+    named = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+    top = [n for n in ast.parse(source).body if isinstance(n, named)]
+    found, counts = [], {}
+
+    def add(symbol, a, b, whole=False):
+        text, pieces, at = source[a:b], [], a
+        for line in text.splitlines(keepends=True) if len(text) > most and not whole else [text]:
+            if pieces and len(pieces[-1][1]) + len(line) <= most and not whole:
+                pieces[-1] = (pieces[-1][0], pieces[-1][1] + line)
+            else:
+                pieces.append((at, line))
+            at += len(line)
+        for at, piece in pieces:
+            found.append((symbol, counts.setdefault(symbol, 0), piece.decode(), source[:at].count(b"\n") + 1))
+            counts[symbol] += 1
+
+    head = span(top[0])[0] if top else len(source)
+    if source[:head].strip():
+        add("", 0, head, True)
+    for n in top:
+        a, b = span(n)
+        inner = [m for m in n.body if isinstance(m, named)] if isinstance(n, ast.ClassDef) and b - a > most else []
+        at = a
+        for m in inner:
+            c, d = span(m)
+            gap = c
+            while source[gap - 1 : gap] in (b" ", b"\t"):
+                gap -= 1
+            if source[at:gap].strip():
+                add(n.name, at, gap)
+            add(f"{n.name}.{m.name}", c, d)
+            at = d + (source[d : d + 1] == b"\n")
+        if not inner:
+            add(n.name, a, b)
+        elif source[at:b].strip():
+            add(n.name, at, b)
+    return sorted(found)
+
+
+SOURCES = {
+    "a.py": '"""Head."""\nimport os\n\n\ndef small():\n    return "\u00e9"\n\n\nclass Big:\n    """Doc."""\n\n    x = 1\n\n    @deco\n    def one(self):\n        def inner():\n            return 1\n        return inner\n    y = 2\n\n    def two(self):\n' + "        long = 1\n" * 30 + "\n    z = 3\n",
+    "b.py": "class Flat:\n" + "".join(f"    v{k} = {k}\n" for k in range(40)),
+    "c.py": "x = 1\n" * 60,
+    "d.py": "def f():\n    s = '" + "q" * 300 + "'\n    return s\n",
+    "e.py": "\n\n",
+}
+
+
+@pytest.mark.parametrize("most", [2000, 150])
+def test_chunks_follow_definitions(spark, tmp_path, most):
+    from weftgraph.operators import chunks
+
+    files = scan_service(spark, write(tmp_path, SOURCES), "s")
+    parsed = parse(files)
+    modules = extract.module_table(files)
+    defs = extract.definitions(parsed, modules)
+    names = {r.id: r.qualname for r in defs.collect()}
+    got: dict = {}
+    for r in chunks.chunk_files(files, defs, modules, most).collect():
+        got.setdefault(r.relpath, []).append((names.get(r.symbol_id, ""), r.ord, r.text, r.start_line))
+        assert r.end_line == r.start_line + len(r.text.rstrip("\n").split("\n")) - 1 + max(0, len(r.text) - len(r.text.rstrip("\n")) - 1)
+    for name, source in SOURCES.items():
+        assert sorted(got.get(name, [])) == expected_chunks(source.encode(), most), name
+
+
+def test_chunk_headers(graph):
+    rows = {r.symbol_id: r for r in graph.chunks.collect()}
+    got = rows["sym:shop:`app.routes`/create_order()."]
+    assert got.context_header.split("\n") == ["file: app/routes.py \u00b7 service: shop", "symbol: app.routes.create_order (Function, RouteHandler)", "imports: app.service.place, fastapi.APIRouter", "doc: Takes an order.", "calls: place"]
+    assert got.chunk_kind == "Function" and got.text.startswith("async def create_order") and got.input_hash

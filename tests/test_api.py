@@ -116,6 +116,13 @@ def test_file_stream_and_snapshots(spark, tmp_path):
     seen = []
     watch(spark.readStream.schema(schema).parquet(source), root, f"{tmp_path}/cp", lambda df: seen.append(sorted(r.relpath for r in df.collect()))).awaitTermination()
     assert seen == [["a.py", "b.py"]]
+    at = snapshot.counter(spark, root)
+    one, two = batch([("s", "x.py", b"1", 1)]), batch([("s", "y.py", b"2", 1)])
+    other = f"{tmp_path}/other"
+    snapshot.publish(one, other, 0)
+    with pytest.raises(RuntimeError, match="another writer"):
+        snapshot.publish(two, other, 0)
+    assert at == 1 and [r.relpath for r in snapshot.read_current(spark, other).collect()] == ["x.py"]
     stale = apply_batch(spark, root, batch([("s", "a.py", b"x = 2", 3), ("s", "b.py", None, 3), ("s", "c.py", b"z", 3)]))
     assert [r.relpath for r in stale.collect()] == ["c.py"]
     assert sorted(r.relpath for r in snapshot.read_current(spark, root).collect()) == ["a.py", "c.py"]

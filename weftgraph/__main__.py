@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.api import Api
-from weftgraph.operators import chunks, processes, trace
+from weftgraph.operators import processes, trace
 from weftgraph.operators.report import summary
 from weftgraph.plans import analyze, snapshot
 from weftgraph.session import local_session
@@ -22,14 +22,13 @@ def index(spark: SparkSession, workspace: str, out: str) -> dict:
     """Analyse a workspace and publish each table; returns the report, which is also written."""
     w = config.load_workspace(workspace)
     services = {s.name: s.path for s in w.services}
-    graph = analyze.index(spark, services, w.idioms)
+    graph = analyze.index(spark, services, w.idioms, config.env_maps(config.env_pairs(w.env_sources), w.services))
     if w.processes:
         declared = spark.createDataFrame([(p.name, p.entrypoint) for p in w.processes], "name string, selector string")
         resolved = processes.resolve(declared, graph.nodes, graph.edges).where("entry IS NOT NULL")
         flows = resolved.select(F.concat(F.lit("proc:"), F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-")).alias("process"), "name", "entry", F.lit("config").alias("source"))
         graph.processes = flows.unionByName(graph.processes.join(flows.select("process"), "process", "left_anti"))
-    text = graph.files.select(F.concat_ws("/", "service", "relpath").alias("path"), F.decode("content", "UTF-8").alias("text"))
-    made = chunks.chunk_rows(text, "path", "text").select(F.col("chunk_id").alias("id"), F.col("symbol_id").alias("symbol"), F.split_part("symbol_id", F.lit("/"), F.lit(1)).alias("service"), "text", "start_line", "end_line", F.lit(None).cast("array<float>").alias("vector"))
+    made = graph.chunks.select(F.col("chunk_id").alias("id"), F.col("symbol_id").alias("symbol"), "chunk_kind", "service", "relpath", "text", "start_line", "end_line", "context_header", "input_hash", F.lit(None).cast("array<float>").alias("vector"))
     for name in TABLES:
         snapshot.publish(made if name == "chunks" else getattr(graph, name), f"{out}/{name}")
     report = summary(graph.nodes, graph.edges)

@@ -49,7 +49,7 @@ class Api:
         hops, over = graph.expand(self.edges, self.start(node_id), edge_types, direction, depth, limit)
         rows = hops.orderBy("level", "at", F.col("direction") == "in", "edge_type", "neighbor").collect()  # at most ``limit``
         cut = over.first()
-        return {"nodes": self.named({r.neighbor for r in rows}), "hops": [{"node": r["at"], "edge_type": r.edge_type, "neighbor": r.neighbor, "direction": r.direction} for r in rows], "truncated": bool(cut and cut.truncated)}
+        return {"nodes": self.named({r.neighbor for r in rows}), "hops": [{"node": r["at"], "edge_type": r.edge_type, "neighbor": r.neighbor, "direction": r.direction, "edge_props": {c: r[c] for c in ("confidence", "resolution") if c in hops.columns}} for r in rows], "truncated": bool(cut and cut.truncated)}
 
     def who_calls(self, node_id: str, transitive: bool = False, max_depth: int = 3) -> dict:
         rows = graph.who_calls(self.edges, self.nodes, self.start(node_id), transitive, max_depth, 51).orderBy("level", "node").collect()

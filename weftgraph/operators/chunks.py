@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,7 +12,8 @@ def files_with_known_spans(spans: DataFrame, nodes: DataFrame, key: list[str]) -
     return spans.join(known, key, "left").groupBy("service", "relpath").agg(F.bool_and(F.col("__known").isNotNull()).alias("ok")).where("ok").drop("ok")
 
 
-MAX_BYTES = 2000
+FILE = ["service", "relpath"]
+MAX_BYTES, MOST_INT = 2000, 2**31 - 1
 HEADER_IMPORTS, HEADER_CALLS, HEADER_DOC = 8, 5, 120
 
 
@@ -32,8 +33,6 @@ def chunk_rows(texts: DataFrame, id_col: str, text_col: str, max_bytes: int = MA
     """chunk_id, symbol_id, ord, text, start_line, end_line, content_hash of each piece."""
     rows = texts.select(F.col(id_col).cast("string").alias("symbol_id"), F.posexplode(pack_lines(F.col(text_col), max_bytes)).alias("ord", "text"))
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-    from pyspark.sql import Window
-
     before = F.coalesce(F.sum(breaks).over(Window.partitionBy("symbol_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     last = before + breaks + F.when(F.endswith("text", F.lit("\n")), 0).otherwise(1)
     return rows.select(
@@ -41,6 +40,56 @@ def chunk_rows(texts: DataFrame, id_col: str, text_col: str, max_bytes: int = MA
     )
 
 
+def definition_spans(files: DataFrame, defs: DataFrame, modules: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """service, relpath, symbol_id, kind, start, end, after, until, whole: the disjoint byte spans that a file is cut into.
+
+    What stands before the first top-level definition belongs to the module, and is never split. A
+    top-level definition is a span of its own; a class over ``max_bytes`` gives one to each of its
+    methods and keeps what stands before, between (``after`` a method, ``until`` the next) and behind
+    them. Definitions within functions have no span of their own.
+    """
+    top = defs.where("parent IS NULL")
+    big = top.where((F.col("kind") == "Class") & (F.col("end_byte") - F.col("start_byte") > max_bytes))
+    owners = big.select(*FILE, F.col("idx").alias("parent"), F.col("id").alias("owner"), F.col("start_byte").alias("from"), F.col("end_byte").alias("upto"))
+    methods = defs.join(owners, [*FILE, "parent"])
+    split = methods.select(*FILE, F.col("parent").alias("idx")).distinct()
+    span = lambda symbol, kind, start, end, after, until, whole: [*FILE, F.col(symbol).alias("symbol_id"), kind.alias("kind"), start.cast("bigint").alias("start"), end.cast("bigint").alias("end"), after.alias("after"), until.alias("until"), F.lit(whole).alias("whole")]
+    no, yes, kind = F.lit(False), F.lit(True), F.col("kind")
+    own = top.join(split, [*FILE, "idx"], "left_anti").unionByName(methods.select(*top.columns))
+    out = own.select(*span("id", kind, F.col("start_byte"), F.col("end_byte"), no, no, False))
+    last = F.lag("end_byte").over(Window.partitionBy(*FILE, "parent").orderBy("start_byte", "idx"))
+    between = methods.withColumn("last", last)
+    out = out.unionByName(between.select(*span("owner", F.lit("Class"), F.coalesce("last", "from"), F.col("start_byte"), F.col("last").isNotNull(), yes, False)))
+    behind = methods.groupBy(*FILE, "owner", "upto").agg(F.max("end_byte").alias("last"))
+    out = out.unionByName(behind.select(*span("owner", F.lit("Class"), F.col("last"), F.col("upto"), yes, no, False)))
+    first = top.groupBy(*FILE).agg(F.min("start_byte").alias("first"))
+    head = files.select(*FILE, F.octet_length("content").alias("size")).join(modules.select(*FILE, "module_id"), FILE).join(first, FILE, "left")
+    return out.unionByName(head.select(*span("module_id", F.lit("Module"), F.lit(0), F.coalesce("first", "size"), no, no, True)))
+
+
+def chunk_files(files: DataFrame, defs: DataFrame, modules: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """chunk_id, symbol_id, kind, service, relpath, ord, text, start_line, end_line, content_hash: spans of definitions, long ones in whole-line pieces.
+
+    A file's spans meet its content once; ``ord`` counts a symbol's pieces in the order of the file.
+    """
+    spans = definition_spans(files, defs, modules, max_bytes).groupBy(*FILE).agg(F.collect_list(F.struct("symbol_id", "kind", "start", "end", "after", "until", "whole")).alias("spans"))
+    part = lambda s: F.substring(F.col("content"), s["start"].cast("int") + 1, (s["end"] - s["start"]).cast("int")).cast("string")
+    head = lambda s: F.substring(F.col("content"), F.lit(1), s["start"].cast("int")).cast("string")
+    cut_out = F.transform("spans", lambda s: F.struct(s.alias("s"), part(s).alias("text"), F.size(F.split(head(s), "\n")).alias("line")))
+    rows = files.select(*FILE, "content").join(spans, FILE).select(*FILE, F.explode(cut_out).alias("x")).select(*FILE, "x.s.*", "x.text", "x.line")
+    leading = F.col("after") & F.startswith("text", F.lit("\n"))
+    rows = rows.withColumns({"line": F.col("line") + leading.cast("int"), "text": F.when(leading, F.substring("text", 2, MOST_INT)).otherwise(F.col("text"))})
+    rows = rows.withColumn("text", F.when(F.col("until"), F.regexp_replace("text", "[ \t]+$", "")).otherwise(F.col("text"))).where("text RLIKE '[^ \\\\t\\\\r\\\\n\\\\f]'")
+    pieces = F.when(F.col("whole") | (F.octet_length("text") <= max_bytes), F.array("text")).otherwise(pack_lines(F.col("text"), max_bytes))
+    rows = rows.select(*FILE, "symbol_id", "kind", "start", "line", F.posexplode(pieces).alias("nth", "text"))
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+    of_span = Window.partitionBy("symbol_id", "start").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("start_line", (F.col("line") + F.coalesce(F.sum(breaks).over(of_span), F.lit(0))).cast("int"))
+    rows = rows.withColumn("ord", F.row_number().over(Window.partitionBy("symbol_id").orderBy("start", "nth")) - 1)
+    end = F.col("start_line") + breaks - F.endswith("text", F.lit("\n")).cast("int")
+    return rows.select(F.concat("symbol_id", F.lit("#c"), "ord").alias("chunk_id"), "symbol_id", "kind", *FILE, "ord", "text", "start_line", end.cast("int").alias("end_line"), F.sha2("text", 256).alias("content_hash"))
+
+
 def names_of(pairs: DataFrame, key: str, name: str, most: int, label: str) -> DataFrame:
     """key, label: up to ``most`` distinct sorted names, comma-joined."""
     return pairs.groupBy(key).agg(F.array_join(F.slice(F.array_sort(F.collect_set(name)), 1, most), ", ").alias(label))

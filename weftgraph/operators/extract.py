@@ -96,9 +96,11 @@ def core(files: DataFrame, defs: DataFrame, imports: DataFrame, modules: DataFra
     return n, e.unionByName(edge_rows(met, "IMPORTS"))
 
 
-def edge_rows(rows: DataFrame, type_: str, resolution: str | Column = "static", confidence: float | Column = 1.0, via: Column | None = None, extractor: str = "python_core") -> DataFrame:
+def edge_rows(rows: DataFrame, type_: str, resolution: str | Column = "static", confidence: float | Column = 1.0, via: Column | None = None, extractor: str = "python_core", external: Column | None = None) -> DataFrame:
+    """Edges in the graph's layout; ``external`` is the host that a call leaves the workspace for."""
+    host = external if external is not None else F.lit(None).cast("string")
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return rows.select("src", "dst", F.lit(type_).alias("type"), (via if via is not None else F.lit("")).alias("via_channel"), F.col("service").alias("origin_service"), lit(resolution).alias("resolution"), lit(confidence).cast("double").alias("confidence"), F.lit(extractor).alias("extractor"), F.col("relpath").alias("evidence_file"), F.col("line").cast("int").alias("evidence_line"))
+    return rows.select("src", "dst", F.lit(type_).alias("type"), (via if via is not None else F.lit("")).alias("via_channel"), F.col("service").alias("origin_service"), lit(resolution).alias("resolution"), lit(confidence).cast("double").alias("confidence"), F.lit(extractor).alias("extractor"), F.col("relpath").alias("evidence_file"), F.col("line").cast("int").alias("evidence_line"), host.isNotNull().alias("external"), host.alias("external_host"))
 
 
 def resolved_calls(parsed: DataFrame, defs: DataFrame, modules: DataFrame) -> DataFrame:
@@ -222,7 +224,7 @@ def temporal(parsed: DataFrame, sites: DataFrame, defs: DataFrame, modules: Data
 
 
 def http_calls(sites: DataFrame, defs: DataFrame, rules: tuple[HttpClient, ...]) -> DataFrame:
-    """src, method, path, hint, service, relpath, line: verb calls inside client classes, each claimed once."""
+    """src, method, path, hint, service, relpath, line, cls: verb calls inside client classes, each claimed once."""
     cls = defs.where("kind = 'Class'").select(*FILE, F.col("idx").alias("cls"), F.col("name").alias("cls_name"))
     fn = defs.select(*FILE, F.col("idx").alias("encl"), F.explode("ancestors").alias("cls"))
     inside = sites.join(fn, [*FILE, "encl"]).join(cls, [*FILE, "cls"])
@@ -230,10 +232,25 @@ def http_calls(sites: DataFrame, defs: DataFrame, rules: tuple[HttpClient, ...])
     for rule in rules:
         fits = fits | (wildcard(F.substring_index("relpath", "/", -1), rule.file_glob) & wildcard(F.col("cls_name"), rule.class_glob))
     arg = F.get("args", F.lit(0))
-    path = F.when(F.startswith(arg["text"], F.lit("<base>")), F.substring(arg["text"], 7, 10_000)).when(F.startswith(arg["text"], F.lit("/")), arg["text"])
+    path = F.when(F.startswith(arg["text"], F.lit("<base>")), F.substring(arg["text"], 7, 2**31 - 1)).when(F.startswith(arg["text"], F.lit("/")), arg["text"])
     hint = F.when((arg["kind"] == "fstring") & F.startswith(arg["text"], F.lit("/")), "heuristic").otherwise("static")
     hit = inside.where(fits & F.col("callee").isin(*VERBS) & F.col("receiver").isNotNull() & arg["kind"].isin("string", "fstring"))
-    return hit.select("src", F.upper("callee").alias("method"), path.alias("path"), hint.alias("hint"), *FILE, "line", F.col("idx")).where("path IS NOT NULL").dropDuplicates([*FILE, "idx"])
+    return hit.select("src", F.upper("callee").alias("method"), path.alias("path"), hint.alias("hint"), *FILE, "line", F.col("idx"), "cls").where("path IS NOT NULL").dropDuplicates([*FILE, "idx"])
+
+
+def base_url_envs(parsed: DataFrame, defs: DataFrame, attributes: DataFrame) -> DataFrame:
+    """service, relpath, cls, env: the environment name behind what a class assigns to its own attributes, if there is one only.
+
+    Either the value reads the environment itself, or its last name is a settings field that exactly
+    one class of the service declares with an environment name.
+    """
+    a = facts(parsed, "self_attr").join(defs.select(*FILE, F.col("idx").alias("encl"), F.explode("ancestors").alias("cls")), [*FILE, "encl"])
+    direct = F.regexp_extract("value", r"(?:environ\s*\[|environ\.get\(|getenv\()\s*['\"]([A-Za-z_][A-Za-z0-9_]*)['\"]", 1)
+    fields = attributes.where("env_name IS NOT NULL").select("service", F.col("name").alias("field"), "class_fqn", "env_name")
+    one = fields.groupBy("service", "field").agg(F.min("env_name").alias("env_name"), F.count_distinct("class_fqn").alias("n")).where("n = 1").drop("n")
+    met = a.withColumns({"direct": F.when(direct != "", direct), "field": F.regexp_extract("value", r"\.([A-Za-z_]\w*)$", 1)}).join(one, ["service", "field"], "left")
+    env = F.coalesce("direct", "env_name")
+    return met.where(env.isNotNull()).groupBy(*FILE, "cls").agg(F.min(env).alias("env"), F.count_distinct(env).alias("n")).where("n = 1").drop("n")
 
 
 def class_attributes(parsed: DataFrame, defs: DataFrame) -> DataFrame:

@@ -72,11 +72,12 @@ def expand(edges: DataFrame, starts: DataFrame, types: list[str] | None = None,
     hops: start, level, at, edge_type, neighbor, direction; truncated: start, truncated.
     """
     depth = max(1, min(MAX_DEPTH, depth))
-    step = hops(edges, types, direction).select("at", "edge_type", "neighbor", "direction")
+    props = [c for c in ("confidence", "resolution") if c in edges.columns]
+    step = hops(edges, types, direction).select("at", "edge_type", "neighbor", "direction", *props)
     front = starts.select(F.col("id").alias("start"), F.col("id").alias("at")).distinct()
     seen, every = front.select("start", F.col("at").alias("node")), None
     for level in range(depth):
-        met = front.join(step, "at").select("start", F.lit(level).alias("level"), "at", "edge_type", "neighbor", "direction")
+        met = front.join(step, "at").select("start", F.lit(level).alias("level"), "at", "edge_type", "neighbor", "direction", *props)
         if level + 1 < depth:  # starts over their budget are not walked further
             met = cut(met)
         every = met if every is None else every.unionByName(met)
@@ -166,11 +167,12 @@ def walk_segments(edges: DataFrame, entries: DataFrame, floor: float = 0.3, dept
         met = front.withColumnRenamed("node", "at").join(step, "at")
         met = cut(met.select("start", F.lit(level).alias("level"), F.array_append("key", F.col("k")).alias("key"), "at", "edge_type", "neighbor", "confidence", F.col("edge_type").isin(*EXIT_TYPES).alias("exit"), (F.col("of") > BRANCHES).alias("capped")))
         found = met if found is None else found.unionByName(met)
-        new = met.where("NOT exit").groupBy("start", F.col("neighbor").alias("node")).agg(F.min("key").alias("key")).join(seen, ["start", "node"], "left_anti")
-        front = cut(new)
-        if front.isEmpty():
+        if met.isEmpty():
             break
-        seen = seen.unionByName(front.select("start", "node"))
+        # the next frontier follows from the levels written so far and needs no table of its own
+        steps = met.where("NOT exit").select("start", F.col("neighbor").alias("node"), "key")
+        front = steps.groupBy("start", "node").agg(F.min("key").alias("key")).join(seen, ["start", "node"], "left_anti")
+        seen = seen.unionByName(steps.select("start", "node").distinct())
     else:
         cuts = front.join(step.select(F.col("at").alias("node")).distinct(), "node", "left_semi").select("start").distinct()
     over = found.groupBy("start").agg(F.bool_or("capped").alias("truncated"))

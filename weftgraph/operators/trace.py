@@ -19,12 +19,14 @@ MAX_SEGMENTS = 20
 
 def walk(edges: DataFrame, entry: str, floor: float) -> dict:
     """steps (src, type, dst, confidence) in breadth-first order, exits by channel, truncated."""
+    for name, kind in (("external", "boolean"), ("external_host", "string")):
+        edges = edges if name in edges.columns else edges.withColumn(name, F.lit(None).cast(kind))
     wanted = edges.where(F.col("type").isin(*STEP_TYPES, *EXIT_TYPES) & graph.above(floor))
     seen, front, steps, exits, truncated = {entry}, [entry], [], [], False
     for depth in range(graph.SEGMENT_DEPTH + 1):
         if not front:
             break
-        rows = wanted.where(F.col("src").isin(front)).select("src", "type", "dst", "confidence").distinct()
+        rows = wanted.where(F.col("src").isin(front)).select("src", "type", "dst", "confidence", "external", "external_host").distinct()
         onward: dict[str, list] = {}
         for r in rows.collect():  # the hops of one level of one segment
             onward.setdefault(r.src, []).append(r)
@@ -85,15 +87,14 @@ def trace_process(edges: DataFrame, nodes: DataFrame, entry: str, max_segments:
         exits = []
         for channel in channels:
             nexts = sorted({r.dst for r in onward if r.via_channel == channel and (r.src, channel) in made})
-            outside = channel.startswith("chan:http:?:")
-            exits.append({"channel": channel, "next_entry_ids": nexts, "external": outside})
-            external += outside
+            hosts = {r.external_host for r in walked["exits"] if r.dst == channel and r.external}
+            exits.append({"channel": channel, "next_entry_ids": nexts, "external": bool(hosts), **({"external_host": min(hosts)} if hosts else {})})
+            external += bool(hosts)
             for n in nexts:
                 if n not in queued:
                     queued.add(n)
                     queue.append(n)
-        outside = {e["channel"] for e in exits if e["external"]}
-        walked_confidences = [r.confidence for r in walked["steps"]] + [r.confidence for r in walked["exits"] if r.dst not in outside]
+        walked_confidences = [r.confidence for r in walked["steps"]] + [r.confidence for r in walked["exits"] if not r.external]
         least = min([least, *(c for c in walked_confidences if c is not None)])
         steps = walked["steps"]
         if compact and len(steps) > 15:

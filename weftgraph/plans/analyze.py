@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import ids
 from weftgraph.functions.scalars import join_template
-from weftgraph.operators import extract, link, staging
+from weftgraph.operators import chunks, extract, link, staging
 from weftgraph.operators.dedup import dedup_edges, first_rows
 from weftgraph.operators.graph import climb
 from weftgraph.schema import ENTRY_ROLES
@@ -27,6 +27,7 @@ class Graph:
     edges: DataFrame
     processes: DataFrame
     members: DataFrame
+    chunks: DataFrame | None = None
 
 
 def scan(spark: SparkSession, services: dict[str, str], excludes: tuple[str, ...] = ()) -> DataFrame:
@@ -61,7 +62,7 @@ def extract_all(files: DataFrame, idioms: extract.Idioms, parsed: DataFrame | No
     roles = roles.unionByName(every.where("type = 'CONSUMES' AND dst NOT LIKE 'chan:temporal_signal:%'").select(F.col("src").alias("id"), F.lit("MessageConsumer").alias("role")))
     patches = roles.groupBy("id").agg(F.array_sort(F.collect_set("role")).alias("add_roles")).withColumn("add_props", F.lit(None).cast("map<string,string>"))
     patched = staging.patch_nodes(nodes.withColumn("props", F.lit(None).cast("map<string,string>")), patches)
-    return {"nodes": patched, "edges": cut(every), "routes": routes, "mounts": mounts, "http": extract.http_calls(sites, defs, idioms.clients), "starts": t["starts"], "sends": t["sends"], "defs": defs, "parsed": parsed}
+    return {"nodes": patched, "edges": cut(every), "routes": routes, "mounts": mounts, "http": extract.http_calls(sites, defs, idioms.clients).join(extract.base_url_envs(parsed, defs, attributes), ["service", "relpath", "cls"], "left"), "modules": modules, "starts": t["starts"], "sends": t["sends"], "defs": defs, "parsed": parsed}
 
 
 def route_channels(routes: DataFrame, mounts: DataFrame) -> DataFrame:
@@ -78,8 +79,14 @@ def route_channels(routes: DataFrame, mounts: DataFrame) -> DataFrame:
     return r.select("service", "relpath", "line", "method", join_template(F.coalesce("mounted", "own"), F.col("path")).alias("template"), "handler").distinct()
 
 
-def link_all(found: dict[str, DataFrame], registry: DataFrame | None = None, declared: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All cross-service edges, channel nodes and processes; the order of passes matters."""
+def env_tables(spark: SparkSession, envs: tuple[dict, dict, dict]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The maps from environment names to declared services, to services by host name, and to hosts, as tables of what the configuration holds."""
+    of = lambda pairs, name: spark.createDataFrame(sorted(pairs.items()), f"env string, {name} string")
+    return of(envs[0], "service"), of(envs[1], "service"), of(envs[2], "host")
+
+
+def link_all(found: dict[str, DataFrame], envs: tuple[dict, dict, dict] = ({}, {}, {}), declared: DataFrame | None = None) -> dict[str, DataFrame]:
+    """All cross-service edges, channel nodes and processes; the order of passes matters. ``envs`` as ``config.env_maps`` gives them."""
     edges = found["edges"]
     marked = link.apply_start_marks(edges, found["starts"].select("src", "dst"))
     started = marked.where("mechanism IS NOT NULL").select("src", "dst", F.col("confidence").alias("c"), F.col("resolution").alias("r"))
@@ -92,12 +99,12 @@ def link_all(found: dict[str, DataFrame], registry: DataFrame | None = None, dec
     routed = cut(route_channels(found["routes"], found["mounts"]))
     handles = routed.select(ids.route_id(F.col("service"), F.col("method"), F.col("template")).alias("src"), F.col("handler").alias("dst"), "service", "relpath", "line")
     edges = edges.unionByName(extract.edge_rows(handles, "HANDLES", extractor="linking"))
-    claims = found["http"].select(F.concat_ws("|", "src", "method", "path", "line").alias("claim_id"), "src", "method", "path", F.lit(None).cast("string").alias("allowed"), "service", "relpath", "line").dropDuplicates(["claim_id"])
-    if registry is not None:
-        claims = claims.drop("allowed").join(registry, "src", "left")
-    linked = link.link_routes(claims.select("claim_id", "method", "path", "allowed"), routed.select(F.col("service").alias("owner"), "method", "template"))
-    sent = claims.join(linked, "claim_id").select("src", ids.route_id(F.col("owner"), F.col("method"), F.col("template")).alias("dst"), "service", "relpath", "line", "resolution", "confidence")
-    edges = cut(edges.unionByName(extract.edge_rows(sent, "CALLS_HTTP", F.col("resolution"), F.col("confidence"), extractor="linking")))
+    claims = found["http"].select(F.concat_ws("|", "src", "method", "path", "line").alias("claim_id"), "src", "method", "path", "env", "service", "relpath", "line").dropDuplicates(["claim_id"])
+    claims = cut(link.target_tier(claims, *env_tables(edges.sparkSession, envs)))
+    linked = link.link_routes(claims.where("tier IN ('anchored', 'unanchored')").select("claim_id", "method", "path", "allowed"), routed.select(F.col("service").alias("owner"), "method", "template"))
+    lost = claims.where("tier IN ('external', 'unmapped')").select("claim_id", F.lit("?").alias("owner"), F.col("path").alias("template"), "tier", F.lit("heuristic").alias("resolution"), F.lit(0.5).alias("confidence"))
+    sent = claims.drop("tier").join(linked.unionByName(lost), "claim_id").select("src", ids.route_id(F.col("owner"), F.col("method"), F.col("template")).alias("dst"), "service", "relpath", "line", "resolution", "confidence", "external_host")
+    edges = cut(edges.unionByName(extract.edge_rows(sent, "CALLS_HTTP", F.col("resolution"), F.col("confidence"), extractor="linking", external=F.col("external_host"))))
     hand = link.next_segments(edges).select("src", "dst", "via_channel", "resolution", "confidence", ids.service_of(F.col("src")).alias("service"), F.lit("").alias("relpath"), F.lit(0).alias("line"))
     edges = edges.unionByName(extract.edge_rows(hand, "NEXT_SEGMENT", F.col("resolution"), F.col("confidence"), F.col("via_channel"), extractor="linking"))
     ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).where("id LIKE 'chan:%'").distinct()
@@ -113,6 +120,17 @@ def link_all(found: dict[str, DataFrame], registry: DataFrame | None = None, dec
     return {"nodes": cut(nodes), "edges": cut(dedup_edges(edges)), "processes": flows, "members": members}
 
 
+def chunk_table(files: DataFrame, found: dict[str, DataFrame], nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The chunks of all files with their headers and input hashes."""
+    made = chunks.chunk_files(files, found["defs"], found["modules"])
+    parents = edges.where("type = 'CONTAINS'").select(F.col("dst").alias("id"), F.col("src").alias("up")).join(nodes.where("kind = 'Class'").select(F.col("id").alias("up"), F.col("name").alias("parent")), "up").groupBy("id").agg(F.min("parent").alias("parent"))
+    docs = found["defs"].select("id", "doc").unionByName(facts(found["parsed"], "const").where("name = '__doc__'").join(found["modules"], ["service", "relpath"]).select(F.col("module_id").alias("id"), F.col("value").alias("doc"))).groupBy("id").agg(F.min("doc").alias("doc"))
+    symbols = nodes.join(parents, "id", "left").join(docs, "id", "left").select(F.col("id").alias("symbol_id"), "qualified_name", F.col("kind").alias("node_kind"), "roles", "parent", "doc").withColumnRenamed("node_kind", "kind")
+    imported = facts(found["parsed"], "import").select("service", "relpath", F.concat_ws(".", "module", F.when(F.col("name") != "", F.col("name"))).alias("name"))
+    called = edges.where("type = 'CALLS'").join(nodes.select(F.col("id").alias("dst"), "name"), "dst").select(F.col("src").alias("symbol_id"), "name")
+    return chunks.headers(made.withColumnRenamed("kind", "chunk_kind"), symbols, imported, called)
+
+
 def entry_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Hand-offs re-keyed by the entry that their producer belongs to."""
     hand = edges.where("type = 'NEXT_SEGMENT'").select("src", "dst", "resolution", "confidence").distinct()
@@ -122,11 +140,12 @@ def entry_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return hand.join(owner, "src").select(F.col("entry").alias("src"), "dst", "resolution", "confidence").distinct()
 
 
-def index(spark: SparkSession, services: dict[str, str], idioms: extract.Idioms | None = None, registry: DataFrame | None = None, declared: DataFrame | None = None) -> Graph:
+def index(spark: SparkSession, services: dict[str, str], idioms: extract.Idioms | None = None, envs: tuple[dict, dict, dict] = ({}, {}, {}), declared: DataFrame | None = None) -> Graph:
     """The whole pipeline. ``services`` maps a name to a path that Spark can read."""
-    return build(cut(scan(spark, services)), None, idioms, registry, declared)
+    return build(cut(scan(spark, services)), None, idioms, envs, declared)
 
 
-def build(files: DataFrame, parsed: DataFrame | None = None, idioms: extract.Idioms | None = None, registry: DataFrame | None = None, declared: DataFrame | None = None) -> Graph:
-    linked = link_all(extract_all(files, idioms or extract.Idioms(), parsed), registry, declared)
-    return Graph(files, linked["nodes"], linked["edges"], linked["processes"], linked["members"])
+def build(files: DataFrame, parsed: DataFrame | None = None, idioms: extract.Idioms | None = None, envs: tuple[dict, dict, dict] = ({}, {}, {}), declared: DataFrame | None = None) -> Graph:
+    found = extract_all(files, idioms or extract.Idioms(), parsed)
+    linked = link_all(found, envs, declared)
+    return Graph(files, linked["nodes"], linked["edges"], linked["processes"], linked["members"], chunk_table(files, found, linked["nodes"], linked["edges"]))

@@ -13,13 +13,20 @@ def _fs(spark: SparkSession, root: str):
 
 
 def current_version(spark: SparkSession, root: str) -> str | None:
-    """The newest published version; pointers are files named by a counter and the version."""
+    """The newest published version; pointers are files named by a counter alone that hold the version."""
     path, fs = _fs(spark, root)
     at = path(f"{root}/pointers")
     if not fs.exists(at):
         return None
-    names = sorted(s.getPath().getName() for s in fs.listStatus(at))
-    return names[-1].split("-", 1)[1] if names else None
+    for name in sorted((s.getPath().getName() for s in fs.listStatus(at)), reverse=True):
+        with_version = fs.open(path(f"{root}/pointers/{name}"))
+        try:
+            version = spark._jvm.org.apache.commons.io.IOUtils.toString(with_version, "UTF-8")
+        finally:
+            with_version.close()
+        if version:  # a pointer that is just being written does not count yet
+            return version
+    return None
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame | None:
@@ -27,15 +34,28 @@ def read_current(spark: SparkSession, root: str) -> DataFrame | None:
     return None if version is None else spark.read.parquet(f"{root}/versions/{version}")
 
 
-def publish(df: DataFrame, root: str) -> str:
-    """Write a new version beside the old ones, then add its pointer: one atomic creation of an empty file."""
+def publish(df: DataFrame, root: str, after: int | None = None) -> str:
+    """Write a new version beside the old ones, then add its pointer: the creation of the file named by the next counter, which only one writer can do."""
     spark = df.sparkSession
     version = uuid.uuid4().hex
     df.write.parquet(f"{root}/versions/{version}")
     path, fs = _fs(spark, root)
     at = path(f"{root}/pointers")
     fs.mkdirs(at)
-    last = max((int(s.getPath().getName().split("-", 1)[0]) for s in fs.listStatus(at)), default=0)
-    if not fs.createNewFile(path(f"{root}/pointers/{last + 1:012d}-{version}")):
-        raise RuntimeError(f"another writer published to {root}")
+    last = counter(spark, root) if after is None else after
+    try:
+        out = fs.create(path(f"{root}/pointers/{last + 1:012d}"), False)
+    except Exception as e:
+        if "FileAlreadyExists" not in str(e) and "already exists" not in str(e):
+            raise
+        raise RuntimeError(f"another writer published to {root}") from e
+    out.write(bytearray(version.encode()))
+    out.close()
     return version
+
+
+def counter(spark: SparkSession, root: str) -> int:
+    """How many versions were published; ``publish(..., after=counter)`` fails if another writer has come between."""
+    path, fs = _fs(spark, root)
+    at = path(f"{root}/pointers")
+    return max((int(s.getPath().getName()) for s in fs.listStatus(at)), default=0) if fs.exists(at) else 0
