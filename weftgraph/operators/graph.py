@@ -167,12 +167,11 @@ def walk_segments(edges: DataFrame, entries: DataFrame, floor: float = 0.3, dept
         met = front.withColumnRenamed("node", "at").join(step, "at")
         met = cut(met.select("start", F.lit(level).alias("level"), F.array_append("key", F.col("k")).alias("key"), "at", "edge_type", "neighbor", "confidence", F.col("edge_type").isin(*EXIT_TYPES).alias("exit"), (F.col("of") > BRANCHES).alias("capped")))
         found = met if found is None else found.unionByName(met)
-        if met.isEmpty():
+        new = met.where("NOT exit").groupBy("start", F.col("neighbor").alias("node")).agg(F.min("key").alias("key")).join(seen, ["start", "node"], "left_anti")
+        front = cut(new)
+        if front.isEmpty():
             break
-        # the next frontier follows from the levels written so far and needs no table of its own
-        steps = met.where("NOT exit").select("start", F.col("neighbor").alias("node"), "key")
-        front = steps.groupBy("start", "node").agg(F.min("key").alias("key")).join(seen, ["start", "node"], "left_anti")
-        seen = seen.unionByName(steps.select("start", "node").distinct())
+        seen = seen.unionByName(front.select("start", "node"))
     else:
         cuts = front.join(step.select(F.col("at").alias("node")).distinct(), "node", "left_semi").select("start").distinct()
     over = found.groupBy("start").agg(F.bool_or("capped").alias("truncated"))
