@@ -177,6 +177,77 @@ def test_calls_are_anchored_external_or_unmapped(spark, tmp_path):
     assert (odd["external_exit_count"], odd["confidence"]) == (0, 0.5)
 
 
+DECORATED = {"till/ledger_api.py": '''import os
+from lib import Driver, Request, Verb, route
+
+BOOK = "/entries/book"
+
+
+class Outer:
+    class LedgerApi:
+        def __init__(self):
+            self.driver = Driver()
+            self.host = os.environ["LEDGER_URL"]
+
+        @route("/entries/{entry_id}")
+        def entry(self, entry_id):
+            def send():
+                return self.driver.fetch_body(Request(Verb.GET, entry_id))
+            return send()
+
+        @log
+        @route(BOOK)
+        async def book(self):
+            request = ProxyRequest(Verb.put)
+            self.driver.fetch(Request(Other.POST))
+            return await self.driver.fetch(request)
+
+        @route("entries")
+        def no_path(self):
+            return self.driver.fetch(Request(Verb.GET))
+
+        @route("/none")
+        def no_verb(self):
+            return self.driver.fetch(Request("GET"))
+
+        @route("/other")
+        def not_sent(self):
+            return self.other.fetch(Request(Verb.GET))
+
+        def bare(self):
+            return self.driver.fetch(Request(Verb.GET))
+
+        @route("/twice")
+        def twice(self):
+            self.driver.get("/first")
+            return Request(Verb.POST)
+
+    @route("/outside")
+    def outside(self):
+        return self.driver.fetch(Request(Verb.GET))
+'''}
+
+
+def test_paths_of_decorators_and_verbs_of_requests(spark, tmp_path):
+    sdk = extract.HttpClient("*.py", "*Api", "driver.fetch_body|driver.fetch|driver.get", extract.RouteFrom("route"), extract.VerbFrom("Request|ProxyRequest", "Verb"))
+    plain = extract.HttpClient("*_api.py", "*Api")
+    services = {"till": write(tmp_path / "till", DECORATED), "ledger": write(tmp_path / "ledger", LEDGER)}
+
+    def found(*clients):
+        calls = analyze.extract_all(analyze.scan(spark, services), extract.Idioms(clients=clients))["http"].collect()
+        return {(r.src.rsplit("#", 1)[1], r.method, r.path, r.hint, r.line, r.env) for r in calls}
+
+    sent = {("entry().", "GET", "/entries/{entry_id}", "static", 16, "LEDGER_URL"), ("book().", "PUT", BOOK, "static", 23, "LEDGER_URL")}
+    verb, twice = ("twice().", "GET", "/first", "static", 43, "LEDGER_URL"), ("twice().", "POST", "/twice", "static", 43, "LEDGER_URL")
+    assert found(sdk, plain) == {*sent, twice}
+    assert found(plain, sdk) == {*sent, verb}
+    graph = analyze.index(spark, services, extract.Idioms(clients=(sdk,)), ({"LEDGER_URL": "ledger"}, {}, {}))
+    assert ("sym:till:`till.ledger_api`/Outer#LedgerApi#entry().", "CALLS_HTTP", "chan:http:ledger:GET /entries/{entry_id}") in edges(graph, "CALLS_HTTP")
+
+
+BOOK = "/entries/book"
+
+
 def expected_chunks(source: bytes, most: int):
     """Chunks of a file by its syntax tree, written plainly: (symbol, ord, text, first line)."""
     import ast

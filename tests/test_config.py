@@ -23,12 +23,20 @@ def test_workspace(tmp_path):
 
 
 @pytest.mark.parametrize("bad", [{"services": []}, {"services": [{"name": "a b", "path": "shop"}]}, {"services": [{"name": "a", "path": "none"}]}, {"extra": 1}, {"env_sources": ["none.yaml"]},
+                                 {"idioms": {"clients": [{"call": "driver.fetch"}]}}, {"idioms": {"clients": [{"route_from": {"decorator": "path", "no": 1}}]}}, {"idioms": {"clients": ["x"]}},
+                                 {"idioms": {"clients": [{"call": "a", "route_from": {"decorator": "path"}, "verb_from": {"request_ctor": "A||B", "enum": "Verb"}}]}},
                                  {"idioms": {"producers": [{"call": "a||b"}]}}, {"idioms": {"consumers": [{"form": "x", "name": "y"}]}}, {"services": [{"name": "a", "path": "shop", "no": 1}]}])
 def test_bad_workspaces(tmp_path, bad):
     with pytest.raises(config.ConfigError):
         config.load_workspace(workspace(tmp_path, **bad))
 
 
+def test_decorated_clients(tmp_path):
+    rule = {"file_glob": "*.py", "class_glob": "*Api", "call": "driver.fetch", "route_from": {"decorator": "path"}, "verb_from": {"request_ctor": "Request", "enum": "Verb"}}
+    first = config.load_workspace(workspace(tmp_path, idioms={"clients": [rule]})).idioms.clients[0]
+    assert (first.route_from.decorator, first.route_from.arg, first.verb_from.enum) == ("path", 0, "Verb")
+
+
 def test_env_files(tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"env": [{"name": "SHOP_URL", "value": "http://Shop.svc:80/x"}, {"name": "MAIL", "value": "https://mail.example.com"}], "deep": {"PLAIN": "text"}}))
     (tmp_path / "b.json").write_text(json.dumps({"PLAIN": "later"}))

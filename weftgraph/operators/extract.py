@@ -49,10 +49,31 @@ class Consumer:
     handler: str = "handle"
 
 
+@dataclass(frozen=True)
+class RouteFrom:
+    """A decorator's argument holds the path."""
+
+    decorator: str
+    arg: int = 0
+
+
+@dataclass(frozen=True)
+class VerbFrom:
+    """The first argument of a request's constructor (alternatives by bars) is ``enum.VERB``."""
+
+    request_ctor: str
+    enum: str
+
+
 @dataclass(frozen=True)
 class HttpClient:
+    """Calls by verb name; or, with the last three, methods whose path, sending call and verb stand in three places."""
+
     file_glob: str = "*_client.py"
     class_glob: str = "*Client"
+    call: str | None = None
+    route_from: RouteFrom | None = None
+    verb_from: VerbFrom | None = None
 
 
 @dataclass(frozen=True)
@@ -223,19 +244,61 @@ def temporal(parsed: DataFrame, sites: DataFrame, defs: DataFrame, modules: Data
     return {"roles": roles, "edges": handles.unionByName(invokes).unionByName(produced), "starts": starts, "sends": sends}
 
 
-def http_calls(sites: DataFrame, defs: DataFrame, rules: tuple[HttpClient, ...]) -> DataFrame:
-    """src, method, path, hint, service, relpath, line, cls: verb calls inside client classes, each claimed once."""
+def verb_calls(inside: DataFrame, rules: list[tuple[int, HttpClient]]) -> DataFrame:
+    """Calls ``x.get("/path")`` and the like in a client class, by the first rule that fits."""
+    nth = F.coalesce(F.lit(None).cast("int"), *(F.when(of_client(rule), F.lit(k)) for k, rule in rules))
+    arg = F.get("args", F.lit(0))
+    path, hint = claimed_path(arg["kind"], arg["text"])
+    hit = inside.where(nth.isNotNull() & F.col("callee").isin(*VERBS) & F.col("receiver").isNotNull() & arg["kind"].isin("string", "fstring"))
+    return hit.select(*FILE, "idx", nth.alias("nth"), "src", F.upper("callee").alias("method"), path.alias("path"), hint.alias("hint"), "line", "cls").where("path IS NOT NULL")
+
+
+def of_client(rule: HttpClient) -> Column:
+    return wildcard(F.substring_index("relpath", "/", -1), rule.file_glob) & wildcard(F.col("cls_name"), rule.class_glob)
+
+
+def claimed_path(kind: Column, text: Column) -> tuple[Column, Column]:
+    """(path, hint) of a text; the path is null if it does not start with a slash or a base."""
+    path = F.when(F.startswith(text, F.lit("<base>")), F.substring(text, 7, 2**31 - 1)).when(F.startswith(text, F.lit("/")), text)
+    return path, F.when((kind == "fstring") & F.startswith(text, F.lit("/")), "heuristic").otherwise("static")
+
+
+def decorated_calls(parsed: DataFrame, inside: DataFrame, defs: DataFrame, cls: DataFrame, nth: int, rule: HttpClient) -> DataFrame:
+    """Of each method of a client class with a route's decorator: the first call that sends, with the verb of the first request made.
+
+    Methods without either are left out. Both may stand in functions inside the method.
+    """
+    owner = defs.where("kind = 'Function'").select(*FILE, F.col("idx").alias("method_idx"), F.col("id").alias("src"), F.explode("ancestors").alias("cls")).join(cls, [*FILE, "cls"])
+    nearest = F.max(F.struct("cls", "cls_name")).alias("c")
+    owner = owner.groupBy(*FILE, "method_idx", "src").agg(nearest).select(*FILE, "method_idx", "src", "c.*").where(of_client(rule))
+    given = facts(parsed, "decorator").where(F.try_element_at("path", F.lit(-1)) == rule.route_from.decorator).withColumn("given", F.get("args", F.lit(rule.route_from.arg))["kind"])
+    given = channel_values(given, parsed, rule.route_from.arg, None).where("by_value")
+    path, hint = claimed_path(F.col("given"), F.col("channel"))
+    routes = given.select(*FILE, F.col("def").alias("method_idx"), "line", path.alias("path"), hint.alias("hint")).where("path IS NOT NULL")
+    routes = routes.groupBy(*FILE, "method_idx").agg(F.min(F.struct("line", "path", "hint")).alias("r")).select(*FILE, "method_idx", F.col("r.path").alias("path"), F.col("r.hint").alias("hint"))
+    first = F.get("args", F.lit(0))
+    verb = F.when(path_suffix_matches(F.col("path"), rule.verb_from.request_ctor) & (first["kind"] == "attr") & (F.regexp_replace(first["text"], r"\.[^.]*$", "") == rule.verb_from.enum), F.upper(F.substring_index(first["text"], ".", -1)))
+    sends = path_suffix_matches(F.col("path"), rule.call)
+    calls = inside.select(*FILE, "method_idx", "idx", "line", verb.alias("verb"), sends.alias("sends")).where("sends OR verb IS NOT NULL")
+    sent = calls.groupBy(*FILE, "method_idx").agg(F.min(F.when(F.col("sends"), F.struct("idx", "line"))).alias("s"), F.min(F.when(F.col("verb").isNotNull(), F.struct("idx", "verb"))).alias("v")).where("s IS NOT NULL AND v IS NOT NULL")
+    met = owner.join(routes, [*FILE, "method_idx"]).join(sent, [*FILE, "method_idx"])
+    return met.select(*FILE, F.col("s.idx").alias("idx"), F.lit(nth).alias("nth"), "src", F.col("v.verb").alias("method"), "path", "hint", F.col("s.line").alias("line"), "cls")
+
+
+def http_calls(parsed: DataFrame, sites: DataFrame, defs: DataFrame, rules: tuple[HttpClient, ...]) -> DataFrame:
+    """src, method, path, hint, service, relpath, line, idx, cls: what client classes call, each call claimed once, by the first rule that fits."""
     cls = defs.where("kind = 'Class'").select(*FILE, F.col("idx").alias("cls"), F.col("name").alias("cls_name"))
     fn = defs.select(*FILE, F.col("idx").alias("encl"), F.explode("ancestors").alias("cls"))
-    inside = sites.join(fn, [*FILE, "encl"]).join(cls, [*FILE, "cls"])
-    fits = F.lit(False)
-    for rule in rules:
-        fits = fits | (wildcard(F.substring_index("relpath", "/", -1), rule.file_glob) & wildcard(F.col("cls_name"), rule.class_glob))
-    arg = F.get("args", F.lit(0))
-    path = F.when(F.startswith(arg["text"], F.lit("<base>")), F.substring(arg["text"], 7, 2**31 - 1)).when(F.startswith(arg["text"], F.lit("/")), arg["text"])
-    hint = F.when((arg["kind"] == "fstring") & F.startswith(arg["text"], F.lit("/")), "heuristic").otherwise("static")
-    hit = inside.where(fits & F.col("callee").isin(*VERBS) & F.col("receiver").isNotNull() & arg["kind"].isin("string", "fstring"))
-    return hit.select("src", F.upper("callee").alias("method"), path.alias("path"), hint.alias("hint"), *FILE, "line", F.col("idx"), "cls").where("path IS NOT NULL").dropDuplicates([*FILE, "idx"])
+    by_verb = [(k, rule) for k, rule in enumerate(rules) if rule.route_from is None]
+    found = verb_calls(sites.join(fn, [*FILE, "encl"]).join(cls, [*FILE, "cls"]), by_verb)
+    if len(by_verb) < len(rules):
+        within = defs.where("kind = 'Function'").select(*FILE, F.col("idx").alias("encl"), F.explode(F.array_append("ancestors", F.col("idx"))).alias("method_idx"))
+        inside = sites.join(within, [*FILE, "encl"])
+        for k, rule in enumerate(rules):
+            if rule.route_from is not None:
+                found = found.unionByName(decorated_calls(parsed, inside, defs, cls, k, rule))
+    claim = F.min(F.struct("nth", "cls", "src", "method", "path", "hint", "line")).alias("c")
+    return found.groupBy(*FILE, "idx").agg(claim).select("c.src", "c.method", "c.path", "c.hint", *FILE, "c.line", "idx", "c.cls")
 
 
 def base_url_envs(parsed: DataFrame, defs: DataFrame, attributes: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import re
 from dataclasses import dataclass, fields
 from pathlib import Path
 
-from weftgraph.operators.extract import Consumer, HttpClient, Idioms, Producer
+from weftgraph.operators.extract import Consumer, HttpClient, Idioms, Producer, RouteFrom, VerbFrom
 
 
 class ConfigError(Exception):
@@ -68,6 +68,14 @@ def checked(kind, given: dict, where: str):
         raise ConfigError(f"{where}: {e}") from e
 
 
+def nested(given: dict, where: str) -> dict:
+    """A client's mapping with its inner mappings checked."""
+    inner = {"route_from": RouteFrom, "verb_from": VerbFrom}
+    if not isinstance(given, dict):
+        raise ConfigError(f"{where}: a mapping is wanted")
+    return {k: checked(inner[k], v, f"{where}.{k}") if k in inner and v is not None else v for k, v in given.items()}
+
+
 def checked_idioms(given: dict) -> Idioms:
     own = {"producers": Producer, "consumers": Consumer, "clients": HttpClient}
     if unknown := set(given) - set(own):
@@ -75,9 +83,13 @@ def checked_idioms(given: dict) -> Idioms:
     built = Idioms()
     merged = {}
     for name, kind in own.items():
-        rules = tuple(checked(kind, r, f"idioms.{name}") for r in given.get(name, []))
+        rules = tuple(checked(kind, nested(r, f"idioms.{name}") if kind is HttpClient else r, f"idioms.{name}") for r in given.get(name, []))
         for r in rules:
             call = getattr(r, "call", getattr(r, "name", "x"))
+            if isinstance(r, HttpClient):
+                if len({x is None for x in (r.call, r.route_from, r.verb_from)}) > 1:
+                    raise ConfigError("idioms.clients: call, route_from and verb_from go together")
+                call = f"{r.call}|{r.verb_from.request_ctor}" if r.call is not None else "x"
             if any(not part for part in call.split("|")):
                 raise ConfigError(f"idioms.{name}: an empty alternative in {call!r}")
             if isinstance(r, Consumer) and r.form not in ("call", "dispatch_dict", "base_class"):
