@@ -6,6 +6,8 @@ import pytest
 
 from tests.services import SHOP, WORKER, write
 from weftgraph import __main__ as cli
+from weftgraph.operators import evaluate
+from weftgraph.plans import golden
 from weftgraph.sources import config
 
 
@@ -48,6 +50,25 @@ def test_env_files(tmp_path):
     assert config.env_maps(pairs, services) == ({"MAIL": "w"}, {"SHOP_URL": "shop"}, {"SHOP_URL": "shop.svc", "MAIL": "mail.example.com"})
 
 
+def test_init(tmp_path):
+    assert cli.main(["init", str(tmp_path)]) == 0 and cli.main(["init", str(tmp_path)]) == 1
+    assert [s.path for s in config.load_workspace(str(tmp_path / "weftgraph.json")).services] == [str(tmp_path)]
+
+
+def test_golden_edges(spark, tmp_path):
+    dst = {"service": "s", "symbol": "m.g"}
+    rows = [{"type": t, "src": {"service": "s", "symbol": "m.f"}, "dst": d} for t, d in (("CALLS", dst), ("CALLS", dst), ("PRODUCES", {"channel": "chan:x:y"}), ("HANDLES", {"channel": "chan:z"}))]
+    (tmp_path / "e.json").write_text(json.dumps({"edges": [*rows, {**rows[0], "src": {"service": "s", "symbol": "other"}, "mechanism": "start"}]}))
+    assert {tuple(r) for r in golden.golden_edges(spark, str(tmp_path / "e.json"), ["CALLS", "PRODUCES"]).collect()} == {("s", "m.f", "s", "m.g", "CALLS"), ("s", "m.f", None, "chan:x:y", "PRODUCES")}
+    (tmp_path / "none.yaml").write_text("")
+    assert golden.golden_edges(spark, str(tmp_path / "none.yaml"), ["CALLS"]).count() == 0 and golden.golden_questions(str(tmp_path / "none.yaml")) == []
+    edges = spark.createDataFrame([("sym:s:f", "sym:s:g", "CALLS"), ("sym:s:f", "chan:x:y", "PRODUCES"), ("chan:x:y", "sym:s:g", "HANDLES"), ("sym:s:lost", "chan:x:y", "PRODUCES"), ("chan:x:y", "sym:s:lost", "HANDLES")], "src string, dst string, type string")
+    nodes = spark.createDataFrame([("sym:s:f", "s", "m.f"), ("sym:s:g", "s", "m.g"), ("sym:s:lost", "s", "")], "id string, service string, qualified_name string")
+    found, dangling = evaluate.found_edges(edges, nodes, ["CALLS", "PRODUCES", "HANDLES"])
+    assert {tuple(r) for r in found.collect()} == {("s", "m.f", "s", "m.g", "CALLS"), ("s", "m.f", None, "chan:x:y", "PRODUCES"), ("s", "m.g", None, "chan:x:y", "HANDLES")}
+    assert dangling.first().dangling == 2
+
+
 def test_command_line(spark, tmp_path, capsys):
     w, out = workspace(tmp_path), str(tmp_path / "out")
     assert cli.main(["doctor", w]) == 0 and cli.main(["doctor", str(tmp_path / "none.json")]) == 1 and cli.main([]) == 2
@@ -55,5 +76,10 @@ def test_command_line(spark, tmp_path, capsys):
     capsys.readouterr()
     assert cli.main(["trace", out, "shop:POST /api/orders/new"]) == 0
     assert "on_order" in capsys.readouterr().out
+    asked = [{"question": "create order", "accept": [{"service": "shop", "symbol": "app.routes.create_order"}], "k": 5}, {"question": "create order", "accept": [{"service": "worker", "symbol": "app.routes.create_order"}], "k": 3}, {"question": "create order", "accept": []}]
+    (tmp_path / "q.json").write_text(json.dumps({"questions": asked}))
+    found = golden.retrieval(cli.open_api(spark, out), golden.golden_questions(str(tmp_path / "q.json")))
+    assert [(r["hit"], r["rank"]) for r in found] == [(True, 0), (False, None), (False, None)]
+    assert cli.main(["eval", out, str(tmp_path / "q.json")]) == 0 and "1 of 3" in capsys.readouterr().out
     assert cli.main(["trace", out, "nothing"]) == 1 and cli.main(["search", out, "create_order"]) == 0
     assert [p["id"] for p in cli.open_api(spark, out).list_processes()["processes"]] == ["proc:new-order", "proc:worker-orderflow"]

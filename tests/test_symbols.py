@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from tests.services import write
+from weftgraph.plans import analyze
 from weftgraph.sources import symbols
 
 
@@ -108,3 +110,22 @@ def test_cache_by_tree_hash(tmp_path):
     path, there = symbols.cached_index(str(tmp_path / "c"), "s", "abc", make)
     assert not there and symbols.cached_index(str(tmp_path / "c"), "s", "abc", make) == (path, True)
     assert symbols.cached_index(str(tmp_path / "c"), "s", "def", make)[1] is False and len(made) == 3
+
+
+INDEXED = {"m.py": "from n import helper\n\n\ndef run(tool):\n    tool.lift()\n    helper()\n    local()\n\n\ndef local():\n    pass\n", "n.py": "class Tool:\n    def lift(self):\n        pass\n\n\ndef helper():\n    pass\n"}
+
+
+def test_calls_by_index(spark, tmp_path):
+    of = lambda descriptor: f"scheme python pkg 1.0 {descriptor}"
+    refs = [([4, 9, 13], of("`n`/Tool#lift()."), 8), ([5, 4, 10], of("`n`/helper()."), 8), ([3, 4, 7], of("`m`/run()."), 1), ([4, 4, 8], "local 3", 8)]
+    (tmp_path / "m.index").write_bytes(encoded([("m.py", 0, refs)]))
+    services = {name: write(tmp_path / name, INDEXED) for name in ("read", "guessed")}
+    graph = analyze.index(spark, services, indexes={"read": str(tmp_path / "m.index")})
+    got = {(r.src, r.dst, r.resolution, r.confidence) for r in graph.edges.where("type = 'CALLS'").collect()}
+    assert got == {
+        ("sym:read:`m`/run().", "sym:read:`n`/Tool#lift().", "static", 1.0),
+        ("sym:read:`m`/run().", "sym:read:`n`/helper().", "static", 1.0),
+        ("sym:guessed:`m`/run().", "sym:guessed:`n`/helper().", "heuristic", 0.6),
+        ("sym:guessed:`m`/run().", "sym:guessed:`m`/local().", "heuristic", 0.6),
+    }
+    assert {r.relpath for r in analyze.scan(spark, services, {"read": ("n.py",)}).where("service = 'read'").collect()} == {"m.py"}

@@ -79,6 +79,11 @@ def symbol_parts(symbol: Column) -> Column:
     return F.when(~F.startswith(symbol, F.lit("local ")) & (F.size(parts) == 5), parts)
 
 
+def node_of_symbol(service: Column, relpath: Column, symbol: Column) -> Column:
+    """The node id of an index's symbol: by its descriptors, or by its file if it is local; null if it is neither."""
+    return F.when(F.startswith(symbol, F.lit("local ")), local_symbol_id(service, relpath, symbol)).otherwise(symbol_id(service, F.get(symbol_parts(symbol), F.lit(4))))
+
+
 def numbered(base: Column, nth: Column) -> Column:
     """The first definition of an id keeps it; the n-th gets ``~n``."""
     return F.when(nth == 1, base).otherwise(F.concat(base, F.lit("~"), nth.cast("string")))

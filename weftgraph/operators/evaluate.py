@@ -22,27 +22,33 @@ def found_edges(edges: DataFrame, nodes: DataFrame, types: list[str]) -> tuple[D
     """(src_service, src, dst_service, dst, type as a set by qualified names; one row with the number of ``dangling`` edges).
 
     HANDLES runs from the channel to its handler and is turned to be read like the others. Calls
-    with a mechanism stand for hand-offs and are not calls of the source. An edge dangles if an end is no node.
+    with a mechanism stand for hand-offs and are not calls of the source. A channel is its id, has no
+    service and need not be a node; an edge dangles if another end is no node with a name.
     """
     wanted = edges.where(F.col("type").isin(*types))
     if "mechanism" in edges.columns:
         wanted = wanted.where("type != 'CALLS' OR mechanism IS NULL")
     turned = F.col("type") == "HANDLES"
     ends = wanted.select(F.when(turned, F.col("dst")).otherwise(F.col("src")).alias("src_id"), F.when(turned, F.col("src")).otherwise(F.col("dst")).alias("dst_id"), "type").distinct()
-    side = lambda name: nodes.select(F.col("id").alias(f"{name}_id"), F.col("service").alias(f"{name}_service"), F.col("qualified_name").alias(name), F.lit(True).alias(f"{name}_known"))
+    named = nodes.where("qualified_name != '' AND id NOT LIKE 'chan:%'")
+    side = lambda name: named.select(F.col("id").alias(f"{name}_id"), F.col("service").alias(f"{name}_service"), F.col("qualified_name").alias(name), F.lit(True).alias(f"{name}_known"))
     met = ends.join(side("src"), "src_id", "left").join(side("dst"), "dst_id", "left")
-    both = F.col("src_known").isNotNull() & F.col("dst_known").isNotNull()
+    channel = F.startswith("dst_id", F.lit("chan:"))
+    met = met.withColumn("dst", F.when(channel, F.col("dst_id")).otherwise(F.col("dst")))
+    both = F.col("src_known").isNotNull() & (channel | F.col("dst_known").isNotNull())
     found = met.where(both).select("src_service", "src", "dst_service", "dst", "type").distinct()
     return found, met.agg(F.count_if(~both).alias("dangling"))
 
 
 def hit_rank(results: DataFrame, accepted: DataFrame) -> DataFrame:
-    """question, rank (1-based, null if none): the first accepted item of each question.
+    """question, rank (as in ``results``, null if none): the first accepted item of each question.
 
-    ``results``: question, rank, kind, symbol; ``accepted``: question, accept. A class chunk accepts
-    a symbol within it, a function chunk accepts a symbol that it lies in.
+    ``results``: question, rank, kind, symbol; ``accepted``: question, accept; with a service in both,
+    it must be the same. A class chunk accepts a symbol within it, a function chunk accepts a symbol
+    that it lies in.
     """
+    keys = ["question", *({"service"} & set(results.columns) & set(accepted.columns))]
     s, a = F.col("symbol"), F.col("accept")
     ok = (s == a) | ((F.col("kind") == "Class") & F.startswith(a, F.concat(s, F.lit(".")))) | ((F.col("kind") == "Function") & F.startswith(s, F.concat(a, F.lit("."))))
-    hits = results.join(accepted, "question").where(ok).groupBy("question").agg(F.min("rank").alias("rank"))
+    hits = results.join(accepted, keys).where(ok).groupBy("question").agg(F.min("rank").alias("rank"))
     return accepted.select("question").distinct().join(hits, "question", "left")

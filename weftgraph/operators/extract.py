@@ -124,8 +124,11 @@ def edge_rows(rows: DataFrame, type_: str, resolution: str | Column = "static",
     return rows.select("src", "dst", F.lit(type_).alias("type"), (via if via is not None else F.lit("")).alias("via_channel"), F.col("service").alias("origin_service"), lit(resolution).alias("resolution"), lit(confidence).cast("double").alias("confidence"), F.lit(extractor).alias("extractor"), F.col("relpath").alias("evidence_file"), F.col("line").cast("int").alias("evidence_line"), host.isNotNull().alias("external"), host.alias("external_host"))
 
 
-def resolved_calls(parsed: DataFrame, defs: DataFrame, modules: DataFrame) -> DataFrame:
-    """Call sites with ``src`` (the caller's id) and ``symbol`` (what they call, if the fallback can tell)."""
+def resolved_calls(parsed: DataFrame, defs: DataFrame, modules: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """Call sites with ``src`` (the caller's id), ``symbol`` (the id of what they call, if it can be told), ``resolution`` and ``confidence``.
+
+    Services that ``refs`` (service, relpath, symbol, start_byte, end_byte) speaks of are resolved by it alone, all others by the fallback.
+    """
     c = facts(parsed, "call")
     encl = defs.select(*FILE, F.col("idx").alias("encl"), F.col("id").alias("encl_id"), F.col("name").alias("encl_name"))
     c = c.join(modules.select(*FILE, "module_id"), FILE).join(encl, [*FILE, "encl"], "left").withColumn("src", F.coalesce("encl_id", "module_id"))
@@ -134,7 +137,14 @@ def resolved_calls(parsed: DataFrame, defs: DataFrame, modules: DataFrame) -> Da
     base = ids.resolve_relative_import(ids.containing_package(F.col("relpath")), F.col("level"), F.col("module"))
     i = i.select(*FILE, F.col("alias").alias("name"), base.alias("module"), F.col("name").alias("target"), "pos")
     bare = F.when(F.col("receiver").isNull(), F.col("callee"))
-    return call_ops.fallback_resolve(c.withColumn("name", bare), top, i, modules.select(*FILE, "module")).drop("name")
+    guessed = call_ops.fallback_resolve(c.withColumn("name", bare), top, i, modules.select(*FILE, "module")).drop("name")
+    if refs is None:
+        return guessed.withColumns({"resolution": F.lit("heuristic"), "confidence": F.lit(FALLBACK_CONFIDENCE)})
+    at = refs.select(*FILE, ids.node_of_symbol(F.col("service"), F.col("relpath"), F.col("symbol")).alias("symbol"), "start_byte", "end_byte").where("symbol IS NOT NULL")
+    met = call_ops.span_join(guessed.withColumnRenamed("symbol", "guess"), at).join(refs.select("service", F.lit(True).alias("read")).distinct(), "service", "left")
+    read = F.col("read").isNotNull()
+    columns = {"symbol": F.when(read, F.col("symbol")).otherwise(F.col("guess")), "resolution": F.when(read, "static").otherwise("heuristic"), "confidence": F.when(read, 1.0).otherwise(FALLBACK_CONFIDENCE)}
+    return met.withColumns(columns).drop("guess", "read")
 
 
 def symbol_of_name(rows: DataFrame, name: str, parsed: DataFrame, defs: DataFrame, modules: DataFrame, out: str) -> DataFrame:
@@ -152,10 +162,9 @@ def symbol_of_name(rows: DataFrame, name: str, parsed: DataFrame, defs: DataFram
 def call_graph(resolved: DataFrame, local_def_ids: DataFrame) -> DataFrame:
     """CALLS edges: one per caller and callee, with the count and the first site of its calls."""
     hit = resolved.where("symbol IS NOT NULL").join(local_def_ids.select(F.col("id").alias("symbol")), "symbol", "left_semi")
-    sites = hit.select("src", F.col("symbol").alias("dst"), "service", "relpath", "pos", "line", F.lit("joined").alias("outcome"), F.lit("heuristic").alias("resolution"), F.lit(FALLBACK_CONFIDENCE).alias("confidence"))
-    first = F.min(F.struct("relpath", "pos", "line", "service"))
-    e = sites.groupBy("src", "dst").agg(first.alias("f")).select("src", "dst", F.col("f.service").alias("service"), F.col("f.relpath").alias("relpath"), F.col("f.line").alias("line"))
-    return edge_rows(e, "CALLS", "heuristic", FALLBACK_CONFIDENCE, extractor="calls")
+    first = F.min(F.struct("relpath", "pos", "line", "service", "resolution", "confidence"))
+    e = hit.groupBy("src", F.col("symbol").alias("dst")).agg(first.alias("f")).select("src", "dst", "f.*")
+    return edge_rows(e, "CALLS", F.col("resolution"), F.col("confidence"), extractor="calls")
 
 
 def routes(parsed: DataFrame, defs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -16,6 +16,7 @@ from weftgraph.schema import ENTRY_ROLES
 from weftgraph.session import cut
 from weftgraph.sources.files import scan_service
 from weftgraph.sources.pyfacts import facts, parse
+from weftgraph.sources.symbols import index_files, placed, read_indexes, split_occurrences
 
 
 @dataclass
@@ -30,21 +31,22 @@ class Graph:
     chunks: DataFrame | None = None
 
 
-def scan(spark: SparkSession, services: dict[str, str], excludes: tuple[str, ...] = ()) -> DataFrame:
+def scan(spark: SparkSession, services: dict[str, str], excludes: tuple[str, ...] | dict[str, tuple[str, ...]] = ()) -> DataFrame:
+    """The files of all services; ``excludes`` are patterns for all of them, or by service."""
     out = None
     for name, root in sorted(services.items()):
-        one = scan_service(spark, root, name, excludes)
+        one = scan_service(spark, root, name, excludes.get(name, ()) if isinstance(excludes, dict) else excludes)
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def extract_all(files: DataFrame, idioms: extract.Idioms, parsed: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Nodes, edges and claims of all files, before any linking; ``parsed`` if the facts are there already."""
+def extract_all(files: DataFrame, idioms: extract.Idioms, parsed: DataFrame | None = None, refs: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Nodes, edges and claims of all files, before any linking; ``parsed`` if the facts are there already, ``refs`` of the services that have a symbol index."""
     parsed = cut(parse(files)) if parsed is None else parsed
     modules = cut(extract.module_table(files))
     defs = cut(extract.definitions(parsed, modules))
     nodes, edges = extract.core(files, defs, facts(parsed, "import"), modules)
-    sites = cut(extract.resolved_calls(parsed, defs, modules))
+    sites = cut(extract.resolved_calls(parsed, defs, modules, refs))
     found = [edges, extract.call_graph(sites, defs), extract.singleton_calls(sites, extract.singletons(parsed, modules), defs)]
     found.append(extract.producers(parsed, sites, idioms.producers))
     found.append(extract.consumers(parsed, sites, defs, modules, idioms.consumers))
@@ -140,12 +142,20 @@ def entry_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return hand.join(owner, "src").select(F.col("entry").alias("src"), "dst", "resolution", "confidence").distinct()
 
 
-def index(spark: SparkSession, services: dict[str, str], idioms: extract.Idioms | None = None, envs: tuple[dict, dict, dict] = ({}, {}, {}), declared: DataFrame | None = None) -> Graph:
-    """The whole pipeline. ``services`` maps a name to a path that Spark can read."""
-    return build(cut(scan(spark, services)), None, idioms, envs, declared)
+def references(files: DataFrame, indexes: dict[str, str]) -> DataFrame | None:
+    """References of the services whose binary index is given by path, in bytes of ``files``; none if there is no index."""
+    if not indexes:
+        return None
+    return cut(split_occurrences(placed(read_indexes(index_files(files.sparkSession, indexes)), files)).where("kind = 'ref'"))
 
 
-def build(files: DataFrame, parsed: DataFrame | None = None, idioms: extract.Idioms | None = None, envs: tuple[dict, dict, dict] = ({}, {}, {}), declared: DataFrame | None = None) -> Graph:
-    found = extract_all(files, idioms or extract.Idioms(), parsed)
+def index(spark: SparkSession, services: dict[str, str], idioms: extract.Idioms | None = None, envs: tuple[dict, dict, dict] = ({}, {}, {}), declared: DataFrame | None = None, indexes: dict[str, str] | None = None, excludes: tuple[str, ...] | dict[str, tuple[str, ...]] = ()) -> Graph:
+    """The whole pipeline. ``services`` maps a name to a path that Spark can read, ``indexes`` a service to its symbol index."""
+    files = cut(scan(spark, services, excludes))
+    return build(files, None, idioms, envs, declared, references(files, indexes or {}))
+
+
+def build(files: DataFrame, parsed: DataFrame | None = None, idioms: extract.Idioms | None = None, envs: tuple[dict, dict, dict] = ({}, {}, {}), declared: DataFrame | None = None, refs: DataFrame | None = None) -> Graph:
+    found = extract_all(files, idioms or extract.Idioms(), parsed, refs)
     linked = link_all(found, envs, declared)
     return Graph(files, linked["nodes"], linked["edges"], linked["processes"], linked["members"], chunk_table(files, found, linked["nodes"], linked["edges"]))

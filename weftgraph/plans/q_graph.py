@@ -224,17 +224,17 @@ def d8(spark, sf):
     return evaluate.precision_recall(e.where("dst NOT LIKE '%3'"), e.where("src NOT LIKE '%8'"), ["src", "dst"], ["type"])
 
 
-@query("d12_found_edges", oracle("""SELECT s.service AS src_service, s.name AS src, d.service AS dst_service, d.name AS dst, e.type FROM (SELECT DISTINCT CASE type WHEN 'HANDLES' THEN dst ELSE src END AS src, CASE type WHEN 'HANDLES' THEN src ELSE dst END AS dst, type FROM g_edges WHERE type IN ('CALLS', 'PRODUCES', 'HANDLES')) e JOIN g_nodes s ON s.id = e.src JOIN g_nodes d ON d.id = e.dst GROUP BY ALL"""))
+@query("d12_found_edges", oracle("""SELECT s.service AS src_service, s.name AS src, d.service AS dst_service, coalesce(d.name, e.dst) AS dst, e.type FROM (SELECT DISTINCT CASE type WHEN 'HANDLES' THEN dst ELSE src END AS src, CASE type WHEN 'HANDLES' THEN src ELSE dst END AS dst, type FROM g_edges WHERE type IN ('CALLS', 'PRODUCES', 'HANDLES')) e JOIN g_nodes s ON s.id = e.src LEFT JOIN g_nodes d ON d.id = e.dst AND d.kind <> 'Channel' WHERE d.id IS NOT NULL OR e.dst LIKE 'chan:%' GROUP BY ALL"""))
 def d12(spark, sf):
     n = testgraph.nodes(spark, sf).select("id", "service", F.col("name").alias("qualified_name"))
     found, _ = evaluate.found_edges(testgraph.edges(spark, sf), n, ["CALLS", "PRODUCES", "HANDLES"])
     return found
 
 
-@query("d12_dangling", oracle("SELECT count(*)::BIGINT AS dangling FROM (SELECT DISTINCT src, dst, type FROM g_edges WHERE type IN ('CALLS', 'CONSUMES')) e WHERE e.src NOT IN (SELECT id FROM g_nodes WHERE kind <> 'Channel') OR e.dst NOT IN (SELECT id FROM g_nodes WHERE kind <> 'Channel')"))
+@query("d12_dangling", oracle("SELECT count(*)::BIGINT AS dangling FROM (SELECT DISTINCT src, dst, type FROM g_edges WHERE type IN ('CALLS', 'CONTAINS', 'CONSUMES')) e WHERE e.src NOT IN (SELECT id FROM g_nodes WHERE kind NOT IN ('Class', 'Channel')) OR (e.dst NOT LIKE 'chan:%' AND e.dst NOT IN (SELECT id FROM g_nodes WHERE kind <> 'Class'))"))
 def d12_dangling(spark, sf):
-    n = testgraph.nodes(spark, sf).where("kind != 'Channel'").select("id", "service", F.col("name").alias("qualified_name"))
-    return evaluate.found_edges(testgraph.edges(spark, sf), n, ["CALLS", "CONSUMES"])[1]
+    n = testgraph.nodes(spark, sf).where("kind != 'Class'").select("id", "service", F.col("name").alias("qualified_name"))
+    return evaluate.found_edges(testgraph.edges(spark, sf), n, ["CALLS", "CONTAINS", "CONSUMES"])[1]
 
 
 @query("e6_compaction", """

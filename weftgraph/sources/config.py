@@ -25,6 +25,7 @@ class Service:
     path: str
     exclude: tuple[str, ...] = ()
     base_url_envs: tuple[str, ...] = ()
+    symbol_index: str | None = None
 
 
 @dataclass(frozen=True)
@@ -115,7 +116,12 @@ def load_workspace(target: str) -> Workspace:
         path = s.path if "://" in s.path else os.path.normpath(at.parent / s.path)
         if "://" not in path and not os.path.isdir(path):
             raise ConfigError(f"services: no such directory: {path}")
-        services.append(Service(s.name, path, s.exclude, s.base_url_envs))
+        found = s.symbol_index
+        if found and "://" not in found:
+            found = os.path.normpath(at.parent / found)
+            if not os.path.isfile(found):
+                raise ConfigError(f"services: no such symbol index: {found}")
+        services.append(Service(s.name, path, s.exclude, s.base_url_envs, found))
     if not services or len({s.name for s in services}) < len(services):
         raise ConfigError("services: at least one is wanted, each by a name of its own")
     envs = [str(at.parent / e) for e in given.get("env_sources", [])]
