@@ -248,6 +248,60 @@ def test_paths_of_decorators_and_verbs_of_requests(spark, tmp_path):
 BOOK = "/entries/book"
 
 
+CARRIED = {
+    "mill/send.py": '''from mill.bus import post
+
+LANE = "mill.lane"
+
+
+def ground(sack, lane):
+    post("Ground", LANE)
+    post("Sieved", topic=lane)
+    post("Bagged", settings.bag_lane)
+''',
+    "mill/settings.py": '''class MillSettings(BaseSettings):
+    store_lane: str = "store.lane"
+    bare_lane: str
+''',
+}
+STORE = {"store/take.py": '''from store.bus import Table
+
+
+class Ground(Taker[GroundSack]):
+    def take(self, sack):
+        return sack
+
+
+def bagged(sack):
+    return sack
+
+
+Table(["store.bags"], {"Bagged": bagged, "Lost": lost})
+''', "store/settings.py": '''class StoreSettings(BaseSettings):
+    lane: str = "store.lane"
+    bare: str
+'''}
+
+
+@pytest.mark.parametrize(("topic", "lane"), [({"settings": "StoreSettings.lane"}, ("store.lane", "static", 1.0)), ({"settings": "StoreSettings.bare"}, ("${BARE}", "heuristic", 0.6)), ({"attr": "self.lane"}, ("${self.lane}", "heuristic", 0.6)), ({"settings": "None.lane"}, None)])
+def test_topics_contain_their_events(spark, tmp_path, topic, lane):
+    post = extract.Producer("post", "event_type", 0, None, extract.Topic(arg=1))
+    rules = (extract.Consumer("base_class", "Taker", handler="take", topic=extract.Topic(**topic)), extract.Consumer("dispatch_dict", "Table", position=1, topic=extract.Topic(const="store.bags")))
+    services = {"mill": write(tmp_path / "mill", CARRIED), "store": write(tmp_path / "store", STORE)}
+    found = analyze.extract_all(analyze.scan(spark, services), extract.Idioms((post,), rules))["edges"].where("type = 'CONTAINS' AND src LIKE 'chan:%'").collect()
+    got = {(r.src.removeprefix("chan:kafka_topic:"), r.dst.removeprefix("chan:event_type:"), r.resolution, r.confidence) for r in found}
+    assert got == {("mill.lane", "Ground", "static", 1.0), ("${bag_lane}", "Bagged", "heuristic", 0.6), ("store.bags", "Bagged", "static", 1.0)} | ({(lane[0], "GroundSack", *lane[1:])} if lane else set())
+
+
+def test_a_topics_consumer_takes_its_events(spark, tmp_path):
+    post = extract.Producer("post", "event_type", 0, None, extract.Topic(const="mill.lane"))
+    taker = {"sink/main.py": "def drain():\n    KafkaConsumer('mill.lane')\n"}
+    services = {"mill": write(tmp_path / "mill", CARRIED), "sink": write(tmp_path / "sink", taker)}
+    graph = analyze.index(spark, services, extract.Idioms((post,)))
+    hand = {(r.src, r.dst, r.via_channel) for r in graph.edges.where("type = 'NEXT_SEGMENT'").collect()}
+    assert hand == {("sym:mill:`mill.send`/ground().", "sym:sink:`sink.main`/drain().", f"chan:event_type:{e}") for e in ("Ground", "Sieved", "Bagged")}
+
+
 def expected_chunks(source: bytes, most: int):
     """Chunks of a file by its syntax tree, written plainly: (symbol, ord, text, first line)."""
     import ast

@@ -27,6 +27,8 @@ def test_workspace(tmp_path):
 @pytest.mark.parametrize("bad", [{"services": []}, {"services": [{"name": "a b", "path": "shop"}]}, {"services": [{"name": "a", "path": "none"}]}, {"extra": 1}, {"env_sources": ["none.yaml"]},
                                  {"idioms": {"clients": [{"call": "driver.fetch"}]}}, {"idioms": {"clients": [{"route_from": {"decorator": "path", "no": 1}}]}}, {"idioms": {"clients": ["x"]}},
                                  {"idioms": {"clients": [{"call": "a", "route_from": {"decorator": "path"}, "verb_from": {"request_ctor": "A||B", "enum": "Verb"}}]}},
+                                 {"idioms": {"producers": [{"call": "a", "topic": {"const": "x", "arg": 1}}]}}, {"idioms": {"producers": [{"call": "a", "topic": {}}]}},
+                                 {"idioms": {"consumers": [{"form": "base_class", "name": "A", "topic": {"arg": 1}}]}},
                                  {"idioms": {"producers": [{"call": "a||b"}]}}, {"idioms": {"consumers": [{"form": "x", "name": "y"}]}}, {"services": [{"name": "a", "path": "shop", "no": 1}]}])
 def test_bad_workspaces(tmp_path, bad):
     with pytest.raises(config.ConfigError):

@@ -27,14 +27,27 @@ ACTIVITY_CALLS = ("execute_activity", "start_activity", "execute_activity_method
 START_CALLS = ("start_workflow", "execute_workflow", "start_child_workflow", "execute_child_workflow")
 
 
+@dataclass(frozen=True)
+class Topic:
+    """Where the topic that carries an event is named: one of a constant, an argument, a keyword, an environment name, a settings field ``Class.field`` or, as a label only, an attribute."""
+
+    const: str | None = None
+    arg: int | None = None
+    kwarg: str | None = None
+    env: str | None = None
+    settings: str | None = None
+    attr: str | None = None
+
+
 @dataclass(frozen=True)
 class Producer:
-    """A call that produces: ``call`` is a path suffix (alternatives by bars); the channel's name is an argument."""
+    """A call that produces: ``call`` is a path suffix (alternatives by bars); the channel's name is an argument. An event's ``topic`` contains it."""
 
     call: str
     kind: str = "event_type"
     position: int = 0
     keyword: str | None = None
+    topic: Topic | None = None
 
 
 @dataclass(frozen=True)
@@ -47,6 +60,7 @@ class Consumer:
     position: int = 0
     keyword: str | None = None
     handler: str = "handle"
+    topic: Topic | None = None
 
 
 @dataclass(frozen=True)
@@ -194,40 +208,78 @@ def channel_values(rows: DataFrame, parsed: DataFrame, position: int, keyword: s
     return r.withColumn("channel", name).withColumn("by_value", literal.isNotNull()).drop("__arg", "__const", "__value")
 
 
-def producers(parsed: DataFrame, sites: DataFrame, rules: tuple[Producer, ...]) -> DataFrame:
-    """PRODUCES edges; a site belongs to the first rule that fits it."""
-    out, left = None, sites
+def with_topic(rows: DataFrame, parsed: DataFrame, attributes: DataFrame, topic: Topic) -> DataFrame:
+    """Adds ``topic`` and ``topic_by_value``: the topic's name where it can be told, else null.
+
+    A settings field counts if one class of the service fits its name: by its default, else as ``${ENV}``.
+    """
+    named = topic.env or topic.attr
+    if topic.const is not None or named:
+        return rows.withColumns({"topic": F.lit(f"${{{named}}}" if named else topic.const), "topic_by_value": F.lit(not named)})
+    if topic.settings:
+        cls, _, name = topic.settings.rpartition(".")
+        one = attributes.where((F.col("name") == name) & wildcard(F.col("class_fqn"), cls)).groupBy("service").agg(F.min("default").alias("__default"), F.min("env_name").alias("__env"), F.count_distinct("class_fqn").alias("__n")).where("__n = 1")
+        value = F.coalesce("__default", F.concat(F.lit("${"), "__env", F.lit("}")))
+        return rows.join(one, "service", "left").withColumns({"topic": value, "topic_by_value": F.col("__default").isNotNull()}).drop("__default", "__env", "__n")
+    kept = rows.withColumnsRenamed({"channel": "__channel", "by_value": "__by_value"})
+    found = channel_values(kept, parsed, 2**30 if topic.arg is None else topic.arg, topic.kwarg)
+    return found.withColumnsRenamed({"channel": "topic", "by_value": "topic_by_value"}).withColumnsRenamed({"__channel": "channel", "__by_value": "by_value"})
+
+
+def containment(rows: DataFrame, event: Column, sure: Column) -> DataFrame:
+    """CONTAINS edges from ``topic`` to the channel ``event``: static if the topic and ``sure`` are, else heuristic 0.6."""
+    static = F.col("topic_by_value") & sure
+    named = rows.where("topic != ''").select(ids.channel_id("kafka_topic", F.col("topic")).alias("src"), event.alias("dst"), "service", "relpath", "line", static.alias("static"))
+    return edge_rows(named.dropDuplicates(["src", "dst", "service", "relpath", "line"]), "CONTAINS", F.when(F.col("static"), "static").otherwise("heuristic"), F.when(F.col("static"), 1.0).otherwise(0.6), extractor="kafka")
+
+
+def united(parts: list[DataFrame]) -> DataFrame | None:
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def producers(parsed: DataFrame, sites: DataFrame, rules: tuple[Producer, ...], attributes: DataFrame) -> DataFrame:
+    """PRODUCES edges and those of topics to their events; a site belongs to the first rule that fits it."""
+    out, left = [], sites
     for rule in rules:
         fits = path_suffix_matches(F.col("path"), rule.call)
         hit = channel_values(left.where(fits), parsed, rule.position, rule.keyword).where("channel IS NOT NULL")
         left = left.where(~fits)
-        rows = hit.select("src", ids.channel_id(rule.kind, F.col("channel")).alias("dst"), "service", "relpath", "line", "by_value")
-        e = edge_rows(rows, "PRODUCES", F.when(F.col("by_value"), "static").otherwise("heuristic"), F.when(F.col("by_value"), 1.0).otherwise(0.6), extractor="kafka")
-        out = e if out is None else out.unionByName(e)
-    return out
+        channel = ids.channel_id(rule.kind, F.col("channel"))
+        rows = hit.select("src", channel.alias("dst"), "service", "relpath", "line", "by_value")
+        out.append(edge_rows(rows, "PRODUCES", F.when(F.col("by_value"), "static").otherwise("heuristic"), F.when(F.col("by_value"), 1.0).otherwise(0.6), extractor="kafka"))
+        if rule.topic is not None and rule.kind == "event_type":
+            out.append(containment(with_topic(hit, parsed, attributes, rule.topic), channel, F.col("by_value")))
+    return united(out)
 
 
-def consumers(parsed: DataFrame, sites: DataFrame, defs: DataFrame, modules: DataFrame, rules: tuple[Consumer, ...]) -> DataFrame:
-    """CONSUMES edges of subscribing calls, dispatch dicts and typed base classes."""
-    out = None
+def consumers(parsed: DataFrame, sites: DataFrame, defs: DataFrame, modules: DataFrame, rules: tuple[Consumer, ...], attributes: DataFrame) -> DataFrame:
+    """CONSUMES edges of subscribing calls, dispatch dicts and typed base classes, and those of topics to the events of the last two."""
+    out = []
     for rule in rules:
         if rule.form == "call":
             hit = channel_values(sites.where(path_suffix_matches(F.col("path"), rule.name)), parsed, rule.position, rule.keyword).where("channel IS NOT NULL")
             rows = hit.select("src", ids.channel_id(rule.kind, F.col("channel")).alias("dst"), "service", "relpath", "line", F.when(F.col("by_value"), 1.0).otherwise(0.6).alias("c"))
         elif rule.form == "dispatch_dict":
             arg = F.coalesce(F.try_element_at("kwargs", F.lit(rule.keyword or "")), F.get("args", F.lit(rule.position)))
-            d = sites.where(path_suffix_matches(F.col("path"), rule.name)).select(*FILE, "line", F.explode(arg["items"]).alias("item"))
-            d = symbol_of_name(d.select(*FILE, "line", F.col("item.key").alias("key"), F.col("item.value").alias("handler")), "handler", parsed, defs, modules, "src").where("src IS NOT NULL")
-            rows = d.select("src", ids.channel_id(rule.kind, F.col("key")).alias("dst"), "service", "relpath", "line", F.lit(1.0).alias("c"))
+            d = sites.where(path_suffix_matches(F.col("path"), rule.name))
+            d = with_topic(d, parsed, attributes, rule.topic) if rule.topic else d.withColumns({"topic": F.lit(None).cast("string"), "topic_by_value": F.lit(False)})
+            d = d.select(*FILE, "line", "topic", "topic_by_value", F.explode(arg["items"]).alias("item"))
+            d = symbol_of_name(d.select(*FILE, "line", "topic", "topic_by_value", F.col("item.key").alias("key"), F.col("item.value").alias("handler")), "handler", parsed, defs, modules, "src").where("src IS NOT NULL")
+            rows = d.select("src", ids.channel_id(rule.kind, F.col("key")).alias("dst"), "service", "relpath", "line", "topic", "topic_by_value", F.lit(1.0).alias("c"))
         else:
             base = F.explode(F.filter("bases", lambda b: F.startswith(b, F.lit(rule.name + "["))))
             cls = defs.where("kind = 'Class'").select(*FILE, "idx", base.alias("base"))
             event = F.substring_index(F.regexp_extract("base", r"\[([^\]]+)\]", 1), ".", -1)
             m = defs.where(F.col("name") == rule.handler).select(*FILE, F.col("parent").alias("idx"), F.col("id").alias("src"), F.col("start_line").alias("line"))
             rows = cls.join(m, [*FILE, "idx"]).select("src", ids.channel_id(rule.kind, event).alias("dst"), "service", "relpath", "line", F.lit(1.0).alias("c"))
-        e = edge_rows(rows, "CONSUMES", F.when(F.col("c") == 1.0, "static").otherwise("heuristic"), F.col("c"), extractor="kafka")
-        out = e if out is None else out.unionByName(e)
-    return out
+            rows = with_topic(rows, parsed, attributes, rule.topic) if rule.topic else rows
+        out.append(edge_rows(rows, "CONSUMES", F.when(F.col("c") == 1.0, "static").otherwise("heuristic"), F.col("c"), extractor="kafka"))
+        if rule.topic is not None and rule.form != "call" and rule.kind == "event_type":
+            out.append(containment(rows, F.col("dst"), F.lit(True)))
+    return united(out)
 
 
 def temporal(parsed: DataFrame, sites: DataFrame, defs: DataFrame, modules: DataFrame) -> dict[str, DataFrame]:

@@ -48,13 +48,13 @@ def extract_all(files: DataFrame, idioms: extract.Idioms, parsed: DataFrame | No
     nodes, edges = extract.core(files, defs, facts(parsed, "import"), modules)
     sites = cut(extract.resolved_calls(parsed, defs, modules, refs))
     found = [edges, extract.call_graph(sites, defs), extract.singleton_calls(sites, extract.singletons(parsed, modules), defs)]
-    found.append(extract.producers(parsed, sites, idioms.producers))
-    found.append(extract.consumers(parsed, sites, defs, modules, idioms.consumers))
+    attributes = extract.class_attributes(parsed, defs)
+    found.append(extract.producers(parsed, sites, idioms.producers, attributes))
+    found.append(extract.consumers(parsed, sites, defs, modules, idioms.consumers, attributes))
     t = extract.temporal(parsed, sites, defs, modules)
     found.append(t["edges"])
     routes, mounts = extract.routes(parsed, defs)
     found.append(extract.dependencies(sites, routes, parsed, defs, modules))
-    attributes = extract.class_attributes(parsed, defs)
     found += [extract.enum_producers(sites, attributes, rule) for rule in idioms.producers]
     every = found[0]
     for e in found[1:]:

@@ -12,7 +12,7 @@ import re
 from dataclasses import dataclass, fields
 from pathlib import Path
 
-from weftgraph.operators.extract import Consumer, HttpClient, Idioms, Producer, RouteFrom, VerbFrom
+from weftgraph.operators.extract import Consumer, HttpClient, Idioms, Producer, RouteFrom, Topic, VerbFrom
 
 
 class ConfigError(Exception):
@@ -70,8 +70,8 @@ def checked(kind, given: dict, where: str):
 
 
 def nested(given: dict, where: str) -> dict:
-    """A client's mapping with its inner mappings checked."""
-    inner = {"route_from": RouteFrom, "verb_from": VerbFrom}
+    """A rule's mapping with its inner mappings checked."""
+    inner = {"route_from": RouteFrom, "verb_from": VerbFrom, "topic": Topic}
     if not isinstance(given, dict):
         raise ConfigError(f"{where}: a mapping is wanted")
     return {k: checked(inner[k], v, f"{where}.{k}") if k in inner and v is not None else v for k, v in given.items()}
@@ -84,7 +84,7 @@ def checked_idioms(given: dict) -> Idioms:
     built = Idioms()
     merged = {}
     for name, kind in own.items():
-        rules = tuple(checked(kind, nested(r, f"idioms.{name}") if kind is HttpClient else r, f"idioms.{name}") for r in given.get(name, []))
+        rules = tuple(checked(kind, nested(r, f"idioms.{name}"), f"idioms.{name}") for r in given.get(name, []))
         for r in rules:
             call = getattr(r, "call", getattr(r, "name", "x"))
             if isinstance(r, HttpClient):
@@ -93,6 +93,12 @@ def checked_idioms(given: dict) -> Idioms:
                 call = f"{r.call}|{r.verb_from.request_ctor}" if r.call is not None else "x"
             if any(not part for part in call.split("|")):
                 raise ConfigError(f"idioms.{name}: an empty alternative in {call!r}")
+            topic = getattr(r, "topic", None)
+            named = [f.name for f in fields(Topic) if topic is not None and getattr(topic, f.name) is not None]
+            if topic is not None and len(named) != 1:
+                raise ConfigError(f"idioms.{name}: a topic is named in one way")
+            if topic is not None and (named[0] in ("attr", "settings")) < (getattr(r, "form", "") == "base_class"):
+                raise ConfigError("idioms.consumers: a base class has no call that names a topic")
             if isinstance(r, Consumer) and r.form not in ("call", "dispatch_dict", "base_class"):
                 raise ConfigError(f"idioms.consumers: unknown form {r.form}")
         merged[name] = rules + getattr(built, name)  # a workspace's own rules come first
