@@ -302,6 +302,52 @@ def test_a_topics_consumer_takes_its_events(spark, tmp_path):
     assert hand == {("sym:mill:`mill.send`/ground().", "sym:sink:`sink.main`/drain().", f"chan:event_type:{e}") for e in ("Ground", "Sieved", "Bagged")}
 
 
+TIERS = {"kiln/fire.py": '''import stoker.lib
+from stoker.bus import Horn
+from kiln.bell import ring
+
+fan = Horn()
+
+
+def path(x):
+    x.Horn.sound("a")
+
+
+def bound():
+    fan.sound("b")
+
+
+def imported(x):
+    x.sound("c")
+
+
+def chained(x):
+    x.fan.sound("d")
+
+
+def qualified():
+    ring("e")
+
+
+def setting():
+    fan.sound(settings.name)
+
+
+def other(x):
+    x.silent("f")
+''', "kiln/bell.py": "def ring(name):\n    return name\n", "kiln/away.py": "def away(x):\n    x.sound('g')\n"}
+
+
+def test_tiers_of_idioms(spark, tmp_path):
+    rules = (extract.Producer("stoker.bus.Horn.sound|Horn.sound"), extract.Producer("kiln.bell.ring"))
+    found = analyze.extract_all(analyze.scan(spark, {"kiln": write(tmp_path, TIERS)}), extract.Idioms(rules))["edges"].where("type = 'PRODUCES'").collect()
+    got = {(r.src.rsplit("/", 1)[1], r.dst.rsplit(":", 1)[1], r.resolution, r.confidence) for r in found}
+    assert got == {
+        ("path().", "a", "static", 1.0), ("bound().", "b", "heuristic", 0.8), ("imported().", "c", "heuristic", 0.6), ("chained().", "d", "heuristic", 0.6),
+        ("qualified().", "e", "static", 1.0), ("setting().", "${name}", "heuristic", 0.6),
+    }
+
+
 def expected_chunks(source: bytes, most: int):
     """Chunks of a file by its syntax tree, written plainly: (symbol, ord, text, first line)."""
     import ast

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.functions import ids
-from weftgraph.functions.scalars import config_ref, path_suffix_matches, wildcard
+from weftgraph.functions.scalars import combine_confidence, config_ref, path_suffix_matches, wildcard
 from weftgraph.operators import calls as call_ops
 from weftgraph.operators.dedup import disambiguate
 from weftgraph.sources.pyfacts import facts
@@ -208,6 +208,41 @@ def channel_values(rows: DataFrame, parsed: DataFrame, position: int, keyword: s
     return r.withColumn("channel", name).withColumn("by_value", literal.isNotNull()).drop("__arg", "__const", "__value")
 
 
+def candidates(sites: DataFrame, parsed: DataFrame, patterns: list[str]) -> DataFrame:
+    """The sites whose callee ends one of ``patterns``, with what tiers are told by: ``qualified`` (the name of what is called), ``made`` (classes whose instances the file binds to the receiver's name) and ``brought`` (module and name of each import)."""
+    lasts = {alternative.split(".")[-1] for pattern in patterns for alternative in pattern.split("|")}
+    if not any(set("*?[") & set(last) for last in lasts):
+        sites = sites.where(F.col("callee").isin(*lasts))
+    made = facts(parsed, "assign").groupBy(*FILE, F.col("target").alias("receiver")).agg(F.collect_set(F.element_at("ctor", -1)).alias("made"))
+    base = ids.resolve_relative_import(ids.containing_package(F.col("relpath")), F.col("level"), F.col("module"))
+    brought = facts(parsed, "import").groupBy(*FILE).agg(F.collect_set(F.struct(base.alias("module"), F.col("name"))).alias("brought"))
+    return sites.join(made, [*FILE, "receiver"], "left").join(brought, FILE, "left").withColumn("qualified", ids.display_name(F.regexp_replace("symbol", "^sym:[^:]*:", "")))
+
+
+def idiom_tier(pattern: str) -> Column:
+    """How surely a candidate is a call of ``pattern`` (alternatives by bars), null if it is none.
+
+    1.0: by the call's own path or by the qualified name of what it calls. 0.8: the receiver is a plain
+    name to which the file binds an instance of the class. 0.6: only the name is called, in a file
+    that imports the class or the module at the pattern's head.
+    """
+    steps: dict[float, Column] = {1.0: path_suffix_matches(F.col("path"), pattern), 0.8: F.lit(False), 0.6: F.lit(False)}
+    for alternative in pattern.split("|"):
+        *up, last = alternative.split(".")
+        head = (up or [last])[0]
+        called, plain = F.col("callee") == last, F.col("receiver").isNotNull() & ~F.contains("receiver", F.lit("."))
+        module = F.exists("brought", lambda i: (i["module"] == head) | F.startswith(i["module"], F.lit(head + ".")))  # noqa: B023
+        named = lambda name, source=None: F.exists("brought", lambda i: (i["name"] == name) & (F.lit(True) if source is None else i["module"] == source))
+        steps[1.0] |= F.coalesce(wildcard(F.col("qualified"), alternative), F.lit(False))
+        if up:
+            steps[0.8] |= called & plain & F.array_contains("made", up[-1])
+        if last[0].isupper():
+            steps[0.6] |= called & (named(last) | (F.col("receiver").isNotNull() & module))
+        else:
+            steps[0.6] |= called & (module | (named(up[-1], ".".join(up[:-1])) if len(up) > 1 else F.lit(False)))
+    return F.coalesce(*(F.when(F.coalesce(fits, F.lit(False)), tier) for tier, fits in steps.items()))
+
+
 def with_topic(rows: DataFrame, parsed: DataFrame, attributes: DataFrame, topic: Topic) -> DataFrame:
     """Adds ``topic`` and ``topic_by_value``: the topic's name where it can be told, else null.
 
@@ -226,11 +261,19 @@ def with_topic(rows: DataFrame, parsed: DataFrame, attributes: DataFrame, topic:
     return found.withColumnsRenamed({"channel": "topic", "by_value": "topic_by_value"}).withColumnsRenamed({"__channel": "channel", "__by_value": "by_value"})
 
 
-def containment(rows: DataFrame, event: Column, sure: Column) -> DataFrame:
-    """CONTAINS edges from ``topic`` to the channel ``event``: static if the topic and ``sure`` are, else heuristic 0.6."""
-    static = F.col("topic_by_value") & sure
-    named = rows.where("topic != ''").select(ids.channel_id("kafka_topic", F.col("topic")).alias("src"), event.alias("dst"), "service", "relpath", "line", static.alias("static"))
-    return edge_rows(named.dropDuplicates(["src", "dst", "service", "relpath", "line"]), "CONTAINS", F.when(F.col("static"), "static").otherwise("heuristic"), F.when(F.col("static"), 1.0).otherwise(0.6), extractor="kafka")
+def sure(by_value: str) -> Column:
+    """Confidence of a name found by a rule of ``tier``."""
+    return combine_confidence(F.col(by_value), F.col("tier"))
+
+
+def resolution_of(confidence: str) -> Column:
+    return F.when(F.col(confidence) == 1.0, "static").otherwise("heuristic")
+
+
+def containment(rows: DataFrame, event: Column, confidence: Column) -> DataFrame:
+    """CONTAINS edges from ``topic`` to the channel ``event``: static if the confidence is whole, else heuristic."""
+    named = rows.where("topic != ''").select(ids.channel_id("kafka_topic", F.col("topic")).alias("src"), event.alias("dst"), "service", "relpath", "line", confidence.alias("c"))
+    return edge_rows(named.groupBy("src", "dst", "service", "relpath", "line").agg(F.max("c").alias("c")), "CONTAINS", resolution_of("c"), F.col("c"), extractor="kafka")
 
 
 def united(parts: list[DataFrame]) -> DataFrame | None:
@@ -242,43 +285,45 @@ def united(parts: list[DataFrame]) -> DataFrame | None:
 
 def producers(parsed: DataFrame, sites: DataFrame, rules: tuple[Producer, ...], attributes: DataFrame) -> DataFrame:
     """PRODUCES edges and those of topics to their events; a site belongs to the first rule that fits it."""
-    out, left = [], sites
+    out, left = [], candidates(sites, parsed, [rule.call for rule in rules]) if rules else sites
     for rule in rules:
-        fits = path_suffix_matches(F.col("path"), rule.call)
-        hit = channel_values(left.where(fits), parsed, rule.position, rule.keyword).where("channel IS NOT NULL")
-        left = left.where(~fits)
+        tier = idiom_tier(rule.call)
+        hit = channel_values(left.withColumn("tier", tier).where("tier IS NOT NULL"), parsed, rule.position, rule.keyword).where("channel IS NOT NULL")
+        left = left.where(tier.isNull())
         channel = ids.channel_id(rule.kind, F.col("channel"))
-        rows = hit.select("src", channel.alias("dst"), "service", "relpath", "line", "by_value")
-        out.append(edge_rows(rows, "PRODUCES", F.when(F.col("by_value"), "static").otherwise("heuristic"), F.when(F.col("by_value"), 1.0).otherwise(0.6), extractor="kafka"))
+        rows = hit.select("src", channel.alias("dst"), "service", "relpath", "line", sure("by_value").alias("c"))
+        out.append(edge_rows(rows, "PRODUCES", resolution_of("c"), F.col("c"), extractor="kafka"))
         if rule.topic is not None and rule.kind == "event_type":
-            out.append(containment(with_topic(hit, parsed, attributes, rule.topic), channel, F.col("by_value")))
+            both = with_topic(hit, parsed, attributes, rule.topic)
+            out.append(containment(both, channel, F.least(sure("by_value"), sure("topic_by_value"))))
     return united(out)
 
 
 def consumers(parsed: DataFrame, sites: DataFrame, defs: DataFrame, modules: DataFrame, rules: tuple[Consumer, ...], attributes: DataFrame) -> DataFrame:
     """CONSUMES edges of subscribing calls, dispatch dicts and typed base classes, and those of topics to the events of the last two."""
-    out = []
+    out, called = [], [rule.name for rule in rules if rule.form != "base_class"]
+    sites = candidates(sites, parsed, called) if called else sites
     for rule in rules:
+        fitting = sites.withColumn("tier", idiom_tier(rule.name)).where("tier IS NOT NULL") if rule.form != "base_class" else None
         if rule.form == "call":
-            hit = channel_values(sites.where(path_suffix_matches(F.col("path"), rule.name)), parsed, rule.position, rule.keyword).where("channel IS NOT NULL")
-            rows = hit.select("src", ids.channel_id(rule.kind, F.col("channel")).alias("dst"), "service", "relpath", "line", F.when(F.col("by_value"), 1.0).otherwise(0.6).alias("c"))
+            hit = channel_values(fitting, parsed, rule.position, rule.keyword).where("channel IS NOT NULL")
+            rows = hit.select("src", ids.channel_id(rule.kind, F.col("channel")).alias("dst"), "service", "relpath", "line", sure("by_value").alias("c"))
         elif rule.form == "dispatch_dict":
             arg = F.coalesce(F.try_element_at("kwargs", F.lit(rule.keyword or "")), F.get("args", F.lit(rule.position)))
-            d = sites.where(path_suffix_matches(F.col("path"), rule.name))
-            d = with_topic(d, parsed, attributes, rule.topic) if rule.topic else d.withColumns({"topic": F.lit(None).cast("string"), "topic_by_value": F.lit(False)})
-            d = d.select(*FILE, "line", "topic", "topic_by_value", F.explode(arg["items"]).alias("item"))
-            d = symbol_of_name(d.select(*FILE, "line", "topic", "topic_by_value", F.col("item.key").alias("key"), F.col("item.value").alias("handler")), "handler", parsed, defs, modules, "src").where("src IS NOT NULL")
-            rows = d.select("src", ids.channel_id(rule.kind, F.col("key")).alias("dst"), "service", "relpath", "line", "topic", "topic_by_value", F.lit(1.0).alias("c"))
+            d = with_topic(fitting, parsed, attributes, rule.topic) if rule.topic else fitting.withColumns({"topic": F.lit(None).cast("string"), "topic_by_value": F.lit(False)})
+            d = d.select(*FILE, "line", "tier", "topic", "topic_by_value", F.explode(arg["items"]).alias("item"))
+            d = symbol_of_name(d.select(*FILE, "line", "tier", "topic", "topic_by_value", F.col("item.key").alias("key"), F.col("item.value").alias("handler")), "handler", parsed, defs, modules, "src").where("src IS NOT NULL")
+            rows = d.select("src", ids.channel_id(rule.kind, F.col("key")).alias("dst"), "service", "relpath", "line", "tier", "topic", "topic_by_value", F.col("tier").alias("c"))
         else:
             base = F.explode(F.filter("bases", lambda b: F.startswith(b, F.lit(rule.name + "["))))
             cls = defs.where("kind = 'Class'").select(*FILE, "idx", base.alias("base"))
             event = F.substring_index(F.regexp_extract("base", r"\[([^\]]+)\]", 1), ".", -1)
             m = defs.where(F.col("name") == rule.handler).select(*FILE, F.col("parent").alias("idx"), F.col("id").alias("src"), F.col("start_line").alias("line"))
-            rows = cls.join(m, [*FILE, "idx"]).select("src", ids.channel_id(rule.kind, event).alias("dst"), "service", "relpath", "line", F.lit(1.0).alias("c"))
+            rows = cls.join(m, [*FILE, "idx"]).select("src", ids.channel_id(rule.kind, event).alias("dst"), "service", "relpath", "line", F.lit(1.0).alias("tier"), F.lit(1.0).alias("c"))
             rows = with_topic(rows, parsed, attributes, rule.topic) if rule.topic else rows
-        out.append(edge_rows(rows, "CONSUMES", F.when(F.col("c") == 1.0, "static").otherwise("heuristic"), F.col("c"), extractor="kafka"))
+        out.append(edge_rows(rows, "CONSUMES", resolution_of("c"), F.col("c"), extractor="kafka"))
         if rule.topic is not None and rule.form != "call" and rule.kind == "event_type":
-            out.append(containment(rows, F.col("dst"), F.lit(True)))
+            out.append(containment(rows, F.col("dst"), sure("topic_by_value")))
     return united(out)
 
 
