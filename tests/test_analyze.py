@@ -74,6 +74,9 @@ def test_nodes_roles_and_repeated_definitions(graph):
     assert "sym:shop:`app.service`/check()." in rows and "sym:shop:`app.service`/check().~2" in rows
     assert rows["sym:shop:`app.routes`/create_order()."].roles == ["RouteHandler"]
     assert rows["sym:worker:`worker.flow`/OrderFlow#"].roles == ["TemporalWorkflow"]
+    assert rows["sym:worker:`worker.flow`/OrderFlow#"].props == {"workflow_name": "OrderFlow"}
+    assert rows["sym:shop:`app.routes`/create_order()."].props == {"http_method": "POST", "path_template": "/new"}
+    assert not rows["sym:shop:`app.service`/place()."].props
     assert ("sym:shop:`app.main`/", "IMPORTS", "sym:shop:`app.routes`/") in edges(graph, "IMPORTS")
     assert len(rows) == graph.nodes.count()
     known = set(rows)

@@ -359,6 +359,15 @@ def verb_calls(inside: DataFrame, rules: list[tuple[int, HttpClient]]) -> DataFr
     return hit.select(*FILE, "idx", nth.alias("nth"), "src", F.upper("callee").alias("method"), path.alias("path"), hint.alias("hint"), "line", "cls").where("path IS NOT NULL")
 
 
+def role_props(roles: DataFrame, routes: DataFrame, defs: DataFrame) -> DataFrame:
+    """id, add_props: a workflow's name, and the method and path of a handler's first route."""
+    flows = roles.where("role = 'TemporalWorkflow'").select("id").distinct().join(defs.select("id", "name"), "id")
+    first = routes.groupBy(F.col("handler").alias("id")).agg(F.min(F.struct("line", "method", "path")).alias("r"))
+    flows = flows.select("id", F.create_map(F.lit("workflow_name"), "name").alias("add_props"))
+    handlers = first.select("id", F.create_map(F.lit("http_method"), F.col("r.method"), F.lit("path_template"), F.col("r.path")).alias("add_props"))
+    return flows.unionByName(handlers.join(flows.select("id"), "id", "left_anti"))
+
+
 def of_client(rule: HttpClient) -> Column:
     return wildcard(F.substring_index("relpath", "/", -1), rule.file_glob) & wildcard(F.col("cls_name"), rule.class_glob)
 

@@ -62,7 +62,7 @@ def extract_all(files: DataFrame, idioms: extract.Idioms, parsed: DataFrame | No
     roles = t["roles"].unionByName(routes.select(F.col("handler").alias("id"), F.lit("RouteHandler").alias("role")))
     roles = roles.unionByName(every.where("type = 'PRODUCES'").select(F.col("src").alias("id"), F.lit("MessageProducer").alias("role")))
     roles = roles.unionByName(every.where("type = 'CONSUMES' AND dst NOT LIKE 'chan:temporal_signal:%'").select(F.col("src").alias("id"), F.lit("MessageConsumer").alias("role")))
-    patches = roles.groupBy("id").agg(F.array_sort(F.collect_set("role")).alias("add_roles")).withColumn("add_props", F.lit(None).cast("map<string,string>"))
+    patches = roles.groupBy("id").agg(F.array_sort(F.collect_set("role")).alias("add_roles")).join(extract.role_props(t["roles"], routes, defs), "id", "left")
     patched = staging.patch_nodes(nodes.withColumn("props", F.lit(None).cast("map<string,string>")), patches)
     return {"nodes": patched, "edges": cut(every), "routes": routes, "mounts": mounts, "http": extract.http_calls(parsed, sites, defs, idioms.clients).join(extract.base_url_envs(parsed, defs, attributes), ["service", "relpath", "cls"], "left"), "modules": modules, "starts": t["starts"], "sends": t["sends"], "defs": defs, "parsed": parsed}
 
