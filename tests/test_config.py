@@ -72,9 +72,10 @@ def test_golden_edges(spark, tmp_path):
 
 
 def test_command_line(spark, tmp_path, capsys):
-    w, out = workspace(tmp_path), str(tmp_path / "out")
+    w, out = workspace(tmp_path, processes=[{"name": "New Order", "entrypoint": "shop:POST /api/orders/new"}, {"name": "Lost", "entrypoint": "shop:GET /none"}]), str(tmp_path / "out")
     assert cli.main(["doctor", w]) == 0 and cli.main(["doctor", str(tmp_path / "none.json")]) == 1 and cli.main([]) == 2
-    assert cli.main(["index", w, out]) == 0 and cli.main(["stats", out]) == 0
+    assert cli.main(["index", w, out]) == 0 and '"processes_unresolved": 1' in capsys.readouterr().out
+    assert cli.main(["stats", out]) == 0
     capsys.readouterr()
     assert cli.main(["trace", out, "shop:POST /api/orders/new"]) == 0
     assert "on_order" in capsys.readouterr().out

@@ -23,16 +23,19 @@ def index(spark: SparkSession, workspace: str, out: str) -> dict:
     """Analyse a workspace and publish each table; returns the report, which is also written."""
     w = config.load_workspace(workspace)
     services = {s.name: s.path for s in w.services}
+    lost = 0
     graph = analyze.index(spark, services, w.idioms, config.env_maps(config.env_pairs(w.env_sources), w.services), indexes={s.name: s.symbol_index for s in w.services if s.symbol_index}, excludes={s.name: s.exclude for s in w.services})
     if w.processes:
         declared = spark.createDataFrame([(p.name, p.entrypoint) for p in w.processes], "name string, selector string")
-        resolved = processes.resolve(declared, graph.nodes, graph.edges).where("entry IS NOT NULL")
+        resolved = processes.resolve(declared, graph.nodes, graph.edges)
+        lost = resolved.where("entry IS NULL").count()
+        resolved = resolved.where("entry IS NOT NULL")
         flows = resolved.select(F.concat(F.lit("proc:"), F.regexp_replace(F.lower("name"), "[^a-z0-9]+", "-")).alias("process"), "name", "entry", F.lit("config").alias("source"))
         graph.processes = flows.unionByName(graph.processes.join(flows.select("process"), "process", "left_anti"))
     made = graph.chunks.select(F.col("chunk_id").alias("id"), F.col("symbol_id").alias("symbol"), "chunk_kind", "service", "relpath", "text", "start_line", "end_line", "context_header", "input_hash", F.lit(None).cast("array<float>").alias("vector"))
     for name in TABLES:
         snapshot.publish(made if name == "chunks" else getattr(graph, name), f"{out}/{name}")
-    report = summary(graph.nodes, graph.edges)
+    report = summary(graph.nodes, graph.edges) | {"processes_unresolved": lost}
     spark.createDataFrame([(json.dumps(report, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/report")
     return report
 
