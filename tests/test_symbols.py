@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tests.services import write
-from weftgraph.plans import analyze
+from weftgraph.plans import analyze, incremental
 from weftgraph.sources import symbols
 
 
@@ -128,4 +128,6 @@ def test_calls_by_index(spark, tmp_path):
         ("sym:guessed:`m`/run().", "sym:guessed:`n`/helper().", "heuristic", 0.6),
         ("sym:guessed:`m`/run().", "sym:guessed:`m`/local().", "heuristic", 0.6),
     }
+    again = incremental.rebuild(incremental.refresh(spark, services, None)[0], None, {"read": str(tmp_path / "m.index")})
+    assert {(r.src, r.dst, r.resolution, r.confidence) for r in again.edges.where("type = 'CALLS'").collect()} == got
     assert {r.relpath for r in analyze.scan(spark, services, {"read": ("n.py",)}).where("service = 'read'").collect()} == {"m.py"}

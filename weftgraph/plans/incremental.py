@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.operators import extract, staging
-from weftgraph.plans.analyze import Graph, build, scan
+from weftgraph.plans.analyze import Graph, build, references, scan
 from weftgraph.schema import SCHEMA_VERSION
 from weftgraph.session import cut
 from weftgraph.sources.pyfacts import parse
@@ -54,8 +54,9 @@ def refresh(spark: SparkSession, services: dict[str, str], before: State | None,
     return State(now, files, cut(kept.unionByName(fresh))), "incremental"
 
 
-def rebuild(state: State, idioms: extract.Idioms | None = None) -> Graph:
-    return build(state.files, state.parsed, idioms)
+def rebuild(state: State, idioms: extract.Idioms | None = None, indexes: dict[str, str] | None = None) -> Graph:
+    """The graph of a state; ``indexes`` maps a service to its symbol index, which is read anew."""
+    return build(state.files, state.parsed, idioms, refs=references(state.files, indexes or {}))
 
 
 def dump(graph: Graph) -> dict[str, list]:
