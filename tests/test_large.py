@@ -38,3 +38,17 @@ def test_pairs_of_a_topic_are_streamed(spark):
     assert {(r.src, r.dst, r.via_channel): (r.resolution, r.confidence) for r in found} == brute(e.collect()) and len(found) == len(brute(e.collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan[: plan.index("Join")]
+
+
+def test_onward_lists(spark):
+    from weftgraph.operators import link
+
+    e = fan(spark)
+    exits = e.where("type = 'PRODUCES'").select(F.col("src").alias("producer"), F.col("dst").alias("channel"))
+    exits = exits.unionByName(spark.createDataFrame([("z", "chan:none")], exits.schema))
+    want = {(r.producer, r.channel): [] for r in exits.collect()}
+    for (x, y, ch), (_, c) in sorted(brute(e.collect()).items()):
+        if c >= 0.5:
+            want[x, ch].append(y)
+    got = link.onward(e, exits, 0.5).collect()
+    assert {(r.producer, r.channel): r.next_ids for r in got} == want and len(got) == len(want)
