@@ -40,6 +40,17 @@ def test_pairs_of_a_topic_are_streamed(spark):
     assert "Aggregate" not in plan[: plan.index("Join")]
 
 
+def test_owners_meet_consumers_without_pairs(spark):
+    from weftgraph.operators import link
+
+    e = fan(spark)
+    owners = {f"x{p}": f"o{p % 3}" for p in range(6)}
+    got = link.next_of_owners(e, spark.createDataFrame(list(owners.items()), "node string, owner string")).collect()
+    assert sorted((r.owner, r.next) for r in got) == sorted({(owners[x], y) for x, y, _ in brute(e.collect())})
+    alone = made(spark, [("x", "E", "PRODUCES"), ("x", "E", "CONSUMES")])
+    assert link.next_of_owners(alone, spark.createDataFrame([("x", "o")], "node string, owner string")).isEmpty()
+
+
 def test_onward_lists(spark):
     from weftgraph.operators import link
 

@@ -131,10 +131,10 @@ def g3_minus(spark, sf):
 @query("i10_entry_graph", oracle("""SELECT DISTINCT p.dst AS entry, n.dst AS next FROM n_next n JOIN (SELECT dst AS c, min(src) AS dst FROM g_edges WHERE type = 'CONTAINS' AND src NOT LIKE 'chan:%' GROUP BY dst) p ON p.c = n.src""", q_graph.NEXT))
 def i10(spark, sf):
     e = testgraph.edges(spark, sf)
-    hand = q_graph.next_edges(spark, sf).select("src", "dst").distinct()
+    producers = e.where("type IN ('PRODUCES', 'CALLS_HTTP')").select(F.col("src").alias("id")).distinct()
     up = e.where("type = 'CONTAINS' AND src NOT LIKE 'chan:%'")
-    owner = graph.climb(up, hand.select(F.col("src").alias("id")).distinct(), testgraph.nodes(spark, sf).where("kind = 'Module'"))
-    return hand.join(owner.withColumnRenamed("start", "src"), "src").select(F.col("top").alias("entry"), F.col("dst").alias("next")).distinct()
+    owner = graph.climb(up, producers, testgraph.nodes(spark, sf).where("kind = 'Module'"))
+    return link.next_of_owners(e, owner.select(F.col("start").alias("node"), F.col("top").alias("owner"))).withColumnRenamed("owner", "entry")
 
 
 @query("m2_two_pass", f"WITH asked AS (SELECT p_partkey AS question, p_name || CASE WHEN p_partkey % 3 = 0 THEN ' nosuchword' ELSE '' END AS text FROM part WHERE p_partkey % 20 = 0), {q_search.bm25('part', 'p_partkey', 'p_name', 'text', 6)} SELECT question, id, score, rank::INT AS rank FROM t_top")
