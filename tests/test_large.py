@@ -63,3 +63,12 @@ def test_onward_lists(spark):
             want[x, ch].append(y)
     got = link.onward(e, exits, 0.5).collect()
     assert {(r.producer, r.channel): r.next_ids for r in got} == want and len(got) == len(want)
+
+
+def test_unique_match_counts_before_it_joins(spark):
+    from weftgraph.operators import link
+
+    left = spark.createDataFrame([(1, 7), (2, 8), (3, 9), (4, None)], "id long, size int")
+    right = spark.createDataFrame([(7, "a"), (8, "b"), (8, "c"), (None, "d")], "size int, supplier string")
+    got = link.unique_match(left, right, ["size"], "id", ["supplier"]).collect()
+    assert {r.id: r.supplier for r in got} == {1: "a", 2: None, 3: None, 4: None}
