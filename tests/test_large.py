@@ -72,3 +72,20 @@ def test_unique_match_counts_before_it_joins(spark):
     right = spark.createDataFrame([(7, "a"), (8, "b"), (8, "c"), (None, "d")], "size int, supplier string")
     got = link.unique_match(left, right, ["size"], "id", ["supplier"]).collect()
     assert {r.id: r.supplier for r in got} == {1: "a", 2: None, 3: None, 4: None}
+
+
+def against_sql(spark, folder, name):
+    from compare import canonical, oracle_rows
+    from weftgraph.plans import catalogue
+
+    df = catalogue.QUERIES[name](spark, str(folder))
+    return canonical(df.columns, [tuple(r) for r in df.collect()]) == canonical(*oracle_rows(str(folder), catalogue.ORACLE_SQL[name]))
+
+
+def test_blanks_are_those_of_the_sql(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    texts = [f"{a}{c}x {c} y{c}{a}" for c in "\x0b\x0c\u00a0\u2003\u3000\u0085\t\n\r" for a in ("", " ", "\n")] + ["\n\nlead", "  a\nb", "tail \nz", "", "q" * 130]
+    pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}), f"{tmp_path}/documents.parquet")
+    assert all(against_sql(spark, tmp_path, name) for name in ("h24_one_line", "h11_sanitize", "h5_slugify"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from weftgraph.functions.scalars import SEPARATORS, SPACES
+
 
 def relpath_to_module(relpath: Column) -> Column:
     """``a/b/__init__.py`` and ``a/b.py`` both give ``a.b``."""
@@ -68,7 +70,7 @@ def process_id(name: Column) -> Column:
 
 
 def slugify(text: Column) -> Column:
-    s = F.regexp_replace(F.lower(F.trim(text)), r"\s+", "-")
+    s = F.regexp_replace(F.lower(F.btrim(text, F.lit(SEPARATORS))), SPACES, "-")
     s = F.regexp_replace(F.regexp_replace(s, "[^a-z0-9-]", ""), "-+", "-")
     return F.regexp_replace(s, "^-|-$", "")
 
