@@ -89,3 +89,12 @@ def test_blanks_are_those_of_the_sql(spark, tmp_path):
     texts = [f"{a}{c}x {c} y{c}{a}" for c in "\x0b\x0c\u00a0\u2003\u3000\u0085\t\n\r" for a in ("", " ", "\n")] + ["\n\nlead", "  a\nb", "tail \nz", "", "q" * 130]
     pq.write_table(pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": texts}), f"{tmp_path}/documents.parquet")
     assert all(against_sql(spark, tmp_path, name) for name in ("h24_one_line", "h11_sanitize", "h5_slugify"))
+
+
+def test_embedder_keeps_doubles(spark):
+    import pyarrow as pa
+
+    from weftgraph.operators import chunks
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array(["text"])], names=["a", "b"])
+    assert next(iter(chunks.hash_embedder(8)([batch]))).column(1).type == pa.list_(pa.float64())

@@ -129,12 +129,15 @@ def from_cache(missing: DataFrame, cache: DataFrame, model: str, dim: int) -> Da
 
 
 def embed_missing(chunks: DataFrame, cache: DataFrame, embedder, model: str, dim: int) -> tuple[DataFrame, DataFrame]:
-    """(chunks with vectors, rows to add to the cache). Texts are embedded once per input hash, in Arrow batches."""
+    """(chunks with vectors, rows to add to the cache). Texts are embedded once per input hash, in Arrow batches.
+
+    ``embedder`` gives doubles; they are kept in the type that ``embedding`` has.
+    """
     kept = chunks.where(F.col("embedding").isNotNull() & F.col("embed_model").eqNullSafe(F.lit(model)) & F.col("embedded_hash").eqNullSafe(F.col("input_hash")))
     looked = from_cache(missing_vectors(chunks, model), cache, model, dim)
     todo = looked.where("embedding IS NULL").select("input_hash").distinct()
     texts = chunks.select("input_hash", F.concat("context_header", F.lit("\n\n"), "text").alias("text")).join(todo, "input_hash", "left_semi").dropDuplicates(["input_hash"])
-    made = texts.mapInArrow(embedder, "input_hash string, vec array<float>")
+    made = texts.mapInArrow(embedder, "input_hash string, vec array<double>").withColumn("vec", F.col("vec").cast(chunks.schema["embedding"].dataType))
     vectors = looked.join(made, "input_hash", "left").select("chunk_id", F.coalesce("embedding", "vec").alias("v"))
     rest = chunks.join(vectors, "chunk_id").withColumns({"embedding": F.col("v"), "embed_model": F.lit(model), "embedded_hash": F.col("input_hash")}).select(*chunks.columns)
     return kept.unionByName(rest), made.select("input_hash", F.lit(model).alias("embed_model"), F.lit(dim).alias("dim"), "vec")
@@ -154,7 +157,7 @@ def hash_embedder(dim: int = 8):
             for text in batch.column(1).to_pylist():
                 raw = b"".join(hashlib.sha256(f"{text}\0{n}".encode()).digest() for n in range(-(-dim // 8)))
                 v = np.frombuffer(raw, ">u4")[:dim].astype(np.float64) / 0xFFFFFFFF * 2 - 1
-                out.append((v / np.linalg.norm(v)).astype(np.float32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float32()))], names=["input_hash", "vec"])
+                out.append(v / np.sqrt(np.cumsum(v * v)[-1]))  # summed in order
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["input_hash", "vec"])
 
     return run
