@@ -98,3 +98,17 @@ def test_embedder_keeps_doubles(spark):
 
     batch = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array(["text"])], names=["a", "b"])
     assert next(iter(chunks.hash_embedder(8)([batch]))).column(1).type == pa.list_(pa.float64())
+
+
+def test_bags_keep_only_what_is_asked(spark, monkeypatch):
+    from weftgraph.operators import search
+
+    docs = spark.createDataFrame([(n, ("b a c b", "a b b x", "z")[n % 3]) for n in range(30)] + [(30, " ")], "id long, text string")
+    asked = spark.createDataFrame([(q, ("a b", "b, a", "z nosuch", "")[q % 4]) for q in range(8)], "question long, text string")
+    wanted = spark.createDataFrame([("a",), ("b",)], "token string")
+    for most in (5000, 1):
+        monkeypatch.setattr(search, "MOST_LISTED", most)
+        got = search.bags(search.postings(docs, "id", F.col("text")), wanted).collect()
+        assert sorted((r.id, r.dl, r.bag) for r in got) == [(n, *((4, "<a><b><b>"), (4, "<a><b><b>"), (1, ""))[n % 3]) for n in range(30)]
+        found = search.search_text(search.postings(docs, "id", F.col("text")), asked, 3).collect()
+        assert {(r.question, r["rank"]): r.id for r in found} == {(q, n): ((0, 1, 3), (0, 1, 3), (2, 5, 8))[q % 4][n] for q in range(8) if q % 4 < 3 for n in range(3)}
