@@ -112,3 +112,10 @@ def test_bags_keep_only_what_is_asked(spark, monkeypatch):
         assert sorted((r.id, r.dl, r.bag) for r in got) == [(n, *((4, "<a><b><b>"), (4, "<a><b><b>"), (1, ""))[n % 3]) for n in range(30)]
         found = search.search_text(search.postings(docs, "id", F.col("text")), asked, 3).collect()
         assert {(r.question, r["rank"]): r.id for r in found} == {(q, n): ((0, 1, 3), (0, 1, 3), (2, 5, 8))[q % 4][n] for q in range(8) if q % 4 < 3 for n in range(3)}
+
+
+def test_questions_of_one_set_are_one(spark):
+    from weftgraph.operators import search
+
+    asked = spark.createDataFrame([(1, "b a"), (2, "a-b"), (3, "-")], "question long, text string")
+    assert {r.question: sorted(r.ts) for r in search.question_sets(asked).collect()} == {1: ["a", "b"], 2: ["a", "b"]}
