@@ -119,3 +119,10 @@ def test_questions_of_one_set_are_one(spark):
 
     asked = spark.createDataFrame([(1, "b a"), (2, "a-b"), (3, "-")], "question long, text string")
     assert {r.question: sorted(r.ts) for r in search.question_sets(asked).collect()} == {1: ["a", "b"], 2: ["a", "b"]}
+
+
+def test_postings_write_nothing(spark):
+    from weftgraph.operators import search
+
+    docs = spark.createDataFrame([(1, "a b")], "id long, text string")
+    assert [(r.id, r.ts) for r in search.postings(docs, "id", F.col("text")).frame.collect()] == [(1, ["a", "b"])]
