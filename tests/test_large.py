@@ -126,3 +126,27 @@ def test_postings_write_nothing(spark):
 
     docs = spark.createDataFrame([(1, "a b")], "id long, text string")
     assert [(r.id, r.ts) for r in search.postings(docs, "id", F.col("text")).frame.collect()] == [(1, ["a", "b"])]
+
+
+def test_tokens_are_taken_out_and_not_split(spark):
+    from weftgraph.operators import search
+
+    texts = ["", " ", "a", "-a--B_c 1\n\t", "\u212aelvin \u0130x \u00e9t\u00e9 na\u00efve", "x" * 50, "\u4e2d\u6587 a\U0001f600b", None]
+    got = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "id int, text string").select("id", "text", search.tokens(F.col("text")).alias("ts"))
+    apart = F.filter(F.split(F.lower("text"), "[^a-z0-9_]+"), lambda t: t != "")
+    assert got.where(~F.col("ts").eqNullSafe(apart)).isEmpty()
+    assert "split(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_bag_is_read_once_for_all_its_tokens(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from weftgraph.operators import search
+
+    texts = ["a " * 200_000 + "b", "ab a a1 a_ b", "a ab ab b b b", "b", ""]
+    pq.write_table(pa.table({"p_partkey": pa.array(range(0, 20 * len(texts), 20), pa.int64()), "p_name": texts}), f"{tmp_path}/part.parquet")
+    assert all(against_sql(spark, tmp_path, name) for name in ("m1_search_symbols", "m2_two_pass"))
+    p = spark.createDataFrame([(1, "a b a"), (2, "b")], "id long, text string")
+    found = search.search_text(search.postings(p, "id", F.col("text")), spark.createDataFrame([(1, "a b")], "question long, text string"), 3)
+    assert [r.id for r in found.collect()] == [1]
