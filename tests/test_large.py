@@ -150,3 +150,19 @@ def test_a_bag_is_read_once_for_all_its_tokens(spark, tmp_path):
     p = spark.createDataFrame([(1, "a b a"), (2, "b")], "id long, text string")
     found = search.search_text(search.postings(p, "id", F.col("text")), spark.createDataFrame([(1, "a b")], "question long, text string"), 3)
     assert [r.id for r in found.collect()] == [1]
+
+
+def test_rows_of_a_key_meet_in_bounded_portions(spark, tmp_path, monkeypatch):
+    from weftgraph import session
+    from weftgraph.operators import dedup
+
+    spark.range(40_000, numPartitions=8).select((F.col("id") % 2).alias("k"), "id").write.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(session, "PORTION", 4 << 10)
+    df = spark.read.parquet(f"{tmp_path}/t")
+    dealt = session.spread(df, ["k"])
+    held = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert dealt.rdd.getNumPartitions() > 16 and sum(held) == 40_000 and max(held) < 20_000
+    first = dedup.first_rows(df, ["k"], [F.col("id")])
+    assert sorted(tuple(r) for r in first.collect()) == [(0, 0), (1, 1)]
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("RepartitionByExpression")

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.ids import numbered
+from weftgraph.session import spread
 
 
 def first_rows(df: DataFrame, keys: list[str], order: list[Column], values: list[str] | None = None) -> DataFrame:
-    """The first row of each key. An aggregate with partial sums, so a hot key meets in no single task."""
+    """The first row of each key. An aggregate with partial sums over portions of bounded size, so a hot key meets in no single task."""
     values = values or [c for c in df.columns if c not in keys]
     ranked = F.min_by(F.struct(*values), F.struct(*(c.alias(f"o{k}") for k, c in enumerate(order))))
-    return df.groupBy(*keys).agg(ranked.alias("r")).select(*keys, "r.*")
+    return spread(df, keys).groupBy(*keys).agg(ranked.alias("r")).select(*keys, "r.*")
 
 
 def resolution_rank(resolution: Column) -> Column:
