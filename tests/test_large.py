@@ -166,3 +166,24 @@ def test_rows_of_a_key_meet_in_bounded_portions(spark, tmp_path, monkeypatch):
     assert sorted(tuple(r) for r in first.collect()) == [(0, 0), (1, 1)]
     plan = first._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Aggregate") < plan.index("RepartitionByExpression")
+
+
+def test_sets_are_compared_in_one_pass(spark):
+    from weftgraph.operators import evaluate
+
+    rows = lambda *r: spark.createDataFrame(r, "type string, src string, dst string")
+    found = rows(("t", "a", "b"), ("t", "a", "b"), ("t", "a", None), ("u", "a", "b"), (None, "a", "b"))
+    golden = rows(("t", "a", "b"), ("t", "c", "b"), ("t", "a", None), ("v", "a", "b"), (None, "a", "b"))
+    got = evaluate.precision_recall(found, golden, ["src", "dst"], ["type"])
+    assert {r.type: (r.n_found, r.n_golden, r.hits) for r in got.collect()} == {"t": (2, 3, 1), "u": (1, 0, 0), "v": (0, 1, 0), None: (1, 1, 0)}
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ends_are_dealt_before_they_are_distinct(spark):
+    from weftgraph.operators import evaluate
+
+    edges = spark.createDataFrame([("a", "b", "CALLS"), ("a", "b", "CALLS"), ("a", "x", "CALLS")], "src string, dst string, type string")
+    nodes = spark.createDataFrame([("a", "s", "A"), ("b", "s", "B")], "id string, service string, qualified_name string")
+    found, dangling = evaluate.found_edges(edges, nodes, ["CALLS"])
+    assert [tuple(r) for r in found.collect()] == [("s", "A", "s", "B", "CALLS")] and dangling.first().dangling == 1
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
