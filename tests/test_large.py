@@ -187,3 +187,32 @@ def test_ends_are_dealt_before_they_are_distinct(spark):
     found, dangling = evaluate.found_edges(edges, nodes, ["CALLS"])
     assert [tuple(r) for r in found.collect()] == [("s", "A", "s", "B", "CALLS")] and dangling.first().dangling == 1
     assert found._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
+
+
+def read_by(monkeypatch, module, folder):
+    """A list that grows by each frame that is written by ``cut`` of ``module`` and reads files of ``folder``."""
+    found, real = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: (found.append(df) if any(str(folder) in f for f in df.inputFiles()) else None, real(df))[1])
+    return found
+
+
+def test_levels_of_a_climb_do_not_read_the_graph_again(spark, tmp_path, monkeypatch):
+    from weftgraph.operators import graph
+
+    made(spark, [(f"n{k}", f"n{k + 1}", "CALLS") for k in range(6)] + [("z", "n3", "CALLS"), ("y1", "y2", "CALLS"), ("y2", "y1", "CALLS")]).write.parquet(f"{tmp_path}/e")
+    spark.createDataFrame([("n1",), ("q",)], "id string").write.parquet(f"{tmp_path}/s")
+    starts = spark.createDataFrame([("n6",), ("n1",), ("n0",), ("y1",), ("q",), ("w",)], "id string")
+    read = read_by(monkeypatch, graph, tmp_path)
+    got = graph.climb(spark.read.parquet(f"{tmp_path}/e"), starts, spark.read.parquet(f"{tmp_path}/s")).collect()
+    assert {r.start: r.top for r in got} == {"n6": "n1", "n1": "n1", "n0": "n0", "y1": "y2", "q": "q", "w": "w"} and len(read) == 1
+
+
+def test_levels_of_a_process_do_not_read_the_graph_again(spark, tmp_path, monkeypatch):
+    from weftgraph import session
+    from weftgraph.operators import link
+
+    made(spark, [(f"n{k}", f"n{k + 1}", "CALLS") for k in range(6)]).write.parquet(f"{tmp_path}/e")
+    declared = spark.createDataFrame([("p", "n0")], "process string, entry string")
+    read = read_by(monkeypatch, session, tmp_path)
+    got = link.part_of_process(spark.read.parquet(f"{tmp_path}/e"), declared, 4).collect()
+    assert sorted((r.node, r.order) for r in got) == [(f"n{k}", k) for k in range(4)] and len(read) == 1
