@@ -20,6 +20,8 @@ from weftgraph.session import cut, table, uncut
 LEAST_LETTERS, LEAST_KNOWN = 20, 0.7
 #: Near duplicates: sets of five-word shingles of Jaccard similarity 0.8 or more, each link confirmed by the sets.
 NEAR = {"width": 5, "ratio": 0.8}
+#: Words that a packing worker remembers: fewer than in packing alone, as its executor's heap has been filled by the stages before.
+WORDS = 200_000
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def secrets(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    pieces = packing.pack_documents(docs, packing.default_tokenizer())
+    pieces = packing.pack_documents(docs, packing.default_tokenizer(), word_memory=WORDS)
     return packing.digests(pieces)
 
 

@@ -93,6 +93,21 @@ def test_word_memory_is_bounded(monkeypatch):
     assert words.ids([b"alpha beta", b"gamma Beta delta"]) == once and words.ids([b"<|ENDOFTEXT|> x"]) != words.ids([b"<|endoftext|> x"])
 
 
+def test_word_memory_is_bounded_by_the_caller(spark, monkeypatch):
+    import corpus_pipeline
+
+    path, asked = packing.default_tokenizer(), []
+    monkeypatch.setattr(packing, "WORKERS", {})
+    assert packing.words_for(path).most == packing.WORD_MEMORY
+    words = packing.words_for(path, 3)
+    once = words.ids([b"alpha beta", b"gamma Beta delta"])
+    assert words.ids([b"alpha beta", b"gamma Beta delta"]) == once and len(words.known) <= 3 + 4
+    monkeypatch.setattr(packing, "pack_documents", lambda docs, path, **named: asked.append(named) or docs)
+    monkeypatch.setattr(packing, "digests", lambda pieces: pieces)
+    corpus_pipeline.pack(spark, None, "")
+    assert asked == [{"word_memory": corpus_pipeline.WORDS}] and corpus_pipeline.WORDS < packing.WORD_MEMORY
+
+
 def test_other_tokenizers_are_asked_for_whole_texts(tmp_path):
     from tokenizers import Tokenizer, models, pre_tokenizers
 

@@ -43,6 +43,18 @@ def utf8(c: Column) -> Column:
     return F.coalesce(c, F.lit("")).cast("binary")
 
 
+def give_back() -> None:
+    """Return to the system what a Python worker has freed, since it lives on, idle or in other stages, beside the executor's heap."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim is not None:
+        trim(0)
+
+
 def values(spark, rows: list[tuple], schema: str):
     """A small table that Spark knows the size of, so that it decides itself whether to broadcast it."""
     names = [part.split()[0] for part in schema.split(",")]

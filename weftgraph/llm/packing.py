@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import utf8
+from weftgraph.llm.common import give_back, utf8
 
 SEQUENCE = 4096
 GROUP_TOKENS = 2_000_000
 END_ID = 2
-#: Above this many words a worker forgets all and starts again.
+#: Above this many words a worker forgets all and starts again; a thousand take about 0.15 MB.
 WORD_MEMORY = 1_000_000
 #: Texts that show whether a tokenizer can be asked word by word.
 CHECKED = 64
@@ -68,6 +68,7 @@ class Words:
         for token, number in vocabulary.items():
             self.ends[number] = token.endswith("</w>")
         self.known: dict[bytes, bytes] = {}
+        self.most = WORD_MEMORY
         self.whole, self.unchecked = self.by_word(PROBES) != self.by_text(PROBES), CHECKED
 
     def by_text(self, texts: list[bytes]) -> list[bytes]:
@@ -115,7 +116,7 @@ class Words:
         return self.by_text(texts) if self.whole else self.by_word(texts)
 
     def by_word(self, texts: list[bytes]) -> list[bytes]:
-        if len(self.known) > WORD_MEMORY:
+        if len(self.known) > self.most:
             self.known.clear()
         # the tokenizer lower-cases too; special tokens are found before it does, so texts that may hold one stay
         split = [(t if b"<|" in t else t.lower()).split() for t in texts]
@@ -134,9 +135,10 @@ class Words:
 WORKERS: dict[str, Words] = {}
 
 
-def words_for(path: str) -> Words:
+def words_for(path: str, most: int = WORD_MEMORY) -> Words:
     if path not in WORKERS:
         WORKERS[path] = Words(path)
+    WORKERS[path].most = most
     return WORKERS[path]
 
 
@@ -188,7 +190,7 @@ def pack(lengths: list[int], size: int) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
-def packer(path: str, size: int, end_id: int, group_tokens: int):
+def packer(path: str, size: int, end_id: int, group_tokens: int, word_memory: int = WORD_MEMORY):
     end = array.array("I", [end_id]).tobytes()
 
     def emit(ids, docs, base):
@@ -211,7 +213,7 @@ def packer(path: str, size: int, end_id: int, group_tokens: int):
     def run(batches):
         from pyspark import TaskContext
 
-        words, base = words_for(path), TaskContext.get().partitionId() << 40
+        words, base = words_for(path, word_memory), TaskContext.get().partitionId() << 40
         ids, docs, tokens = [], [], 0
         for batch in batches:
             id_col, text_col = batch.column(0), batch.column(1)
@@ -227,6 +229,8 @@ def packer(path: str, size: int, end_id: int, group_tokens: int):
                         base, ids, docs, tokens = base + n, [], [], 0
         if docs:
             yield emit(ids, docs, base)[0]
+        ids, docs = [], []
+        give_back()
 
     return run
 
@@ -240,12 +244,13 @@ def pack_documents(
     end_id: int = END_ID,
     group_tokens: int = GROUP_TOKENS,
     seed: int = 11,
+    word_memory: int = WORD_MEMORY,
 ) -> DataFrame:
-    """A row for each piece, with its ids as little-endian unsigned 32-bit numbers in ``ids``."""
+    """A row for each piece, with its ids as little-endian unsigned 32-bit numbers in ``ids``; ``word_memory`` bounds what a worker remembers."""
     given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), utf8(F.col(text_col)).alias("text"))
     given = given.withColumn("draw", F.rand(seed))
     dealt = given.repartition("draw").sortWithinPartitions("draw", "doc_id").select("doc_id", "text")
-    return dealt.mapInArrow(packer(tokenizer_path, size, end_id, group_tokens), PIECES)
+    return dealt.mapInArrow(packer(tokenizer_path, size, end_id, group_tokens, word_memory), PIECES)
 
 
 def default_tokenizer() -> str:
