@@ -216,3 +216,19 @@ def test_levels_of_a_process_do_not_read_the_graph_again(spark, tmp_path, monkey
     read = read_by(monkeypatch, session, tmp_path)
     got = link.part_of_process(spark.read.parquet(f"{tmp_path}/e"), declared, 4).collect()
     assert sorted((r.node, r.order) for r in got) == [(f"n{k}", k) for k in range(4)] and len(read) == 1
+
+
+def test_a_text_is_moved_once_for_its_header(spark):
+    from weftgraph.operators import chunks
+
+    docs = spark.createDataFrame([(str(n), "s", None if n == 3 else f"f{n % 2}", f"t{n}") for n in range(4)], "symbol_id string, service string, relpath string, text string")
+    own = spark.createDataFrame([("1", "C1", "Class", ["r"], None, " \n d \nx"), ("3", "C3", "Class", [], "m", None)], "symbol_id string, qualified_name string, kind string, roles array<string>, parent string, doc string")
+    named = lambda key, rows: spark.createDataFrame(rows, f"{key}, name string")
+    got = chunks.headers(docs, own, named("service string, relpath string", [("s", "f1", "b"), ("s", "f1", "a"), ("s", "f0", "z")]), named("symbol_id string", [("1", "c"), ("0", "z")]))
+    assert {r.symbol_id: r.context_header for r in got.collect()} == {
+        "0": "file: f0 · service: s\nsymbol: 0",
+        "1": "file: f1 · service: s\nsymbol: C1 (Class, r)\nimports: a, b\ndoc: d \ncalls: c",
+        "2": "file: f0 · service: s\nsymbol: 2",
+        "3": "symbol: C3 (Class) in m",
+    }
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftgraph.session import cut
+
 
 def files_with_known_spans(spans: DataFrame, nodes: DataFrame, key: list[str]) -> DataFrame:
     """service, relpath of files all of whose spans are staged nodes; one unknown span leaves out the whole file."""
@@ -95,24 +97,41 @@ def names_of(pairs: DataFrame, key: str, name: str, most: int, label: str) -> Da
     return pairs.groupBy(key).agg(F.array_join(F.slice(F.array_sort(F.collect_set(name)), 1, most), ", ").alias(label))
 
 
+def doc_line(doc):
+    """What a header shows of a documentation: the start of its first line."""
+    return F.substring(F.substring_index(F.btrim(doc, F.lit(" \t\n\v\f\r")), "\n", 1), 1, HEADER_DOC)
+
+
 def headers(chunks: DataFrame, symbols: DataFrame, imports: DataFrame, called: DataFrame) -> DataFrame:
     """``chunks`` with context_header and input_hash.
 
     Lines: file and service; symbol with kind, roles and parent; imports; first line of the
     documentation; calls. Empty ones are left out; an unknown symbol has the first two only.
-    ``symbols``: symbol_id, qualified_name, kind, roles, parent, doc; ``imports``: service, relpath,
-    name; ``called``: symbol_id, name.
+    ``symbols``: symbol_id, qualified_name, kind, roles, parent, doc (or ``doc_line`` of it);
+    ``imports``: service, relpath, name; ``called``: symbol_id, name.
+
+    Lines are made for the symbols, which are few columns without texts, so that a text is moved once
+    at most; names are gathered for the files and symbols that occur only.
     """
-    i = imports.groupBy("service", "relpath").agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, HEADER_IMPORTS), ", ").alias("__imports"))
-    c = names_of(called, "symbol_id", "name", HEADER_CALLS, "__calls")
-    rows = chunks.join(symbols, "symbol_id", "left").join(i, ["service", "relpath"], "left").join(c, "symbol_id", "left")
+    if "doc_line" not in symbols.columns:
+        symbols = symbols.withColumn("doc_line", doc_line(F.col("doc"))).drop("doc")
+    places = cut(chunks.select("symbol_id", "service", "relpath").distinct())
+    owned = cut(places.join(symbols, "symbol_id"))
+    files, own = cut(owned.select("service", "relpath").distinct()), owned.select("symbol_id").distinct()
+    names = imports.join(files, ["service", "relpath"], "left_semi").select("service", "relpath", "name").distinct()
+    i = names.groupBy("service", "relpath").agg(F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, HEADER_IMPORTS), ", ").alias("__imports"))
+    c = names_of(called.join(own, "symbol_id", "left_semi"), "symbol_id", "name", HEADER_CALLS, "__calls")
     known = F.col("qualified_name").isNotNull()
     roles = F.when(F.size("roles") > 0, F.concat(F.lit(", "), F.array_join("roles", ", "))).otherwise("")
     symbol = F.when(known, F.concat(F.lit("symbol: "), "qualified_name", F.lit(" ("), "kind", roles, F.lit(")"), F.coalesce(F.concat(F.lit(" in "), "parent"), F.lit("")))).otherwise(F.concat(F.lit("symbol: "), "symbol_id"))
     line = lambda label, value: F.when(known & (F.coalesce(value, F.lit("")) != ""), F.concat(F.lit(label + ": "), value))
-    doc = F.substring(F.substring_index(F.btrim("doc", F.lit(" \t\n\v\f\r")), "\n", 1), 1, HEADER_DOC)
-    made = F.concat_ws("\n", F.concat(F.lit("file: "), "relpath", F.lit(" · service: "), "service"), symbol, line("imports", F.col("__imports")), line("doc", doc), line("calls", F.col("__calls")))
-    out = rows.withColumn("context_header", made)
+    owned = owned.join(i, ["service", "relpath"], "left").join(c, "symbol_id", "left")
+    lines = F.array(symbol, line("imports", F.col("__imports")), line("doc", F.col("doc_line")), line("calls", F.col("__calls")))
+    made = cut(owned.select(*(F.col(c).alias(f"__{c}") for c in ("symbol_id", "service", "relpath")), lines.alias("__lines")))
+    at = (F.col("symbol_id") == F.col("__symbol_id")) & F.col("service").eqNullSafe(F.col("__service")) & F.col("relpath").eqNullSafe(F.col("__relpath"))
+    place = F.concat(F.lit("file: "), "relpath", F.lit(" · service: "), "service")
+    unknown = F.array(F.concat(F.lit("symbol: "), "symbol_id"))
+    out = chunks.join(made, at, "left").withColumn("context_header", F.concat_ws("\n", place, F.coalesce("__lines", unknown)))
     return out.withColumn("input_hash", F.sha2(F.concat("context_header", F.lit("\n\n"), "text"), 256)).select(*chunks.columns, "context_header", "input_hash")
 
 
