@@ -232,3 +232,18 @@ def test_a_text_is_moved_once_for_its_header(spark):
         "3": "symbol: C3 (Class) in m",
     }
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_paths_meet_from_both_ends(spark, monkeypatch):
+    from weftgraph.operators import graph
+
+    rows = [("hub", f"m{n}", "CONTAINS") for n in range(40)] + [(f"m{n}", f"leaf{n}-{k}", "CONTAINS") for n in range(40) for k in range(10)]
+    pairs = spark.createDataFrame([(f"leaf{n}-{k}", "hub") for n in range(40) for k in range(10)] + [("hub", "hub"), ("hub", "none"), ("leaf0-1", "leaf0-2"), ("leaf0-1", "leaf1-1")], "start string, goal string")
+    held, kept = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: held.append(kept(df)) or held[-1])
+    got = {(r.start, r.goal): r.path and [(h.node, h.direction) for h in r.path] for r in graph.shortest_paths(made(spark, rows), pairs, ["CONTAINS"], 3).collect()}
+    assert got["leaf7-3", "hub"] == [("m7", "in"), ("hub", "in")] and got["leaf0-1", "leaf0-2"] == [("m0", "in"), ("leaf0-2", "out")]
+    assert got["hub", "hub"] == [] and got["hub", "none"] is None and got["leaf0-1", "leaf1-1"] is None and len(got) == 404
+    # from the starts alone, each of 400 would reach the leaves beside it
+    fronts = [t.count() for t in held if "node" in t.columns]
+    assert max(fronts) < 1000
