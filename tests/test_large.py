@@ -121,6 +121,22 @@ def test_questions_of_one_set_are_one(spark):
     assert {r.question: sorted(r.ts) for r in search.question_sets(asked).collect()} == {1: ["a", "b"], 2: ["a", "b"]}
 
 
+def test_sets_of_tokens_are_in_the_plan(spark, monkeypatch):
+    from weftgraph.operators import search
+
+    docs = spark.createDataFrame([(1, "a b"), (2, "a"), (3, "a a c"), (4, "c"), (5, "z")], "id long, text string")
+    asked = spark.createDataFrame([(1, "b a"), (2, "a-b"), (3, "c nosuch"), (4, "nosuch"), (5, "")], "question long, text string")
+    written, cut = [], search.cut
+    monkeypatch.setattr(search, "cut", lambda df: written.append(df.columns) or cut(df))
+    for bound, value, tables in (("MOST_SETS", 10_000, 4), ("MOST_SETS", 1, 5), ("LONGEST_SET", 2, 5)):
+        with monkeypatch.context() as m:
+            m.setattr(search, bound, value)
+            found = search.search_text(search.postings(docs, "id", F.col("text")), asked, 2).collect()
+            assert sorted((r.question, r["rank"], r.id) for r in found) == [(1, 0, 1), (2, 0, 1), (3, 0, 4), (3, 1, 3)]
+            assert len(written) == tables
+            written.clear()
+
+
 def test_postings_write_nothing(spark):
     from weftgraph.operators import search
 
