@@ -168,6 +168,38 @@ def test_a_bag_is_read_once_for_all_its_tokens(spark, tmp_path):
     assert [r.id for r in found.collect()] == [1]
 
 
+def test_vectors_send_rows_of_a_bounded_number_of_tasks(spark, monkeypatch):
+    import math
+    import random
+
+    from weftgraph.operators import search
+
+    draw = random.Random(3)
+    rows = [(n, [float(draw.randint(-1, 1)) for _ in range(3)]) for n in range(900)] + [(900, None), (901, [1.0])]
+    asked = [(q, [float(draw.randint(-1, 1)), 1.0, 0.5]) for q in range(40)]
+
+    def distance(a, b):
+        norms = math.hypot(*a) * math.hypot(*b)
+        return round(1 - sum(x * y for x, y in zip(a, b, strict=True)) / norms, 6) if norms else math.inf
+
+    want = {(q, n): i for q, a in asked for n, (_, i) in enumerate(sorted((distance(a, v), i) for i, v in rows[:900])[:4])}
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>").repartition(100, "id")
+    questions = spark.createDataFrame(asked, "question long, vector array<double>")
+    sent, top = [], search.top
+    monkeypatch.setattr(search, "top", lambda df, *a: sent.append(df) or top(df, *a))
+    most = max(12, spark.sparkContext.defaultParallelism)
+    monkeypatch.setattr(search, "BLOCK", 7, raising=False)
+    monkeypatch.setattr(search, "SLICE", 5, raising=False)
+    for held in (128 << 20, 1000):  # of few bytes: several portions of the questions
+        monkeypatch.setattr(search, "MOST_HELD", held, raising=False)
+        assert {(r.question, r["rank"]): r.id for r in search.search_vectors(vectors, questions, 4).collect()} == want
+        assert sent.pop().count() <= most * 40 * 4
+    # what has no distance comes last and takes no place
+    few = spark.createDataFrame([(n, [0.0, 0.0]) for n in range(5)] + [(9, [1.0, 0.0])], "id long, vector array<double>").coalesce(1)
+    found = search.search_vectors(few, spark.createDataFrame([(1, [1.0, 0.0])], "question long, vector array<double>"), 2).collect()
+    assert [r.id for r in sorted(found, key=lambda r: r["rank"])] == [9, 0]
+
+
 def test_rows_of_a_key_meet_in_bounded_portions(spark, tmp_path, monkeypatch):
     from weftgraph import session
     from weftgraph.operators import dedup
